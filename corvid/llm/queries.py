@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, jaccard_join, secrets
+from corvid.llm import decontaminate, jaccard_join, quality, secrets, toxicity
+from corvid.llm.learn import fold
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,10 +22,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_on(docs, read(spark, sf_dir, "labels"), folds=5, held_out=0)
+    return _judged(toxicity.score_toxicity(docs, model), 5, 0, 0.5)
+
+
+def _judged(scored: DataFrame, folds: int, held_out: int, least: float) -> DataFrame:
+    return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.train_on(docs, read(spark, sf_dir, "labels"), folds=4, held_out=2)
+    return _judged(quality.score_quality(docs, field), 4, 2, 0.7)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(read(spark, sf_dir, "documents"))
     base = F.filter("findings", lambda x: x["kind"].isin([r.kind for r in secrets.BASE]))
@@ -34,7 +51,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
+    "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
 }
 
