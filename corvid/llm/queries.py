@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, jaccard_join, quality, secrets, toxicity
+from corvid.llm import decontaminate, jaccard_join, mixing, quality, secrets, tokens, topk, toxicity, urls, warc
 from corvid.llm.learn import fold
 
 
@@ -22,6 +22,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's block, slot and position, with sources weighted as the roots of their sizes."""
+    return mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train_on(docs, read(spark, sf_dir, "labels"), folds=5, held_out=0)
@@ -36,6 +45,15 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each encoded length, with what it answers as a context limit."""
+    return tokens.with_totals(tokens.length_histogram(read(spark, sf_dir, "documents")))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "ratio")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.train_on(docs, read(spark, sf_dir, "labels"), folds=4, held_out=2)
@@ -49,12 +67,21 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(r.kind) for r in secrets.BASE], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).drop("url", "html")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_topk": op2_topk,
+    "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_tokens": op6_tokens,
+    "op7_urls": op7_urls,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
+    "op10_warc": op10_warc,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,4 +134,20 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN per USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op5_jaccard_join": _OP5, "op9_secrets": _OP9}
+_OP2 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_OP10 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex, max(page_id) OVER (PARTITION BY sha1(b)) AS top FROM p),
+bits AS (SELECT *, list_transform(range(32), lambda i: ('0x' || substr(hex, (i * 5 // 4 + 1)::INTEGER, 1))::INTEGER * 16 + coalesce(('0x' || nullif(substr(hex, (i * 5 // 4 + 2)::INTEGER, 1), ''))::INTEGER, 0)) AS pairs FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((pairs[i + 1] >> (3 - i * 5 % 4)) % 32 + 1)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM bits
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op2_topk": _OP2, "op10_warc": _OP10, "op5_jaccard_join": _OP5, "op9_secrets": _OP9}
