@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
 LEDGER = "blob string, rule string, version int, spans array<struct<start: bigint, end: bigint>>"
 
 
@@ -104,22 +105,26 @@ def blobs_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
 
 
+def findings_of_blobs(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob`` and ``findings`` (kind, start, end; by start, then kind as in ``rules``) of blobs with any."""
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
+    flat = F.flatten(F.transform("found", lambda f: F.transform(f["spans"], lambda s: F.struct(s["start"].alias("start"), rank[f["rule"]].alias("rank"), s["end"].alias("end"), f["rule"].alias("kind")))))
+    return scanned.select("blob", F.transform(F.array_sort(flat), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings")).where(F.size("findings") > 0)
+
+
 def scan_secrets(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``path``, ``blob`` and ``findings`` (kind, start, end; by start, then kind as in ``rules``).
+    """``path``, ``blob`` and ``findings``, a row for each row of ``docs``.
 
     With a ledger, blobs that it has seen under every rule version aren't scanned: their findings
     come from the ledger.
     """
     scanned = scan_blobs(blobs_of(docs, text), ledger, rules)
-    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    flat = F.flatten(F.transform("found", lambda f: F.transform(f["spans"], lambda s: F.struct(s["start"].alias("start"), rank[f["rule"]].alias("rank"), s["end"].alias("end"), f["rule"].alias("kind")))))
     if ledger is not None:
         current = [(r.kind, r.version) for r in rules]
         known = ledger.where(F.struct("rule", "version").isin(*[F.struct(F.lit(k).alias("rule"), F.lit(v).alias("version")) for k, v in current]))
         scanned = ledger_rows(scanned).unionByName(known).groupBy("blob").agg(F.collect_list(F.struct("rule", "version", "spans")).alias("found"))
-    blobs = scanned.select("blob", F.transform(F.array_sort(flat), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings")).where(F.size("findings") > 0)
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return docs.select(F.col(path), blob_of(text).alias("blob")).join(blobs, "blob", "left").select(path, "blob", F.coalesce("findings", none).alias("findings"))
+    paths = docs.select(F.col(path), blob_of(text).alias("blob"))
+    return paths.join(findings_of_blobs(scanned, rules), "blob", "left").select(path, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def joined(findings: Column) -> Column:
