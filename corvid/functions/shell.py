@@ -68,9 +68,9 @@ def commands(files: DataFrame, key: str = "path", content: str = "content") -> D
     tokens = F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))
     cut = logical_lines(files, key, content).select(key, "line_no", "line", F.posexplode(_segments(tokens)).alias("seg_no", "c"))
     words = _skip(F.col("c.words"), lambda w: w.isin(*LEADING))
-    assigned = F.filter(words, lambda w: w.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\[[^\]]*\])?\+?="))
-    rows = cut.select(key, "line_no", "line", "seg_no", F.col("c.before").alias("before"), F.col("c.redirects").alias("redirects"), F.col("c.words").alias("all_words"), words.alias("w"), assigned.alias("assigned"))
+    rows = cut.select(key, "line_no", "line", "seg_no", F.col("c.before").alias("before"), F.col("c.redirects").alias("redirects"), F.col("c.words").alias("all_words"), words.alias("w"))
     rows = rows.withColumn("rest", _skip(F.col("w"), lambda w: w.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\[[^\]]*\])?\+?=")))
+    rows = rows.withColumn("assigned", F.slice("w", F.lit(1), F.size("w") - F.size("rest")))
     inner = _skip(F.col("rest"), lambda w: w.isin(*WRAPPERS) | w.startswith("-"))
     rows = rows.withColumn("inner", inner)
     args = F.when(F.size("rest") > 1, F.slice("rest", 2, F.size("rest"))).otherwise(F.array().cast("array<string>"))

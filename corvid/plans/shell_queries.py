@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvid.functions.shell import commands
+from corvid.operators.layout import embedded_scripts, folding_ranges, rendered
 from corvid.operators.lint import diagnostics
+from corvid.operators.semantic import followed_files, overwritten_functions, resolve_commands, resolved_calls, script_relations, uncalled_functions, undefined_variables, untracked_sources, unused_assignments
 from corvid.plans.registry import query
 
 # Path, content, and the expected findings as code and line.
@@ -41,3 +44,79 @@ def shell_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shell_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that pipe into another."""
     return commands(scripts(spark)).where("next_name IS NOT NULL").select("path", "line_no", "name", "next_name")
+
+
+PROJECT = (
+    ("main.sh", "#!/bin/bash\n. ./lib.sh\nused=1\nunused=2\nexport shared=3\nf() {\n  g\n  echo $used $missing ${maybe:-x}\n}\ng() { :; }\nf() {\n  echo '$quoted' # $comment\n}\nh() {\n  h\n}\nalias ll=ls\nf\nll\nrm x\ncd /\nnosuch\n./run\n"),
+    ("./lib.sh", "libvar=$used\nsource main.sh\nsource \"$dir/x\"\nsource gone.sh\n"),
+    ("loop.sh", "for i in a b; do\n  if test $i; then\n    echo $i\n  else\n    n+=1\n  fi\ndone\n"),
+)
+HOST = ("ci.yml", "jobs:\n  a:\n    steps:\n      - name: Build\n        run: |\n          make all\n          echo ${{ github.event.issue.title }}\n\n          ls\n      - name: One\n        run: make test\n        env: x\n      - uses: y\n")
+
+
+def _relations(spark: SparkSession) -> dict[str, DataFrame]:
+    return script_relations(spark.createDataFrame(PROJECT, "path string, content string"))
+
+
+@query("SELECT * FROM (VALUES ('main.sh', 'unused', 4::INTEGER), ('./lib.sh', 'libvar', 1), ('loop.sh', 'n', 5)) AS t(path, name, line_no)")
+def shell_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments that nothing reads, over files that source each other."""
+    r = _relations(spark)
+    return unused_assignments(r["bindings"], r["references"], r["source_edges"])
+
+
+@query("SELECT * FROM (VALUES ('main.sh', 'missing', 8::INTEGER)) AS t(path, name, line_no)")
+def shell_undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of names that nothing writes."""
+    r = _relations(spark)
+    return undefined_variables(r["bindings"], r["references"], r["source_edges"])
+
+
+@query("SELECT * FROM (VALUES ('main.sh', 'g', 7::INTEGER, 10::INTEGER), ('main.sh', 'h', 15, 14), ('main.sh', 'f', 18, 11)) AS t(path, name, line_no, definition)")
+def shell_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The definition that each call sees."""
+    r = _relations(spark)
+    return resolved_calls(r["calls"], r["functions"])
+
+
+@query("SELECT * FROM (VALUES ('main.sh', 'h', 'uncalled'), ('main.sh', 'f', 'overwritten')) AS t(path, name, why)")
+def shell_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions that nothing reaches, and definitions that are replaced before a call."""
+    r = _relations(spark)
+    gone = overwritten_functions(r["calls"], r["functions"]).select("path", "name", F.lit("overwritten").alias("why"))
+    return uncalled_functions(r["calls"], r["functions"]).withColumn("why", F.lit("uncalled")).unionByName(gone)
+
+
+@query("SELECT * FROM (VALUES ('main.sh', 'followed'), ('./lib.sh', 'followed'), ('gone.sh', 'followed'), ('gone.sh', 'untracked')) AS t(path, what)")
+def shell_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that sourcing reaches from the main script, and operands that name no input."""
+    files, r = spark.createDataFrame(PROJECT, "path string, content string"), _relations(spark)
+    lost = untracked_sources(r["source_edges"], files).select(F.col("target").alias("path"), F.lit("untracked").alias("what"))
+    return followed_files(files.where("path = 'main.sh'"), r["source_edges"]).withColumn("what", F.lit("followed")).unionByName(lost)
+
+
+@query("""SELECT * FROM (VALUES ('f', 'function', NULL), ('g', 'function', NULL), ('h', 'function', NULL), ('ll', 'alias', NULL), ('rm', 'executable', '/bin'), ('cd', 'builtin', NULL), ('nosuch', 'unknown', NULL), ('./run', 'dynamic', NULL),
+('.', 'builtin', NULL), ('echo', 'builtin', NULL), (':', 'builtin', NULL), ('alias', 'builtin', NULL), ('export', 'builtin', NULL)) AS t(name, kind, folder)""")
+def shell_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command names of the main script stand for."""
+    r = _relations(spark)
+    host = spark.createDataFrame([(1, "/usr/bin", "rm"), (0, "/bin", "rm"), (0, "/bin", "ls")], "dir_idx int, folder string, name string")
+    return resolve_commands(r["commands"].where("path = 'main.sh'"), r["functions"], host).select("name", "kind", "folder")
+
+
+@query("SELECT * FROM (VALUES ('loop.sh', 1::INTEGER, 7::INTEGER), ('loop.sh', 2, 4), ('loop.sh', 4, 6), ('main.sh', 6, 9), ('main.sh', 11, 13), ('main.sh', 14, 16)) AS t(path, \"start\", \"end\")")
+def shell_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compounds of several lines."""
+    return folding_ranges(spark.createDataFrame(PROJECT, "path string, content string"))
+
+
+@query("SELECT * FROM (VALUES ('ci.yml', 5::INTEGER, 'Build', 'make all' || chr(10) || 'echo ${{ github.event.issue.title }}' || chr(10) || chr(10) || 'ls', true), ('ci.yml', 11, 'One', 'make test', false)) AS t(path, host_line, label, script, tainted)")
+def shell_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts that a workflow file embeds."""
+    return embedded_scripts(spark.createDataFrame([HOST], "path string, content string"))
+
+
+@query("SELECT * FROM (VALUES ('count.sh:2:1: warning: [P002]'), ('cd.sh:1:1: warning: [C004]')) AS t(value)")
+def shell_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics as compilers print them."""
+    return rendered(diagnostics(scripts(spark).where("path IN ('count.sh', 'cd.sh')")), "gcc")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corvid.functions.shell import commands, dialect_of, logical_lines
+from corvid.operators.layout import formatted, rendered, with_ignores
 from corvid.operators.lint import RULES, diagnostics, select
 from corvid.plans.shell_queries import scripts
 
@@ -32,3 +33,25 @@ def test_selection_only_removes(spark):
     some = {tuple(r) for r in diagnostics(scripts(spark), select(RULES, ("C", "P"), ("C0",))).collect()}
     assert some == {r for r in all_ if r[2].startswith("P")}
     assert len({r.code for r in RULES}) == len(RULES)
+
+
+def test_formatting_indents_and_is_idempotent(spark):
+    rows = [("a", "if x; then  \n      y\nelse\nz\nfi\n\n\n\nf() {\nw\n}\n"), ("b", "cat <<E\n   x\nE"), ("c", None), ("d", ""), ("e", "echo 'a\n  b'")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    once = formatted(files)
+    got = {r.path: (r.content, r.changed) for r in once.collect()}
+    assert got["a"] == ("if x; then\n  y\nelse\n  z\nfi\n\nf() {\n  w\n}\n", True)
+    assert got["b"] == (rows[1][1], False) and got["c"] == (None, None) and got["d"] == ("", False)
+    assert {r.path: r.content for r in formatted(once.select("path", "content")).collect()} == {k: v[0] for k, v in got.items()}
+
+
+def test_written_ignores_leave_nothing_to_report(spark):
+    files = scripts(spark).where("path IN ('test.sh', 'quote.sh', 'cd.sh')")
+    assert diagnostics(with_ignores(files, diagnostics(files))).count() == 0
+
+
+def test_reports_are_in_order(spark):
+    found = spark.createDataFrame([("b", 1, "C1", "error"), ("a<", 10, "C2", "hint"), ("a<", 9, "C2", "hint")], "path string, line_no int, code string, severity string")
+    assert [r[0] for r in rendered(found, "tty").collect()] == ["a< line 9: C2 (hint)", "a< line 10: C2 (hint)", "b line 1: C1 (error)"]
+    assert rendered(found, "json").first()[0] == '{"file":"a<","line":9,"level":"hint","code":"C2"}'
+    assert rendered(found, "checkstyle").count() == rendered(found, "gcc").count() == 3
