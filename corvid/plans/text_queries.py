@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.text import count_of, lines, match_starts
-from corvid.operators.intervals import containing
+from corvid.operators.intervals import containing, outside
 from corvid.plans.registry import query
 from corvid.sources.tables import table
 
@@ -156,3 +156,18 @@ def sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct findings in report order: by place, then by kind."""
     columns = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"]
     return table(spark, sf_dir, "lineitem").select(*columns).distinct().orderBy(*columns)
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT doc_id, line_no::BIGINT AS line_no, unnest([CASE WHEN line LIKE '%###%' THEN 'D1' END, CASE WHEN line LIKE '%!!%' THEN 'D2' END, CASE WHEN line LIKE '%|%' THEN 'D3' END]) AS code FROM l),
+r AS (SELECT doc_id, line_no AS start, line_no + 3 AS stop FROM l WHERE line LIKE '%$$$%')
+SELECT doc_id, line_no, code FROM f WHERE code IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = f.doc_id AND f.line_no >= r.start AND f.line_no < r.stop)""")
+def unsuppressed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of three line rules that no directive covers, in report order.
+
+    A directive covers its line and the two behind it; ranges that touch merge before they meet findings.
+    """
+    rows = lines(table(spark, sf_dir, "documents"), "doc_id")
+    codes = F.array(*[F.when(F.col("line").contains(mark), F.lit(code)) for mark, code in (("###", "D1"), ("!!", "D2"), ("|", "D3"))])
+    found = rows.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
+    covers = rows.where(F.col("line").contains("$$$")).select("doc_id", F.col("line_no").cast("bigint").alias("start"), (F.col("line_no") + 3).cast("bigint").alias("stop"))
+    return outside(found, covers, ["doc_id"], "line_no", "start", "stop", width=64).orderBy("doc_id", "line_no", "code")
