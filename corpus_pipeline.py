@@ -37,11 +37,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of near copies the document with the least id stays.
 
     Documents without shingles are components of their own. Rows that repeat an id are one document.
+    Nothing tells rows without an id apart, so all of them stay if one of them does.
     """
     docs = docs.select(*COLUMNS)
     joined = jaccard_join.jaccard_join(docs)
     keep = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    # A component of null ids only has no least id; its rows stay.
     one = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
     return one.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(one.where("doc_id IS NULL"))
 

@@ -73,6 +73,16 @@ def test_contaminated_spans_go(spark):
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_contamination_of_awkward_rows(spark):
+    items = spark.createDataFrame([(1, "same text here"), (None, None)], "item_id long, text string")
+    found = decontaminate.find_contamination(awkward(spark), items).collect()
+    assert Counter((r.doc_id, r.n_hit, tuple(r["items"])) for r in found if r.n_hit) == Counter({(5, 3, (1,)): 2, (None, 3, (1,)): 1})
+    assert sorted(r.n_words for r in found) == [0, 0, 0, 0, 1, 3, 3, 3, 30_000]
+    assert decontaminate.remove_contamination(awkward(spark), items).count() == 6
+    assert decontaminate.find_contamination(awkward(spark), items.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.find_contamination(awkward(spark).limit(0), items).count() == 0
+
+
 # 2
 
 
