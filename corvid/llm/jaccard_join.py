@@ -4,9 +4,14 @@ Each document is a set of hashed word shingles; equal sets are one node. A shing
 node has can't be shared, so a node whose shared shingles are fewer than the overlap that it needs
 with any partner is alone. The others order their shared shingles by frequency, rarest first. The
 prefix for ``l`` matches has the first ``shared - needed + l`` of them: two nodes that link share
-at least the smaller of their ``l`` within their prefixes. Each node takes the ``l`` of least
+at least the smaller of their ``l`` within their prefixes, and more as the overlap that the pair
+needs exceeds what each needs alone. Each node takes the ``l`` of least
 estimated cost: postings that its prefix touches, and candidates left by asking for ``l`` of them.
 
+Frequencies are exact but for shingles that a thousandth of all sets have or more: those are counted
+within tasks first, at most 500,000 of them are broadcast, and they come last in every prefix. Any
+order that all nodes share gives the same links.
+
 Components are found without comparing all pairs of a group: first each node meets the least node
 of each of its lists; what that links is contracted; then only nodes of different components meet.
 Short lists give candidate pairs by a join on the prefix shingle. Long lists are cut into blocks,
@@ -36,8 +41,10 @@ _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Shingles that a task gathers before it deals them out.
 _FLUSH = 1_000_000
+#: What frequent shingles' counts are raised by, so that all others come before them in prefixes.
+_HOT = 1 << 31
 _DEALT = "part int, doc_id bigint, n bigint, node binary, hashes binary, df binary, owners binary, nodes binary, sizes binary"
-_NODES = "doc_id bigint, n bigint, node binary, shared int, matches int, prefix array<bigint>, tokens array<bigint>"
+_NODES = "doc_id bigint, n bigint, node binary, shared int, prefix array<bigint>, tokens array<bigint>"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -112,11 +119,77 @@ def _batches(rows: Iterator[dict], ddl: str, at_once: int = 4096, most: int = 8_
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _shingled(parts: int, words: int):
-    """Documents to a row each, and their shingles, once for each set in the task, dealt by hash."""
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int | None, bytes, np.ndarray, bool]]:
+    """Each document's id, node and set, and whether its set is new to the task and not empty."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+        for i in range(0, len(texts), 500):
+            for doc_id, own in zip(ids[i : i + 500], shingle_sets(texts[i : i + 500], words), strict=True):
+                node = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                new = len(own) > 0 and node not in seen
+                if new:
+                    seen.add(node)
+                yield doc_id, node, own, new
+
+
+def _frequent(words: int, share: float, most: int):
+    """How often a task's sets have each shingle of about ``share`` of them; without a shingle, how many sets.
+
+    Counts leave out what occurs once among a flush's sets, and the rarest beyond ``most``.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        held: list[np.ndarray] = []
+        size = 0
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            some, c = np.unique(np.concatenate(held), return_counts=True)
+            every, where = np.unique(np.concatenate([names, some[c > 1]]), return_inverse=True)
+            total = np.bincount(where, np.concatenate([counts, c[c > 1]]), len(every)).astype(np.int64)
+            if len(every) > most:
+                keep = np.sort(np.argpartition(-total, most)[:most])
+                every, total = every[keep], total[keep]
+            return every, total
+
+        for _, _, own, new in _sets(batches, words):
+            if new:
+                held.append(own)
+                n += 1
+                size += len(own)
+                if size >= _FLUSH:
+                    names, counts = merge()
+                    held, size = [], 0
+        if held:
+            names, counts = merge()
+        keep = counts >= max(8, share * n / 4)
+        for i in range(0, keep.sum(), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(names[keep][i : i + 100_000].view(np.int64)), pa.array(counts[keep][i : i + 100_000])], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["token", "n"])
+
+    return rows
+
+
+def frequent_shingles(docs: DataFrame, words: int, share: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that about ``share`` of all sets have or more, the ``most`` most frequent, and their counts."""
+    counts = stored(docs.mapInArrow(_frequent(words, share, most), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+    total = counts.where("token IS NULL").first()
+    table = counts.where(F.col("token").isNotNull() & (F.col("n") >= share / 2 * (total.n if total else 0))).orderBy(F.desc("n"), "token").limit(most).toArrow()
+    tokens, n = table["token"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _shingled(parts: int, words: int, frequent):
+    """Documents to a row each, and their shingles, once for each set in the task, dealt by hash.
+
+    Frequent shingles are dealt by node, with their count as their frequency: a shingle that any
+    part of all documents has doesn't meet in one task.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: set[bytes] = set()
+        hot, hot_n = frequent.value
         held: list[tuple[bytes, np.ndarray]] = []
         size = 0
 
@@ -125,18 +198,18 @@ def _shingled(parts: int, words: int):
             hashes = np.concatenate(sets)
             lengths = np.array([len(s) for s in sets], np.uint32)
             nodes = np.frombuffer(b"".join(n for n, _ in held), np.uint64).reshape(-1, 2)
-            yield from _deal((hashes % np.uint64(parts)).astype(np.int64), parts, hashes, None, np.repeat(np.arange(len(sets)), lengths), nodes, lengths)
-
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for i in range(0, len(texts), 500):
-                for doc_id, own in zip(ids[i : i + 500], shingle_sets(texts[i : i + 500], words), strict=True):
-                    node = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                    yield {"part": int.from_bytes(node[:4], "little") % parts, "doc_id": doc_id, "n": len(own), "node": node}
-                    if len(own) and node not in seen:
-                        seen.add(node)
-                        held.append((node, own))
-                        size += len(own)
+            owners = np.repeat(np.arange(len(sets)), lengths)
+            at = np.minimum(np.searchsorted(hot, hashes), max(len(hot) - 1, 0))
+            known = hot[at] == hashes if len(hot) else np.zeros(len(hashes), bool)
+            rare = ~known
+            yield from _deal((hashes[rare] % np.uint64(parts)).astype(np.int64), parts, hashes[rare], None, owners[rare], nodes, lengths)
+            yield from _deal(_part_of(nodes, parts)[owners[known]], parts, hashes[known], (np.minimum(hot_n[at[known]], _HOT - 1) + _HOT).astype(np.uint32), owners[known], nodes, lengths)
+
+        for doc_id, node, own, new in _sets(batches, words):
+            yield {"part": int(_part_of(np.frombuffer(node, np.uint64).reshape(1, 2), parts)[0]), "doc_id": doc_id, "n": len(own), "node": node}
+            if new:
+                held.append((node, own))
+                size += len(own)
                 if size >= _FLUSH:
                     yield from flush()
                     held, size = [], 0
@@ -146,12 +219,16 @@ def _shingled(parts: int, words: int):
     return lambda batches: _batches(rows(batches), _DEALT)
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[dict | list[dict]]:
-    """Rows of documents at once; those of shingles as one list at the end."""
+def _part_of(nodes: np.ndarray, parts: int) -> np.ndarray:
+    return (nodes[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts
+
+
+def _apart(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[dict | list[dict]]:
+    """Rows of documents at once, and those of shingles that are ``counted`` already; the others as one list at the end."""
     held = []
     for batch in batches:
         for r in batch.to_pylist():
-            if r["hashes"] is None:
+            if r["hashes"] is None or counted and r["df"] is not None:
                 yield r
             else:
                 held.append(r)
@@ -162,7 +239,7 @@ def _shared(parts: int):
     """Shingles of one part of the hashes to those that two nodes have or more, dealt by node."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for r in _apart(batches):
+        for r in _apart(batches, counted=True):
             if isinstance(r, dict):
                 yield r
             elif r:
@@ -176,8 +253,7 @@ def _shared(parts: int):
                 keep = df > 1
                 if keep.any():
                     owners = owners[keep]
-                    part = (nodes[owners, 0] & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts
-                    yield from _deal(part, parts, hashes[keep], df[keep].astype(np.uint32), owners, nodes, sizes)
+                    yield from _deal(_part_of(nodes, parts)[owners], parts, hashes[keep], df[keep].astype(np.uint32), owners, nodes, sizes)
 
     return lambda batches: _batches(rows(batches), _DEALT)
 
@@ -197,7 +273,7 @@ def _prefixes(percent: int):
     """Shared shingles of one part of the nodes to those nodes that have enough of them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for r in _apart(batches):
+        for r in _apart(batches, counted=False):
             if isinstance(r, dict):
                 yield {k: r[k] for k in ("doc_id", "n", "node")}
             elif r:
@@ -209,8 +285,8 @@ def _prefixes(percent: int):
                     own, needed = slice(ends[k], ends[k + 1]), -(-percent * n // 100)
                     shared = ends[k + 1] - ends[k]
                     if shared >= needed:
-                        matches = matches_for(df[own], needed)
-                        yield {"n": n, "node": nodes[k].tobytes(), "shared": int(shared), "matches": matches, "prefix": hashes[own][: shared - needed + matches], "tokens": hashes[own]}
+                        matches = matches_for(df[own] & np.uint32(_HOT - 1), needed)
+                        yield {"n": n, "node": nodes[k].tobytes(), "shared": int(shared), "prefix": hashes[own][: shared - needed + matches], "tokens": hashes[own]}
 
     return lambda batches: _batches(rows(batches), _NODES)
 
@@ -264,58 +340,67 @@ def _block_links(percent: int):
     return verify
 
 
-def _long_lists(long: DataFrame, nodes: DataFrame, percent: int, block: int) -> DataFrame:
+def _long_lists(long: DataFrame, nodes: DataFrame, percent: int, block: int, steps: int = 8) -> DataFrame:
     """Links within lists of many nodes: each pair of blocks of near sizes is a task.
 
-    Sizes fall in classes by the least ratio that links can have, so links are within a class or
-    between two that follow each other.
+    Sizes fall in grades, ``steps`` of them from a size to the largest that it can link with. Against
+    a block whose least size is known, a node needs a higher overlap and so a shorter prefix; beyond
+    that prefix it stays out of the task, and often out of all.
     """
-    grade = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
-    placed = long.select("token", "node", "comp", grade.alias("grade"))
+    grade = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(100 / percent)) / steps) + 1e-9)
+    placed = long.select("token", "node", "n", "shared", "pos", "comp", grade.alias("grade"))
     counts = placed.groupBy("token", "grade").agg(F.ceil(F.count("*") / block).alias("cuts"))
     placed = placed.join(counts, ["token", "grade"]).withColumn("cut", F.pmod(F.xxhash64("node"), "cuts"))
-    blocks = placed.groupBy("token", "grade", "cut").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    one = blocks.select("token", *[F.col(c).alias(f"{c}_a") for c in ("grade", "cut", "low", "high")])
-    two = blocks.select("token", *[F.col(c).alias(f"{c}_b") for c in ("grade", "cut", "low", "high")])
-    near = (F.col("grade_b") == F.col("grade_a")) & (F.col("cut_b") >= F.col("cut_a")) | (F.col("grade_b") == F.col("grade_a") + 1)
+    blocks = placed.groupBy("token", "grade", "cut").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    one, two = (blocks.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("grade", "cut", "low", "high", "least", "most")]) for x in "ab")
+    apart = F.col("grade_b") - F.col("grade_a")
+    near = ((apart == 0) & (F.col("cut_b") >= F.col("cut_a")) | apart.between(1, steps + 1)) & (100 * F.col("most_a") >= percent * F.col("least_b"))
     several = ~((F.col("low_a") == F.col("high_b")) & (F.col("high_a") == F.col("low_b")) & (F.col("low_a") == F.col("high_a")))
     tasks = one.join(two, "token").where(near & several).withColumn("task", F.xxhash64("token", "grade_a", "cut_a", "grade_b", "cut_b"))
-    ends = F.array_distinct(F.array(F.struct(F.col("grade_a").alias("grade"), F.col("cut_a").alias("cut")), F.struct(F.col("grade_b").alias("grade"), F.col("cut_b").alias("cut"))))
-    rows = tasks.select("token", "task", F.explode(ends).alias("end")).select("token", "task", "end.grade", "end.cut")
-    members = placed.join(rows, ["token", "grade", "cut"]).select("token", "task", "node", "comp").join(nodes.select("node", "n", "tokens"), "node")
-    return members.groupBy("token", "task").applyInPandas(_block_links(percent), "a binary, b binary")
+    end = lambda x, y: F.struct(F.col(f"grade_{x}").alias("grade"), F.col(f"cut_{x}").alias("cut"), F.col(f"least_{y}").alias("against"))
+    rows = tasks.select("token", "task", F.explode(F.array_distinct(F.array(end("a", "b"), end("b", "a")))).alias("end")).select("token", "task", "end.*")
+    needed = F.ceil(percent * (F.col("n") + F.col("against")) / (100 + percent))
+    members = placed.join(rows, ["token", "grade", "cut"]).where(F.col("pos") <= F.col("shared") - needed).select("token", "task", "node", "comp")
+    return members.join(nodes.select("node", "n", "tokens"), "node").groupBy("token", "task").applyInPandas(_block_links(percent), "a binary, b binary")
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, short_list: int = 48, block: int = 256) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, short_list: int = 48, block: int = 256, share: float = 1e-3, most_frequent: int = 500_000) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs``.
 
     Two documents link when their shingle sets have a Jaccard similarity of ``percent`` or more.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_shingled(parts, words), _DEALT)
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, words, share, most_frequent))
+    dealt = texts.mapInArrow(_shingled(parts, words, frequent), _DEALT)
     shared = dealt.repartitionById(parts, F.col("part")).mapInArrow(_shared(parts), _DEALT)
     table = stored(shared.repartitionById(parts, F.col("part")).mapInArrow(_prefixes(percent), _NODES), "shingles")
     rows, nodes = table.where("tokens IS NULL").select("doc_id", "n", "node"), table.where("tokens IS NOT NULL").drop("doc_id")
 
-    postings = nodes.select("node", "n", "shared", "matches", F.posexplode("prefix").alias("pos", "token"))
+    postings = nodes.select("node", "n", "shared", (F.col("shared") - F.size("prefix")).alias("rest"), F.posexplode("prefix").alias("pos", "token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("listed"), F.min("node").alias("least")).where("listed > 1")
-    met = stored(postings.join(lists, "token").select("token", "node", "n", "shared", "matches", "pos", "listed", "least"), "postings")
-    stars = met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    met = stored(postings.join(lists, "token").select("token", "node", "n", "shared", "rest", "pos", "listed", "least"), "postings")
+    # Which stars to try is a guess; what they miss, the second step finds.
+    needed = F.expr(f"{percent} * 2 * first(n) <= {100 + percent} * (count(*) + first(rest))")
+    stars = met.where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(needed.alias("near")).where("near").select("a", "b")
     first = stored(_verified(stars, nodes, percent), "links")
     comp = connected(first)
 
     labelled = met.drop("least").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
     open_ = stored(labelled.join(mixed, "token", "left_semi"), "open")
-    few = open_.where(F.col("listed") <= short_list)
-    side = lambda x: few.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "shared", "matches", "pos", "comp")], F.col("node").alias(x))
+    long = open_.where(F.col("listed") > short_list)
+    few = open_.where(F.col("listed") <= short_list).join(long.groupBy("node").agg(F.count("*").alias("hidden")), "node", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
+    side = lambda x: few.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "shared", "rest", "pos", "comp", "hidden")], F.col("node").alias(x))
     most = F.least("pos_a", "pos_b") + F.least(F.col("shared_a") - F.col("pos_a"), F.col("shared_b") - F.col("pos_b"))
     enough = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
     meet = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _near(percent, F.col("n_a"), F.col("n_b")) & enough
-    pairs = side("a").join(side("b"), "token").where(meet).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("matches_a").alias("m_a"), F.first("matches_b").alias("m_b")).where("met >= least(m_a, m_b)").select("a", "b")
+    # What two prefixes don't share in short lists, their long lists and the rest of one of the sets have to.
+    reach = F.expr(f"{percent} * (first(n_a) + first(n_b)) <= {100 + percent} * (count(*) + least(first(hidden_a), first(hidden_b)) + greatest(first(rest_a), first(rest_b)))")
+    pairs = side("a").join(side("b"), "token").where(meet).groupBy("a", "b").agg(reach.alias("reach")).where("reach").select("a", "b")
     more = _verified(pairs, nodes, percent)
-    much = _long_lists(open_.where(F.col("listed") > short_list).select("token", "node", "n", "comp"), nodes, percent, block)
+    much = _long_lists(long, nodes, percent, block)
     second = stored(more.unionByName(much), "links")
 
     ends = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
