@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvid.llm.batches import small_batches
 from corvid.storage import stored
 
 RESULT = "n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, n_hit bigint, items array<bigint>"
@@ -163,41 +164,64 @@ def _shards(items: DataFrame, item_id: str, text: str, shard_words: int) -> Iter
     yield shard
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 200_000) -> DataFrame:
-    """``docs`` with n_words, hit_spans (of words, end exclusive), n_hit and items."""
-    spark = docs.sparkSession
-    names = [f.name for f in T.StructType.fromDDL(RESULT)]
-    out = docs.drop(*names)
-    kept = out.columns
-    schema = T.StructType([*out.schema.fields, *T.StructType.fromDDL(RESULT).fields])
-    for k, shard in enumerate(_shards(items, item_id, item_text, shard_words)):
-        sent = spark.sparkContext.broadcast(shard)
-        again = k > 0
+def find_contamination(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
+    """``docs`` with n_words, hit_spans (of words, end exclusive), n_hit and items; see ``_scanned`` for ``more``."""
+    return _scanned(docs, items, None, **more)
+
+
+def remove_contamination(docs: DataFrame, items: DataFrame, most_coverage: float = 0.5, **more) -> DataFrame:
+    """``docs`` without contaminated spans; documents covered beyond ``most_coverage`` go.
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, again=again) -> Iterator[pa.RecordBatch]:
+    What a removed span leaves is joined by one space. Documents without hits stay as they are.
+    """
+    return _scanned(docs, items, most_coverage, **more)
+
+
+def _scanned(docs: DataFrame, items: DataFrame, most_coverage: float | None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 200_000) -> DataFrame:
+    """One pass for each shard of items; the last one cuts spans out if ``most_coverage`` is given."""
+    spark = small_batches(docs.sparkSession)
+    results = T.StructType.fromDDL(RESULT).fields
+    names = [f.name for f in results]
+    out = docs.drop(*names)
+    kept, plain = out.columns, out.schema
+    shards = _shards(items, item_id, item_text, shard_words)
+    shard, again = next(shards), False
+    while True:
+        after = next(shards, None)
+        sent, cut = spark.sparkContext.broadcast(shard), most_coverage if after is None else None
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, again=again, cut=cut) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(sent.value, window)
             span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             for batch in batches:
                 before = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("hit_spans", "items")] if again else None
-                n_words, spans, n_hit, found = [], [], [], []
-                texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-                for j, raw in enumerate(texts):
+                n_words, spans, n_hit, found, changed = [], [], [], [], {}
+                where = batch.schema.get_field_index(text)
+                for j, raw in enumerate(batch.column(where).cast(pa.binary())):
                     words = words_of(raw.as_py() or b"")
                     own, ids = automaton.hits(words, window)
                     if again:
                         own = merged([(s["start"], s["end"]) for s in before[0][j]] + own)
                         ids |= set(before[1][j])
                     n_words.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in own])
                     n_hit.append(sum(b - a for a, b in own))
-                    found.append(sorted(ids))
+                    if cut is None:
+                        spans.append([{"start": a, "end": b} for a, b in own])
+                        found.append(sorted(ids))
+                    elif own and n_hit[-1] <= cut * len(words):
+                        changed[j] = without(raw.as_py().decode(), own)
                 columns = [batch.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[*kept, *names])
-
-        if again:
-            out = stored(out, "decontaminate")
-        out = out.mapInArrow(scan, schema)
-    return out
+                if cut is None:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[*kept, *names])
+                else:
+                    if changed:
+                        columns[where] = pa.array([changed.get(j, t) for j, t in enumerate(columns[where].to_pylist())], columns[where].type)
+                    yield pa.RecordBatch.from_arrays(columns, names=kept).filter(pa.array([h <= cut * n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()))
+
+        out = out.mapInArrow(scan, plain if cut is not None else T.StructType([*plain.fields, *results]))
+        if after is None:
+            return out
+        out, shard, again = stored(out, "decontaminate"), after, True
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvid.llm.batches import small_batches
+
 # Fixed value: how this vocabulary's encoder cuts text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,7 +39,7 @@ def encoded_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCAB
     out = docs.drop(name)
     names = out.columns
     schema = T.StructType([*out.schema.fields, T.StructField(name, T.LongType())])
-    sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value, pattern)

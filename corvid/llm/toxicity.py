@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvid.llm.batches import small_batches
 from corvid.llm.learn import labelled_sample, logistic
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -184,7 +185,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", name: str
     out = docs.drop(name)
     names = out.columns
     schema = T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
