@@ -30,10 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from corvid.llm.batches import small_batches
 from corvid.llm.components import connected
 from corvid.storage import stored
 
@@ -43,7 +45,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _FLUSH = 1_000_000
 #: What frequent shingles' counts are raised by, so that all others come before them in prefixes.
 _HOT = 1 << 31
-_DEALT = "part int, doc_id bigint, n bigint, node binary, hashes binary, df binary, owners binary, nodes binary, sizes binary"
+_DEALT = "part int, doc_id bigint, n bigint, node binary, hashes binary, df binary, owners binary, nodes binary"
 _NODES = "doc_id bigint, n bigint, node binary, shared int, prefix array<bigint>, tokens array<bigint>"
 
 
@@ -76,32 +78,38 @@ def shingle_sets(texts: list[bytes | None], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _deal(part: np.ndarray, parts: int, hashes: np.ndarray, df: np.ndarray | None, owners: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> Iterator[dict]:
-    """A row for each part: its shingles, and the nodes that own them."""
-    order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+def _packed(x: np.ndarray) -> bytes:
+    """The bytes of an array, all first bytes of its items first, compressed: high bytes that are alike take no room."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _deal(part: np.ndarray, parts: int, hashes: np.ndarray, df: np.ndarray | None, owners: np.ndarray, nodes: np.ndarray) -> Iterator[dict]:
+    """A row for each part: its shingles in order of hash, as differences, and the nodes that own them."""
+    order = np.lexsort((hashes, part))
     ends = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
         mine = order[ends[p] : ends[p + 1]]
         if len(mine):
             own, local = np.unique(owners[mine], return_inverse=True)
-            yield {"part": p, "hashes": hashes[mine].tobytes(), "df": None if df is None else df[mine].tobytes(), "owners": local.astype(np.uint32).tobytes(), "nodes": nodes[own].tobytes(), "sizes": sizes[own].tobytes()}
+            steps = np.diff(hashes[mine], prepend=np.uint64(0))
+            yield {"part": p, "hashes": _packed(steps), "df": None if df is None else _packed(df[mine]), "owners": _packed(local.astype(np.uint32)), "nodes": nodes[own].tobytes()}
 
 
 def _gather(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    """The shingles of dealt rows: hashes, df, owner by number; nodes and sizes by that number."""
-    nodes = np.concatenate([np.frombuffer(r["nodes"], np.uint64).reshape(-1, 2) for r in rows])
-    sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows])
-    counts = np.array([len(r["sizes"]) // 4 for r in rows])
-    shift = np.repeat(np.cumsum(counts) - counts, [len(r["owners"]) // 4 for r in rows])
-    owners = np.concatenate([np.frombuffer(r["owners"], np.uint32) for r in rows]) + shift
-    hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-    df = np.concatenate([np.frombuffer(r["df"] or b"", np.uint32) for r in rows])
-    order = np.lexsort((nodes[:, 1], nodes[:, 0]))
-    ranked = nodes[order]
-    fresh = np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)] if len(order) else np.zeros(0, bool)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(fresh) - 1
-    return hashes, df, number[owners], ranked[fresh], sizes[order][fresh]
+    """The shingles of dealt rows: hashes, df, owner by number; and the nodes by that number."""
+    tables = [np.frombuffer(r["nodes"], np.uint64) for r in rows]
+    owned = [_unpacked(r["owners"], np.uint32) for r in rows]
+    shift = np.cumsum([0, *map(len, tables)])
+    owners = np.concatenate([o + s for o, s in zip(owned, shift[:-1], strict=True)])
+    hashes = np.concatenate([np.cumsum(_unpacked(r["hashes"], np.uint64), dtype=np.uint64) for r in rows])
+    df = np.concatenate([_unpacked(r["df"], np.uint32) if r["df"] else np.zeros(0, np.uint32) for r in rows])
+    nodes, number = np.unique(np.concatenate(tables), return_inverse=True)
+    return hashes, df, number[owners], nodes
 
 
 def _batches(rows: Iterator[dict], ddl: str, at_once: int = 4096, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -196,17 +204,16 @@ def _shingled(parts: int, words: int, frequent):
         def flush() -> Iterator[dict]:
             sets = [s for _, s in held]
             hashes = np.concatenate(sets)
-            lengths = np.array([len(s) for s in sets], np.uint32)
-            nodes = np.frombuffer(b"".join(n for n, _ in held), np.uint64).reshape(-1, 2)
-            owners = np.repeat(np.arange(len(sets)), lengths)
+            nodes = np.array([_short(n) for n, _ in held], np.uint64)
+            owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             at = np.minimum(np.searchsorted(hot, hashes), max(len(hot) - 1, 0))
             known = hot[at] == hashes if len(hot) else np.zeros(len(hashes), bool)
             rare = ~known
-            yield from _deal((hashes[rare] % np.uint64(parts)).astype(np.int64), parts, hashes[rare], None, owners[rare], nodes, lengths)
-            yield from _deal(_part_of(nodes, parts)[owners[known]], parts, hashes[known], (np.minimum(hot_n[at[known]], _HOT - 1) + _HOT).astype(np.uint32), owners[known], nodes, lengths)
+            yield from _deal((hashes[rare] % np.uint64(parts)).astype(np.int64), parts, hashes[rare], None, owners[rare], nodes)
+            yield from _deal((nodes % np.uint64(parts)).astype(np.int64)[owners[known]], parts, hashes[known], (np.minimum(hot_n[at[known]], _HOT - 1) + _HOT).astype(np.uint32), owners[known], nodes)
 
         for doc_id, node, own, new in _sets(batches, words):
-            yield {"part": int(_part_of(np.frombuffer(node, np.uint64).reshape(1, 2), parts)[0]), "doc_id": doc_id, "n": len(own), "node": node}
+            yield {"part": _short(node) % parts, "doc_id": doc_id, "n": len(own), "node": node}
             if new:
                 held.append((node, own))
                 size += len(own)
@@ -219,8 +226,9 @@ def _shingled(parts: int, words: int, frequent):
     return lambda batches: _batches(rows(batches), _DEALT)
 
 
-def _part_of(nodes: np.ndarray, parts: int) -> np.ndarray:
-    return (nodes[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts
+def _short(node: bytes) -> int:
+    """What stands for a node among those of its part, whose documents' rows have the whole."""
+    return int.from_bytes(node[:8], "little")
 
 
 def _apart(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[dict | list[dict]]:
@@ -243,7 +251,7 @@ def _shared(parts: int):
             if isinstance(r, dict):
                 yield r
             elif r:
-                hashes, _, owners, nodes, sizes = _gather(r)
+                hashes, _, owners, nodes = _gather(r)
                 order = np.lexsort((owners, hashes))
                 hashes, owners = hashes[order], owners[order]
                 fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])]
@@ -253,7 +261,7 @@ def _shared(parts: int):
                 keep = df > 1
                 if keep.any():
                     owners = owners[keep]
-                    yield from _deal(_part_of(nodes, parts)[owners], parts, hashes[keep], df[keep].astype(np.uint32), owners, nodes, sizes)
+                    yield from _deal((nodes % np.uint64(parts)).astype(np.int64)[owners], parts, hashes[keep], df[keep].astype(np.uint32), owners, nodes)
 
     return lambda batches: _batches(rows(batches), _DEALT)
 
@@ -273,20 +281,23 @@ def _prefixes(percent: int):
     """Shared shingles of one part of the nodes to those nodes that have enough of them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        whole: dict[int, tuple[bytes, int]] = {}
         for r in _apart(batches, counted=False):
             if isinstance(r, dict):
+                if whole.setdefault(_short(r["node"]), (r["node"], r["n"]))[0] != r["node"]:
+                    raise ValueError("two sets of one part have the same short digest")
                 yield {k: r[k] for k in ("doc_id", "n", "node")}
             elif r:
-                hashes, df, owners, nodes, sizes = _gather(r)
+                hashes, df, owners, nodes = _gather(r)
                 order = np.lexsort((hashes, df, owners))
                 hashes, df, owners = hashes[order].view(np.int64), df[order], owners[order]
                 ends = np.searchsorted(owners, np.arange(len(nodes) + 1))
-                for k, n in enumerate(sizes.tolist()):
+                for k, (node, n) in enumerate(map(whole.__getitem__, nodes.tolist())):
                     own, needed = slice(ends[k], ends[k + 1]), -(-percent * n // 100)
                     shared = ends[k + 1] - ends[k]
                     if shared >= needed:
                         matches = matches_for(df[own] & np.uint32(_HOT - 1), needed)
-                        yield {"n": n, "node": nodes[k].tobytes(), "shared": int(shared), "prefix": hashes[own][: shared - needed + matches], "tokens": hashes[own]}
+                        yield {"n": n, "node": node, "shared": int(shared), "prefix": hashes[own][: shared - needed + matches], "tokens": hashes[own]}
 
     return lambda batches: _batches(rows(batches), _NODES)
 
@@ -369,7 +380,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
     Two documents link when their shingle sets have a Jaccard similarity of ``percent`` or more.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts, words, share, most_frequent))
