@@ -22,7 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     rows = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & (fold(doc_id, folds) != held_out)).groupBy(F.col(doc_id).alias("sampled")).agg(F.max(label).cast("int").alias("y"))
     parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("sampled"), "sampled").limit(most) for y in (0, 1)]
     texts = docs.select(F.col(doc_id).alias("sampled"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(parts[0].unionByName(parts[1])), "sampled").select("text", "y")
+    # Few files may hold the sample; what learns from it should have all cores.
+    return texts.join(F.broadcast(parts[0].unionByName(parts[1])), "sampled").repartition("sampled").select("text", "y")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:

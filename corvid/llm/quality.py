@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from corvid.llm.batches import small_batches
 from corvid.llm.learn import labelled_sample, logistic
 
 N_OWN = 12
@@ -118,39 +119,36 @@ def _logit(p: float) -> float:
 
 
 def _fit_chain(x: np.ndarray, good: np.ndarray, there: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood of the chain by gradient steps; ``x`` is documents x lines x features."""
-    docs, lines, width = x.shape
-    theta = np.zeros(width + 2)
+    """Maximum likelihood of the chain by gradient steps.
+
+    ``x`` has a row for each line; ``there`` says which of documents x lines these are, in order.
+    """
+    docs, lines = there.shape
+    theta = np.zeros(x.shape[1] + 2)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    total = there.sum()
     both = there[:, 1:] & there[:, :-1]
-    same_good = (both & good[:, 1:] & good[:, :-1]).sum()
-    same_bad = (both & ~good[:, 1:] & ~good[:, :-1]).sum()
+    same_good, same_bad = (both & good[:, 1:] & good[:, :-1]).sum(), (both & ~good[:, 1:] & ~good[:, :-1]).sum()
+    odds, fg, fb, p = (np.zeros((docs, lines)) for _ in range(4))
     for k in range(1, rounds + 1):
         w, gg, bb = theta[:-2], theta[-2], theta[-1]
-        odds = np.where(there, x @ w, 0.0)
-        fg, fb = np.zeros((docs, lines)), np.zeros((docs, lines))
-        for i in range(lines):
-            if i == 0:
-                g, b = odds[:, 0], np.zeros(docs)
-            else:
-                g = odds[:, i] + np.logaddexp(fg[:, i - 1] + gg, fb[:, i - 1])
-                b = np.logaddexp(fg[:, i - 1], fb[:, i - 1] + bb)
-                g, b = np.where(there[:, i], g, fg[:, i - 1]), np.where(there[:, i], b, fb[:, i - 1])
-            fg[:, i], fb[:, i] = g, b
+        odds[there] = x @ w
+        fg[:, 0], fb[:, 0] = odds[:, 0], 0.0
+        for i in range(1, lines):
+            g = odds[:, i] + np.logaddexp(fg[:, i - 1] + gg, fb[:, i - 1])
+            b = np.logaddexp(fg[:, i - 1], fb[:, i - 1] + bb)
+            fg[:, i], fb[:, i] = np.where(there[:, i], g, fg[:, i - 1]), np.where(there[:, i], b, fb[:, i - 1])
         z = np.logaddexp(fg[:, -1], fb[:, -1])
-        bg, bb_ = np.zeros(docs), np.zeros(docs)
-        p = np.zeros((docs, lines))
+        after_g, after_b = np.zeros(docs), np.zeros(docs)
         e_gg = e_bb = 0.0
         for i in range(lines - 1, -1, -1):
-            p[:, i] = np.exp(np.clip(fg[:, i] + bg - z, -50, 0))
+            p[:, i] = np.exp(np.clip(fg[:, i] + after_g - z, -50, 0))
             if i:
                 on = there[:, i]
-                e_gg += np.exp(np.clip(fg[:, i - 1] + gg + odds[:, i] + bg - z, -50, 0))[on].sum()
-                e_bb += np.exp(np.clip(fb[:, i - 1] + bb + bb_ - z, -50, 0))[on].sum()
-                ng, nb = np.logaddexp(gg + odds[:, i] + bg, bb_), np.logaddexp(odds[:, i] + bg, bb + bb_)
-                bg, bb_ = np.where(on, ng, bg), np.where(on, nb, bb_)
-        slope = np.r_[np.tensordot(np.where(there, good - p, 0.0), x, axes=([0, 1], [0, 1])), same_good - e_gg, same_bad - e_bb] / total - 1e-3 * theta
+                e_gg += np.exp(np.clip(fg[:, i - 1] + gg + odds[:, i] + after_g - z, -50, 0))[on].sum()
+                e_bb += np.exp(np.clip(fb[:, i - 1] + bb + after_b - z, -50, 0))[on].sum()
+                g, b = np.logaddexp(gg + odds[:, i] + after_g, after_b), np.logaddexp(odds[:, i] + after_g, bb + after_b)
+                after_g, after_b = np.where(on, g, after_g), np.where(on, b, after_b)
+        slope = np.r_[(good - p)[there] @ x, same_good - e_gg, same_bad - e_bb] / len(x) - 1e-3 * theta
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         theta = theta + 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
     return theta[:-2], theta[-2:]
@@ -165,14 +163,15 @@ def train(texts: list[str | None], labels: list[int], most_lines: int = 64) -> F
     for t in texts:
         f = features(lines_of(t))
         rows.append(f if len(f) <= most_lines else f[np.linspace(0, len(f) - 1, most_lines).astype(int)])
-    lines = max(1, max(map(len, rows)))
-    x, there = np.zeros((len(rows), lines, 3 * N_OWN)), np.zeros((len(rows), lines), dtype=bool)
-    for i, f in enumerate(rows):
-        x[i, : len(f)], there[i, : len(f)] = f, True
-    good = np.repeat(y[:, None], lines, axis=1) & there
+    there = np.arange(max(1, max(map(len, rows))))[None, :] < np.array(list(map(len, rows)))[:, None]
+    x = np.vstack(rows)
+    if not len(x):
+        return Field(np.zeros(3 * N_OWN), (0.0, 0.0), (0.0, 0.0), constant=float(y.mean()))
+    good = y[:, None] & there
     weights, stay = _fit_chain(x, good, there)
     # Lines of low documents that look good are good; each low document keeps its worst line.
-    odds = np.where(there, x @ weights, np.inf)
+    odds = np.full(there.shape, np.inf)
+    odds[there] = x @ weights
     again = there & (good | (odds > 0))
     low = np.flatnonzero(~y & there.any(axis=1))
     again[low, odds[low].argmin(axis=1)] = False
@@ -196,7 +195,7 @@ def score_quality(docs: DataFrame, field: Field, text: str = "text", name: str =
     out = docs.drop(name)
     names = out.columns
     schema = T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast(field)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
