@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvid.llm.skew import spread_join
+
 FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
 LEDGER = "blob string, rule string, version int, spans array<struct<start: bigint, end: bigint>>"
 
@@ -124,7 +126,7 @@ def scan_secrets(docs: DataFrame, path: str = "doc_id", text: str = "text", ledg
         known = ledger.where(F.struct("rule", "version").isin(*[F.struct(F.lit(k).alias("rule"), F.lit(v).alias("version")) for k, v in current]))
         scanned = ledger_rows(scanned).unionByName(known).groupBy("blob").agg(F.collect_list(F.struct("rule", "version", "spans")).alias("found"))
     paths = docs.select(F.col(path), blob_of(text).alias("blob"))
-    return paths.join(findings_of_blobs(scanned, rules), "blob", "left").select(path, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    return spread_join(paths, findings_of_blobs(scanned, rules), "blob", path, "left").select(path, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def joined(findings: Column) -> Column:
