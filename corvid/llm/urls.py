@@ -6,8 +6,10 @@ orders up to 5, each order smoothed by the one below. Other URLs are judged by t
 their log-likelihoods for each character, against a threshold that is calibrated on the fifth of
 the ruled URLs that the models haven't seen.
 
-The models' counts cover every ruled URL. They are held in ``cells`` counters of both kinds, found
-by a hash of the characters, so that the broadcast has one size whatever the corpus.
+The models are a table of exact counts, one row for each run of characters, and grow with the input.
+URLs are scored in chunks of bounded length: each asks for the counts of its distinct runs, so that
+no run, however common, has more rows in the join than there are chunks. Nothing of the models
+passes through the driver but how many characters each kind has.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
 judged by the models. Without ruled URLs of both kinds nothing tells them apart and the verdict is
@@ -21,16 +23,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvid.llm.learn import fold
+from corvid.storage import stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The rules in force.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDERS = 6
+# Symbols of exact runs: the mark before a text, the mark behind it, and the bytes.
+_SYMBOLS = 258
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,7 +81,10 @@ def _cells(text: bytes, cells: int) -> np.ndarray:
 
 @dataclass
 class Models:
-    """``counts`` is kinds x cells, allowed first; ``marks`` how many characters each kind has."""
+    """The models over hashed counters, for one text in memory; tables are scored by exact runs.
+
+    ``counts`` is kinds x cells, allowed first; ``marks`` how many characters each kind has.
+    """
 
     counts: np.ndarray
     marks: np.ndarray
@@ -86,51 +95,117 @@ class Models:
         if not self.marks.all():
             return 0.0
         at = _cells(text, self.counts.shape[1])
-        total = np.zeros(2)
-        for kind in (0, 1):
-            seen = self.counts[kind][at]
-            p = np.full(at.shape[1], 1 / 257)
-            before = np.full(at.shape[1], self.marks[kind])
-            for k in range(ORDERS):
-                p = (np.minimum(seen[k], before) + self.weight * p) / (before + self.weight)
-                # The runs before each byte are those that end at the byte before it.
-                before = np.r_[0, seen[k][:-1]]
-            total[kind] = np.log(p).sum()
-        return float(total[0] - total[1]) / at.shape[1]
-
-
-def train(pages: DataFrame, text: str, verdict: str, cells: int = 1 << 20) -> Models:
-    """Counts over every row whose ``verdict`` is allow or block."""
+        return float(_ratios(self.counts[:, at], self.marks, np.zeros(1, np.int64), self.weight)[0])
+
+
+def _ratios(seen: np.ndarray, marks: np.ndarray, firsts: np.ndarray, weight: float = 4.0) -> np.ndarray:
+    """The ratio of each text; ``seen`` is kinds x orders x bytes, of texts that start at ``firsts``."""
+    logs = []
+    for kind in (0, 1):
+        p = np.full(seen.shape[2], 1 / 257)
+        before = np.full(seen.shape[2], marks[kind])
+        for k in range(ORDERS):
+            p = (np.minimum(seen[kind, k], before) + weight * p) / (before + weight)
+            # The runs before each byte are those that end at the byte before it.
+            before = np.r_[0, seen[kind, k][:-1]]
+            before[firsts] = 0
+        logs.append(np.log(p))
+    return np.add.reduceat(logs[0] - logs[1], firsts) / np.diff(np.r_[firsts, seen.shape[2]])
+
+
+def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The exact number of each run of 1 to ``ORDERS`` symbols, orders x bytes, and where texts start in it.
+
+    Each text starts after ``ORDERS - 1`` marks and ends with another, as in ``_cells``.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes + ORDERS) - 1
+    symbols = np.zeros(ends[-1] + 1, np.int64)
+    inside = np.ones(len(symbols), bool)
+    inside[((ends - sizes - ORDERS + 1)[:, None] + np.arange(ORDERS - 1)).ravel()] = False
+    at = np.flatnonzero(inside)
+    symbols[at] = 1
+    inside[ends] = False
+    symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 2
+    out = np.empty((ORDERS, len(at)), np.int64)
+    run = np.zeros(len(at), np.int64)
+    for k in range(ORDERS):
+        run += symbols[at - k] * _SYMBOLS**k
+        out[k] = run * ORDERS + k
+    return out, np.cumsum(sizes + 1) - sizes - 1
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], slice]]:
+    """The chunks of a batch of texts and their chunks: number, texts and rows."""
+    chunk = batch.column(1).to_numpy()
+    cuts = [*np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)] if len(chunk) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(chunk[a]), [t.encode() for t in batch.column(0).slice(a, b - a).to_pylist()], slice(a, b)
+
+
+def _pieces(*columns: np.ndarray, names: list[str], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + most]) for c in columns], names=names)
+
+
+def in_chunks(pages: DataFrame, text: str, name: str, cells: int) -> DataFrame:
+    """``pages`` with the number of a chunk: texts that follow each other and have about ``cells`` runs."""
+    names, most = pages.columns, max(1, cells // ORDERS)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, done = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            sizes = np.array([len(t.encode()) + 1 for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], np.int64)
+            before = done + np.cumsum(sizes) - sizes
+            done += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(low + before // most)], names=[*names, name])
+
+    return pages.mapInArrow(number, T.StructType([*pages.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def train(pages: DataFrame, text: str, chunk: str, kind: str, kinds: int = 2) -> DataFrame:
+    """How often each run is in the texts of each ``kind`` from 0; rows of no kind don't count."""
+    columns = [f"n{k}" for k in range(kinds)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, cells + 1), np.int64)
         for batch in batches:
-            for t, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = _cells(t.encode(), cells)
-                np.add.at(held[int(v == "block")], at.ravel(), 1)
-                held[int(v == "block"), cells] += at.shape[1]
-        some = np.flatnonzero(held.any(axis=0))
-        for i in range(0, len(some), 100_000):
-            at = some[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[0, at]), pa.array(held[1, at])], names=["cell", "allowed", "blocked"])
-
-    rows = pages.where(F.col(verdict).isin("allow", "block")).select(text, verdict).mapInArrow(count, "cell bigint, allowed bigint, blocked bigint")
-    table = rows.groupBy("cell").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).toArrow()
-    held = np.zeros((2, cells + 1), np.int64)
-    held[:, table["cell"].to_numpy()] = np.vstack([table["allowed"].to_numpy(), table["blocked"].to_numpy()])
-    return Models(held[:, :cells], held[:, cells])
-
-
-def with_ratio(pages: DataFrame, models: Models, text: str, name: str) -> DataFrame:
-    sent = pages.sparkSession.sparkContext.broadcast(models)
+            of = batch.column(2).to_numpy()
+            for _, texts, rows in _slices(batch):
+                runs, firsts = _runs(texts)
+                run, at = np.unique(runs, return_inverse=True)
+                each = np.tile(np.repeat(of[rows], np.diff(np.r_[firsts, runs.shape[1]])), ORDERS)
+                held = np.bincount(at.ravel() * kinds + each, minlength=len(run) * kinds).reshape(-1, kinds)
+                yield from _pieces(run, *held.T, names=["run", *columns])
+
+    rows = pages.where(F.col(kind).isNotNull()).select(text, chunk, kind).mapInArrow(count, "run bigint, " + ", ".join(f"{c} bigint" for c in columns))
+    return rows.groupBy("run").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def with_ratio(pages: DataFrame, counts: DataFrame, marks: list[int], text: str, chunk: str, name: str) -> DataFrame:
+    """``pages`` with the ratio by ``counts``; each chunk meets the counts of its own runs only."""
+    if not all(marks):
+        return pages.withColumn(name, F.lit(0.0))
     names = pages.columns
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ratios = [sent.value.ratio(t.encode()) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(ratios, pa.float64())], names=[*names, name])
+            for number, texts, _ in _slices(batch):
+                run = np.unique(_runs(texts)[0])
+                yield from _pieces(np.full(len(run), number), run, names=["asking", "run"])
+
+    def answer(rows: pa.Table, known: pa.Table) -> pa.Table:
+        # A chunk that two tasks have read has asked twice.
+        run, first = np.unique(known["run"].to_numpy(), return_index=True)
+        runs, firsts = _runs([t.encode() for t in rows[text].to_pylist()])
+        at = np.minimum(np.searchsorted(run, runs), max(len(run) - 1, 0))
+        found = run[at] == runs if len(run) else np.zeros(runs.shape, bool)
+        held = [known[f"n{k}"].to_numpy()[first] for k in (0, 1)]
+        seen = np.stack([np.where(found, n[at], 0) if len(run) else np.zeros(runs.shape, np.int64) for n in held])
+        return rows.select(names).append_column(name, pa.array(_ratios(seen, np.array(marks), firsts), pa.float64()))
 
-    return pages.mapInArrow(scan, T.StructType([*pages.schema.fields, T.StructField(name, T.DoubleType())]))
+    asked = pages.select(text, chunk).mapInArrow(ask, "asking bigint, run bigint")
+    known = asked.join(counts, "run")
+    return pages.groupBy(chunk).cogroup(known.groupBy("asking")).applyInArrow(answer, T.StructType([*pages.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def calibrated(scored: DataFrame, ratio: str, verdict: str, steps: int = 100, most: int = 5) -> float:
@@ -148,15 +223,21 @@ def calibrated(scored: DataFrame, ratio: str, verdict: str, steps: int = 100, mo
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, cells: int = 1 << 20) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and ratio."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "ratio", "_judged", "_text")]
+    """``pages`` with host, path, rule, verdict and ratio.
+
+    A task handles the texts of about ``cells`` runs at once; the results don't depend on it.
+    """
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "ratio", "_judged", "_text", "_kind", "_held", "_chunk")]
     located = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    known = located.withColumn("_judged", ruled(F.col("host"), F.col("path"), rules)).withColumn("_text", F.concat("host", "path"))
-    texts = known.select("_text", F.col("_judged.verdict").alias("verdict"))
-    held_out = fold("_text", 5) == 0
-    models = train(texts.where(~held_out), "_text", "verdict", cells)
-    least = calibrated(with_ratio(texts.where(held_out & F.col("verdict").isNotNull()), models, "_text", "ratio"), "ratio", "verdict")
+    judged = ruled(F.col("host"), F.col("path"), rules)
+    known = located.withColumn("_text", F.concat("host", "path")).withColumn("_kind", (judged["verdict"] == "block").cast("int")).withColumn("_held", fold("_text", 5) == 0)
+    known = stored(in_chunks(known, "_text", "_chunk", cells), "urls")
+    learnt = known.where(~F.col("_held"))
+    sizes = {r["_kind"]: r.n for r in learnt.where("_kind IS NOT NULL").groupBy("_kind").agg(F.sum(F.octet_length("_text") + 1).alias("n")).collect()}
+    marks = [sizes.get(k, 0) for k in (0, 1)]
+    scored = stored(with_ratio(known, train(learnt, "_text", "_chunk", "_kind"), marks, "_text", "_chunk", "ratio"), "ratios")
+    least = calibrated(scored.where("_held AND _kind IS NOT NULL").withColumn("verdict", F.when(F.col("_kind") == 0, "allow").otherwise("block")), "ratio", "verdict")
     method = F.when(F.col("ratio") >= least, F.lit("allow")).otherwise(F.lit("block"))
     # The rule's struct doesn't go through Python.
-    scored = with_ratio(known.drop("_judged"), models, "_text", "ratio").withColumn("_judged", ruled(F.col("host"), F.col("path"), rules))
-    return scored.select(*kept, "host", "path", F.col("_judged.rule").alias("rule"), F.coalesce("_judged.verdict", method).alias("verdict"), "ratio")
+    out = scored.withColumn("_judged", judged)
+    return out.select(*kept, "host", "path", F.col("_judged.rule").alias("rule"), F.coalesce("_judged.verdict", method).alias("verdict"), "ratio")

@@ -331,6 +331,34 @@ def test_url_counts_are_exact():
     assert models.ratio(b"abab") > 0 > models.ratio(b"zz")
 
 
+@pytest.mark.parametrize("cells", [1 << 8, 1 << 20])
+def test_url_ratios_are_those_of_exact_counts(spark, cells):
+    random.seed(12)
+    some = lambda: "".join(random.choice("abcdefgh\x02é/.-") for _ in range(random.randint(0, 30)))
+    rows = [(i, f"http://{random.choice(['a.net', 'b.org', 'c.io'])}/{random.choice(['', 'fr/'])}{some()}") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge_urls(pages, cells=cells).collect()
+    symbols = lambda t: ["start"] * (urls.ORDERS - 1) + list(t.encode()) + ["end"]
+    counts, marks = ({0: Counter(), 1: Counter()}, [0, 0])
+    for r in got:
+        if r.rule and zlib.crc32((r.host + r.path).encode()) % 5:
+            w, kind = symbols(r.host + r.path), int(r.verdict == "block")
+            marks[kind] += len(w) - urls.ORDERS + 1
+            for i in range(urls.ORDERS - 1, len(w)):
+                counts[kind].update(tuple(w[i - k : i + 1]) for k in range(urls.ORDERS))
+    assert all(marks) and len(got) == len(rows)
+    for r in got:
+        w, logs = symbols(r.host + r.path), [0.0, 0.0]
+        for kind in (0, 1):
+            for i in range(urls.ORDERS - 1, len(w)):
+                p, before = 1 / 257, marks[kind]
+                for k in range(urls.ORDERS):
+                    p = (min(counts[kind][tuple(w[i - k : i + 1])], before) + 4 * p) / (before + 4)
+                    before = counts[kind][tuple(w[i - 1 - k : i])] if i > urls.ORDERS - 1 else 0
+                logs[kind] += np.log(p)
+        assert r.ratio == pytest.approx((logs[0] - logs[1]) / (len(w) - urls.ORDERS + 1), abs=1e-9)
+
+
 # 9
 
 
