@@ -1,31 +1,36 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of documents. Block ``j`` of a source with ``k`` of ``K`` shares is
-released at slot ``floor(j * K / k)`` and due by slot ``ceil((j + 1) * K / k)``; of the released
-blocks, the one due first takes the slot. So at every slot a source is less than one block off
-its weight. When a source runs out, the others go on by their shares of what is left, as a new
-phase that starts even. Every document is placed exactly once.
-
-A phase repeats its first ``K`` slots, so the schedule of any number of blocks follows from that
-many: only ``K`` slots a phase are laid out on the driver. Ranks within sources, which may hold any
-part of the rows, come from a sort over all partitions and the counts of each.
-
-Edge cases: a null source is a source of its own. Beyond ``most_sources``, the smaller ones share one
-stream. Repeated rows each get a place; equal ids are placed next to each other in their source.
-Columns of the input that are named like the results are replaced. An empty table stays empty.
+Each source is cut into blocks of documents. In the ideal mixture all sources that still have some go
+on at once, by their shares; ``T(v)`` is how many blocks it has placed when each source has had ``v``
+for each share, or all of its own. Block ``j`` of a source with ``k`` shares is released at slot
+``floor(T(j / k))`` and due by slot ``ceil(T((j + 1) / k))``; of the released blocks, the one due first
+takes the slot. So at every slot each source is less than one block off the ideal mixture, however
+many there are and whenever others run out. Every document is placed exactly once.
+
+Slots follow from each other, so one task lays them out in order, from the sources' sizes only. It
+holds a few numbers for each source and writes its plan, a row for each block, as a table. Ranks within
+sources, which may hold any part of the rows, come from a sort over all partitions and the counts of
+each. Only what Spark broadcasts, if it is small, passes through the driver.
+
+Edge cases: a null source is a source of its own. Repeated rows each get a place; equal ids are placed
+next to each other in their source. Columns of the input that are named like the results are replaced.
+An empty table stays empty.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, batched
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.storage import stored
 
-_NULL, _REST = "\u0000null", "\u0000rest"
-_PLAN = "stream string, share bigint, firsts array<bigint>, starts array<bigint>, periods array<bigint>, slots array<array<bigint>>"
+_NULL = "\u0000null"
 
 
 def target_shares(counts: dict[str, int], power: float = 0.5, total: int = 1000) -> dict[str, int]:
@@ -35,58 +40,70 @@ def target_shares(counts: dict[str, int], power: float = 0.5, total: int = 1000)
     return {s: max(1, round(total * w / whole)) for s, w in weights.items()}
 
 
-def period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period of as many slots as there are shares."""
-    total = sum(shares.values())
-    slots: dict[str, list[int]] = {s: [] for s in shares}
-    coming = [(0, s) for s in sorted(shares)]
+def in_order(blocks: dict[str, int], shares: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """Source and block of each slot, from the first."""
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    ends = sorted((blocks[s] / shares[s], blocks[s], shares[s]) for s in names)
+    times = [t for t, _, _ in ends]
+    # What sources have placed that ran out by then, and the shares of the others.
+    gone = [0, *accumulate(n for _, n, _ in ends)]
+    live = [0, *accumulate(k for _, _, k in reversed(ends))][::-1]
+
+    def placed(j: int, k: int, up: int) -> int:
+        i = bisect_right(times, j / k)
+        return gone[i] + (j * live[i] + up * (k - 1)) // k
+
+    done = dict.fromkeys(names, 0)
+    coming = [(0, s) for s in names]
     ready: list[tuple[int, str]] = []
-    for t in range(total):
+    for t in range(gone[-1]):
         while coming and coming[0][0] <= t:
             _, s = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // shares[s]), s))
+            heapq.heappush(ready, (placed(done[s] + 1, shares[s], 1), s))
         _, s = heapq.heappop(ready)
+        yield s, done[s]
+        done[s] += 1
+        if done[s] < blocks[s]:
+            heapq.heappush(coming, (placed(done[s], shares[s], 0), s))
+
+
+def period(shares: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source in one period of as many slots as there are shares."""
+    slots: dict[str, list[int]] = {s: [] for s in shares}
+    for t, (s, _) in enumerate(in_order(shares, shares)):
         slots[s].append(t)
-        if len(slots[s]) < shares[s]:
-            heapq.heappush(coming, (len(slots[s]) * total // shares[s], s))
     return slots
 
 
-def schedule(blocks: dict[str, int], shares: dict[str, int]) -> dict[str, list[tuple[int, int, int, list[int]]]]:
-    """For each source its phases: first block, first slot, slots in a period, its own of them."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    plan: dict[str, list] = {s: [] for s in left}
-    start = 0
-    while left:
-        live = {s: shares[s] for s in left}
-        total, slots = sum(live.values()), period(live)
-        for s in left:
-            plan[s].append((done[s], start, total, slots[s]))
-        length = min((left[s] - 1) // live[s] * total + slots[s][(left[s] - 1) % live[s]] + 1 for s in left)
-        for s in live:
-            n = length // total * live[s] + sum(t < length % total for t in slots[s])
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        start += length
-    return plan
+def _plan(counts: DataFrame, shares: dict[str, int] | None, block: int, most_sources: int) -> DataFrame:
+    """For each source and block its slot and the position of its first document."""
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = {s: n for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        if not sizes:
+            return
+        given = target_shares(sizes, total=max(1000, 1000 * len(sizes) // most_sources)) if shares is None else {s: max(1, shares.get(s, 1)) for s in sizes}
+        first = 0
+        for some in batched(enumerate(in_order({s: -(-n // block) for s, n in sizes.items()}, given)), 10_000):
+            rows = []
+            for t, (s, j) in some:
+                rows.append((s, j, t, first))
+                first += min(block, sizes[s] - j * block)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["_stream", "block", "slot", "_first"])
+
+    return counts.select("_stream", "n").repartition(1).mapInArrow(lay, "_stream string, block bigint, slot bigint, _first bigint")
 
 
 def mix_sources(docs: DataFrame, shares: dict[str, int] | None = None, doc_id: str = "doc_id", source: str = "source", block: int = 16, most_sources: int = 256) -> DataFrame:
     """``docs`` with ``block`` (of its source), ``slot`` (of the block) and ``position``.
 
-    Without ``shares`` the target weights go as the square roots of the sources' sizes. Sources
+    Without ``shares`` the target weights go as the square roots of the sources' sizes, in 1,000
+    shares; beyond ``most_sources``, which those are enough for, shares grow with the sources. Sources
     that ``shares`` doesn't name get one share each.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("block", "slot", "position", "_stream", "_id", "_low", "_before")]
+    names = [c for c in docs.columns if c not in ("block", "slot", "position", "_stream", "_id", "_low", "_before", "_part", "_rank", "_first")]
     stream = F.coalesce(F.col(source).cast("string"), F.lit(_NULL))
-    top = docs.groupBy(stream.alias("s")).count().orderBy(F.desc("count"), "s").limit(most_sources + 1).collect()
-    named = [r["s"] for r in top[:most_sources]]
-    if len(top) > most_sources:
-        stream = F.when(stream.isin(named), stream).otherwise(F.lit(_REST))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("_stream"), F.xxhash64(doc_id), F.col(doc_id)]
     laid = stored(docs.select(*names, stream.alias("_stream")).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "mixing")
@@ -94,28 +111,10 @@ def mix_sources(docs: DataFrame, shares: dict[str, int] | None = None, doc_id: s
     # One row for each partition and each source that begins or ends in one.
     pieces = laid.groupBy("_stream", part.alias("_part")).agg(F.count("*").alias("n"), F.min("_id").alias("_low"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_stream").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pieces = pieces.select("_stream", "_part", "_low", before.alias("_before"))
-
-    counts = {r["_stream"]: r["n"] for r in laid.groupBy("_stream").agg(F.count("*").alias("n")).collect()}
-    given = target_shares(counts) if shares is None else {s: max(1, shares.get(s, 1)) for s in counts}
-    plan = schedule({s: -(-n // block) for s, n in counts.items()}, given)
-    rows = [(s, given[s], [p[0] for p in ps], [p[1] for p in ps], [p[2] for p in ps], [p[3] for p in ps]) for s, ps in plan.items()]
-    missing = []
-    for s, n in counts.items():
-        first, start, total, slots = plan[s][-1]
-        at = -(-n // block) - 1 - first
-        if n % block:
-            missing.append((start + at // given[s] * total + slots[at % given[s]], block - n % block))
-    table = spark.createDataFrame(rows, _PLAN).withColumnRenamed("stream", "_stream")
-
-    ranked = laid.withColumn("_part", part).join(F.broadcast(pieces), ["_stream", "_part"]).withColumn("_rank", F.col("_id") - F.col("_low") + F.col("_before"))
-    placed = ranked.join(F.broadcast(table), "_stream").withColumn("block", F.floor(F.col("_rank") / block))
-    phase = placed.withColumn("_phase", F.size(F.filter("firsts", lambda f: f <= F.col("block"))) - 1)
-    own = F.col("block") - F.get("firsts", "_phase")
-    slot = F.get("starts", "_phase") + F.floor(own / F.col("share")) * F.get("periods", "_phase") + F.get(F.get("slots", "_phase"), (own % F.col("share")).cast("int"))
-    short = F.lit(0).cast("bigint")
-    if missing:
-        gaps = F.array(*[F.struct(F.lit(a).cast("bigint").alias("slot"), F.lit(m).cast("bigint").alias("n")) for a, m in missing])
-        short = F.aggregate(F.filter(gaps, lambda g: g["slot"] < F.col("slot")), short, lambda total, g: total + g["n"])
-    out = phase.withColumn("slot", slot.cast("bigint"))
-    return out.withColumn("position", F.col("slot") * block + F.col("_rank") % block - short).select(*names, F.col("block").cast("bigint").alias("block"), "slot", "position")
+    pieces = stored(pieces.select("_stream", "_part", "n", "_low", before.alias("_before")), "pieces")
+    # Stored, so that their sizes are known: they are broadcast only if they are small.
+    plan = stored(_plan(pieces.groupBy("_stream").agg(F.sum("n").alias("n")), shares, block, most_sources), "plan")
+
+    ranked = laid.withColumn("_part", part).join(pieces.drop("n"), ["_stream", "_part"]).withColumn("_rank", F.col("_id") - F.col("_low") + F.col("_before"))
+    placed = ranked.withColumn("block", F.floor(F.col("_rank") / block).cast("bigint")).join(plan, ["_stream", "block"])
+    return placed.withColumn("position", F.col("_first") + F.col("_rank") % block).select(*names, "block", "slot", "position")

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -148,6 +149,34 @@ def test_every_document_has_one_place(spark):
     assert mixing.mix_sources(df, most_sources=2).count() == len(rows)
 
 
+def test_every_source_is_a_stream_of_its_own(spark):
+    random.seed(13)
+    sizes = {f"s{i:03}": random.choice([1, 2, 5, 9, 40]) for i in range(300)} | {"big": 900}
+    shares = {"big": 60, "s007": 9, "s250": 3}
+    rows = [(f"{s}-{i}", s) for s, n in sizes.items() for i in range(n)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id string, source string"), shares, block=4).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    slots = {}
+    for r in got:
+        slots.setdefault(r.slot, set()).add((r.source, r.block))
+    assert all(len(x) == 1 for x in slots.values()) and sorted(slots) == list(range(len(slots)))
+    # The ideal mixture, in exact fractions: all go on by their shares until they run out.
+    left, ideal, have = {s: Fraction(-(-n // 4)) for s, n in sizes.items()}, Counter(), Counter()
+    for t in range(len(slots)):
+        have[next(iter(slots[t]))[0]] += 1
+        time = Fraction(1)
+        while time and any(left.values()):
+            whole = sum(shares.get(s, 1) for s in left if left[s])
+            step = min([time] + [left[s] * whole / shares.get(s, 1) for s in left if left[s]])
+            for s in left:
+                if left[s]:
+                    part = step * shares.get(s, 1) / whole
+                    left[s] -= part
+                    ideal[s] += part
+            time -= step
+        assert all(abs(have[s] - ideal[s]) < 1 for s in sizes)
+
+
 # 4 and 8
 
 
