@@ -3,8 +3,8 @@
 Rules name a host, with all its subdomains, and the beginning of a path; the longest that fits
 decides. The URLs that they allow and block are the texts of two Markov models over characters, of
 orders up to 5, each order smoothed by the one below. Other URLs are judged by the difference of
-their log-likelihoods for each character, against a threshold that is calibrated on the fifth of
-the ruled URLs that the models haven't seen.
+their log-likelihoods for each character, by counts over every ruled URL. The threshold is calibrated
+on a fifth of the ruled URLs, each judged by the counts over the other four fifths.
 
 The models are a table of exact counts, one row for each run of characters, and grow with the input.
 URLs are scored in chunks of bounded length: each asks for the counts of its distinct runs, so that
@@ -181,11 +181,13 @@ def train(pages: DataFrame, text: str, chunk: str, kind: str, kinds: int = 2) ->
     return rows.groupBy("run").agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def with_ratio(pages: DataFrame, counts: DataFrame, marks: list[int], text: str, chunk: str, name: str) -> DataFrame:
-    """``pages`` with the ratio by ``counts``; each chunk meets the counts of its own runs only."""
-    if not all(marks):
-        return pages.withColumn(name, F.lit(0.0))
+def with_ratios(pages: DataFrame, counts: DataFrame, marks: list[int], text: str, chunk: str, models: dict[str, list[tuple[int, ...]]]) -> DataFrame:
+    """``pages`` with a ratio for each of ``models``; each chunk meets the counts of its own runs only.
+
+    A model names the kinds that it counts as allowed and those that it counts as blocked.
+    """
     names = pages.columns
+    known_marks = {name: np.array([sum(marks[k] for k in of) for of in kinds]) for name, kinds in models.items()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,13 +201,20 @@ def with_ratio(pages: DataFrame, counts: DataFrame, marks: list[int], text: str,
         runs, firsts = _runs([t.encode() for t in rows[text].to_pylist()])
         at = np.minimum(np.searchsorted(run, runs), max(len(run) - 1, 0))
         found = run[at] == runs if len(run) else np.zeros(runs.shape, bool)
-        held = [known[f"n{k}"].to_numpy()[first] for k in (0, 1)]
-        seen = np.stack([np.where(found, n[at], 0) if len(run) else np.zeros(runs.shape, np.int64) for n in held])
-        return rows.select(names).append_column(name, pa.array(_ratios(seen, np.array(marks), firsts), pa.float64()))
+        seen = []
+        for k in range(len(marks)):
+            n = known[f"n{k}"].to_numpy()[first]
+            seen.append(np.where(found, n[at], 0) if len(run) else np.zeros(runs.shape, np.int64))
+        out = rows.select(names)
+        for name, kinds in models.items():
+            of = known_marks[name]
+            ratios = _ratios(np.stack([sum(seen[k] for k in x) for x in kinds]), of, firsts) if of.all() else np.zeros(len(firsts))
+            out = out.append_column(name, pa.array(ratios, pa.float64()))
+        return out
 
     asked = pages.select(text, chunk).mapInArrow(ask, "asking bigint, run bigint")
     known = asked.join(counts, "run")
-    return pages.groupBy(chunk).cogroup(known.groupBy("asking")).applyInArrow(answer, T.StructType([*pages.schema.fields, T.StructField(name, T.DoubleType())]))
+    return pages.groupBy(chunk).cogroup(known.groupBy("asking")).applyInArrow(answer, T.StructType([*pages.schema.fields, *(T.StructField(name, T.DoubleType()) for name in models)]))
 
 
 def calibrated(scored: DataFrame, ratio: str, verdict: str, steps: int = 100, most: int = 5) -> float:
@@ -227,16 +236,20 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str],
 
     A task handles the texts of about ``cells`` runs at once; the results don't depend on it.
     """
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "ratio", "_judged", "_text", "_kind", "_held", "_chunk")]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "ratio", "_judged", "_text", "_kind", "_chunk", "_unseen")]
     located = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = ruled(F.col("host"), F.col("path"), rules)
-    known = located.withColumn("_text", F.concat("host", "path")).withColumn("_kind", (judged["verdict"] == "block").cast("int")).withColumn("_held", fold("_text", 5) == 0)
+    # 0 and 1 are the four fifths that are allowed and blocked, 2 and 3 the fifth.
+    kind = (judged["verdict"] == "block").cast("int") + F.when(fold("_text", 5) == 0, 2).otherwise(0)
+    known = located.withColumn("_text", F.concat("host", "path")).withColumn("_kind", kind)
     known = stored(in_chunks(known, "_text", "_chunk", cells), "urls")
-    learnt = known.where(~F.col("_held"))
-    sizes = {r["_kind"]: r.n for r in learnt.where("_kind IS NOT NULL").groupBy("_kind").agg(F.sum(F.octet_length("_text") + 1).alias("n")).collect()}
-    marks = [sizes.get(k, 0) for k in (0, 1)]
-    scored = stored(with_ratio(known, train(learnt, "_text", "_chunk", "_kind"), marks, "_text", "_chunk", "ratio"), "ratios")
-    least = calibrated(scored.where("_held AND _kind IS NOT NULL").withColumn("verdict", F.when(F.col("_kind") == 0, "allow").otherwise("block")), "ratio", "verdict")
+    sizes = {r["_kind"]: r.n for r in known.where("_kind IS NOT NULL").groupBy("_kind").agg(F.sum(F.octet_length("_text") + 1).alias("n")).collect()}
+    marks = [sizes.get(k, 0) for k in range(4)]
+    counts = train(known, "_text", "_chunk", "_kind", 4)
+    models = {"ratio": [(0, 2), (1, 3)], "_unseen": [(0,), (1,)]}
+    scored = stored(with_ratios(known, counts, marks, "_text", "_chunk", models), "ratios")
+    fifth = scored.where("_kind >= 2").withColumn("verdict", F.when(F.col("_kind") == 2, "allow").otherwise("block"))
+    least = calibrated(fifth, "_unseen", "verdict")
     method = F.when(F.col("ratio") >= least, F.lit("allow")).otherwise(F.lit("block"))
     # The rule's struct doesn't go through Python.
     out = scored.withColumn("_judged", judged)
