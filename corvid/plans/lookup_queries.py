@@ -25,15 +25,27 @@ def workspace_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def misspelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct names within two edits.
 
-    Two edits leave one of three even pieces of a name in place, up to a shift of two; names meet by those.
+    Two edits leave one of three pieces of a name in place, up to a shift of two; names meet by those.
+    Names of less than three characters can't be cut in three: they meet by length alone.
     """
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    pieces = names.withColumn("piece", F.explode(F.expr("array_distinct(transform(sequence(0, 2), i -> substring(name, cast(i * ceil(length(name) / 3) + 1 AS int), cast(ceil(length(name) / 3) AS int))))"))).where("piece <> ''")
-    widths = F.expr("sequence(greatest(1, cast(ceil((length(name) - 2) / 3) AS int)), cast(ceil((length(name) + 2) / 3) AS int))")
+    return within_two_edits(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct())
+
+
+def within_two_edits(names: DataFrame) -> DataFrame:
+    """name, candidate and distance of the pairs of ``names``, which are distinct."""
+    # Piece i goes from character n * i / 3 to n * (i + 1) / 3, so lengths differ by one at most.
+    cut = F.expr("array_distinct(transform(sequence(0, 2), i -> substring(name, length(name) * i div 3 + 1, length(name) * (i + 1) div 3 - length(name) * i div 3)))")
+    pieces = names.where("length(name) > 2").withColumn("piece", F.explode(cut))
+    # The pieces of names that are up to two characters shorter or longer.
+    widths = F.expr("sequence(greatest(1, (length(name) - 2) div 3), (length(name) + 4) div 3)")
     runs = F.expr("array_distinct(transform(sequence(1, length(candidate)), i -> substring(candidate, i, width)))")
-    grams = names.select(F.col("name").alias("candidate"), F.explode(widths).alias("width")).select("candidate", F.explode(runs).alias("piece")).distinct()
+    grams = names.where("name <> ''").select(F.col("name").alias("candidate"), F.explode(widths).alias("width")).select("candidate", F.explode(runs).alias("piece")).distinct()
     met = pieces.join(grams, "piece").where("name <> candidate AND abs(length(name) - length(candidate)) <= 2")
-    pairs = met.select(F.least("name", "candidate").alias("name"), F.greatest("name", "candidate").alias("candidate")).distinct()
+    sizes = F.sequence(F.greatest(F.length("name") - 2, F.lit(0)), F.length("name") + 2)
+    short = names.where("length(name) < 3").select("name", F.explode(sizes).alias("size"))
+    near = short.join(names.where("length(name) < 5").select(F.col("name").alias("candidate"), F.length("name").alias("size")), "size").where("name <> candidate")
+    both = met.select("name", "candidate").unionByName(near.select("name", "candidate"))
+    pairs = both.select(F.least("name", "candidate").alias("name"), F.greatest("name", "candidate").alias("candidate")).distinct()
     return pairs.withColumn("distance", F.levenshtein("name", "candidate", 2)).where("distance >= 0")
 
 

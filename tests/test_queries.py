@@ -1,10 +1,13 @@
 """Every query with SQL against DuckDB, on the smallest tables."""
 
+import random
+
 import duckdb
 import pytest
 
 from compare import TABLES, rows
 from corvid.plans.catalog import ORACLE_SQL, QUERIES
+from corvid.plans.lookup_queries import misspelling
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +32,13 @@ def test_same_as_sql(spark, db, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_misspellings_of_short_names(spark, tmp_path):
+    random.seed(14)
+    names = {"", "a", "b", "ab", "cd", "abcd", "xbxd"} | {"".join(random.choices("abcd", k=random.randint(1, 9))) for _ in range(400)}
+    spark.createDataFrame([(n,) for n in sorted(names)], "p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = misspelling(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in got) == sorted(db.execute(ORACLE_SQL["misspelling"]).fetchall())
