@@ -1,17 +1,18 @@
-"""How many rows of text go to Python at once."""
+"""How many rows of text become Python objects at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
 
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+import pyarrow as pa
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """``spark``, with batches of ``rows`` rows unless it has a number of its own already.
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of at most ``rows`` rows, without a copy.
 
-    Spark's default of 10,000 is meant for numbers; that many documents may fill a worker's memory.
+    Spark bounds a batch by bytes and by 10,000 rows, which is meant for numbers: that many documents, as
+    Python strings and words, may fill a worker's memory. An empty batch gives no slice.
     """
-    if spark.conf.get(_ROWS) == "10000":
-        spark.conf.set(_ROWS, str(rows))
-    return spark
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

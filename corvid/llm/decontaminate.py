@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.batches import small_batches
+from corvid.llm.batches import sliced
 from corvid.storage import stored
 
 RESULT = "n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, n_hit bigint, items array<bigint>"
@@ -179,7 +179,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, most_coverage: float
 
 def _scanned(docs: DataFrame, items: DataFrame, most_coverage: float | None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 200_000) -> DataFrame:
     """One pass for each shard of items; the last one cuts spans out if ``most_coverage`` is given."""
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     results = T.StructType.fromDDL(RESULT).fields
     names = [f.name for f in results]
     out = docs.drop(*names)
@@ -193,7 +193,7 @@ def _scanned(docs: DataFrame, items: DataFrame, most_coverage: float | None, tex
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, again=again, cut=cut) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(sent.value, window)
             span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            for batch in batches:
+            for batch in sliced(batches):
                 before = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("hit_spans", "items")] if again else None
                 n_words, spans, n_hit, found, changed = [], [], [], [], {}
                 where = batch.schema.get_field_index(text)
@@ -246,7 +246,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, text: str = "text",
     schema = T.StructType([found.schema[n] for n in names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(text)
             texts = batch.column(at).to_pylist()
             for j, spans in enumerate(batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corvid.llm.batches import small_batches
+from corvid.llm.batches import sliced
 from corvid.llm.learn import labelled_sample, logistic
 
 N_OWN = 12
@@ -195,10 +195,10 @@ def score_quality(docs: DataFrame, field: Field, text: str = "text", name: str =
     out = docs.drop(name)
     names = out.columns
     schema = T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())])
-    sent = small_batches(docs.sparkSession).sparkContext.broadcast(field)
+    sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index(text))
             scores = pa.array([sent.value.score(t.as_py()) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), scores], names=[*names, name])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.batches import small_batches
+from corvid.llm.batches import sliced
 
 # Fixed value: how this vocabulary's encoder cuts text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,11 +39,11 @@ def encoded_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCAB
     out = docs.drop(name)
     names = out.columns
     schema = T.StructType([*out.schema.fields, T.StructField(name, T.LongType())])
-    sent = small_batches(docs.sparkSession).sparkContext.broadcast(Path(vocabulary).read_bytes())
+    sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             lengths = [len(encoder.encode_ordinary(t.as_py() or "")) for t in batch.column(batch.schema.get_field_index(text))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(lengths, pa.int64())], names=[*names, name])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.batches import small_batches
+from corvid.llm.batches import sliced
 from corvid.llm.learn import labelled_sample, logistic
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -138,7 +138,7 @@ def _seen(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in sliced(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = set(_WORD.findall((text or "").lower()))
                 found[y].update(words | {w[:k] + "*" for w in words for k in _BEGINNINGS if len(w) >= k} | {""})
@@ -170,7 +170,7 @@ def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sent.value.matches(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
     rows = sample.mapInArrow(measure, "y int, x array<double>").collect()
@@ -185,10 +185,10 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", name: str
     out = docs.drop(name)
     names = out.columns
     schema = T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())])
-    sent = small_batches(docs.sparkSession).sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index(text))
             scores = pa.array([sent.value.score(t.as_py()) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), scores], names=[*names, name])
