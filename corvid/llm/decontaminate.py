@@ -4,8 +4,11 @@ The automaton holds every run of words of every benchmark item. A document's wor
 through it; at each word its state tells the longest run that ends there and that some item has.
 Runs of ``window`` words or more are contamination, and so is a whole item of fewer words.
 
-The items are put on the driver and broadcast in shards of at most ``shard_words`` words, each
-one pass over the documents, so what is broadcast doesn't grow with the benchmark.
+The items are put on the driver and broadcast in shards of at most ``shard_words`` words, one shard at a
+time, so what is broadcast doesn't grow with the benchmark. A Python worker builds a shard's automaton
+once and keeps it for its later tasks. One shard is one pass over the documents. Of more shards each is
+a pass over the texts that gives the hits only, by digest of the text; they are joined to the documents
+in the last pass. No text is written in between.
 
 Edge cases: a null or empty text has no words. An item without words takes no part; an item with a
 null id takes hits, but isn't counted or listed. Repeated items count once. Each document row
@@ -15,17 +18,23 @@ named like the results are replaced.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvid.llm.batches import sliced
+from corvid.llm.skew import spread_join
 from corvid.storage import stored
 
-RESULT = "n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, n_hit bigint, items array<bigint>"
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_RESULTS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(_SPAN)), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))]
+_NAMES = [f.name for f in _RESULTS]
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -41,6 +50,7 @@ class Automaton:
     """
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
+        self.window = window
         self.step: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends = []
@@ -109,9 +119,9 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
         return new
 
-    def hits(self, words: list[bytes], window: int) -> tuple[list[tuple[int, int]], set[int]]:
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans of words inside windows, ascending and apart, and the items of those windows."""
-        step, link, length, least = self.step, self.link, self.length, self.least
+        step, link, length, least, window = self.step, self.link, self.length, self.least, self.window
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
         state = run = 0
@@ -164,6 +174,23 @@ def _shards(items: DataFrame, item_id: str, text: str, shard_words: int) -> Iter
     yield shard
 
 
+#: The automaton that this Python worker built last, by the name of its shard.
+_BUILT: dict[str, Automaton] = {}
+
+
+def _built(name: str, shard, window: int) -> Automaton:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(shard.value, window)
+    return _BUILT[name]
+
+
+def _looker(spark: SparkSession, shard: list, window: int):
+    """What gives a text's spans and items by the automaton of ``shard``, once called in a task."""
+    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(shard)
+    return lambda: _built(name, sent, window).hits
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
     """``docs`` with n_words, hit_spans (of words, end exclusive), n_hit and items; see ``_scanned`` for ``more``."""
     return _scanned(docs, items, None, **more)
@@ -178,50 +205,74 @@ def remove_contamination(docs: DataFrame, items: DataFrame, most_coverage: float
 
 
 def _scanned(docs: DataFrame, items: DataFrame, most_coverage: float | None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 200_000) -> DataFrame:
-    """One pass for each shard of items; the last one cuts spans out if ``most_coverage`` is given."""
+    """``docs`` with the results; or, if ``most_coverage`` is given, without the spans."""
     spark = docs.sparkSession
-    results = T.StructType.fromDDL(RESULT).fields
-    names = [f.name for f in results]
-    out = docs.drop(*names)
-    kept, plain = out.columns, out.schema
+    docs = docs.drop(*_NAMES) if most_coverage is None else docs
     shards = _shards(items, item_id, item_text, shard_words)
-    shard, again = next(shards), False
-    while True:
+    shard, after = next(shards), next(shards, None)
+    if after is None:
+        return _judged(docs, text, most_coverage, _looker(spark, shard, window))
+    found = _hits_of(docs, text, _looker(spark, shard, window))
+    while after is not None:
+        found = found.unionByName(_hits_of(docs, text, _looker(spark, after, window)))
         after = next(shards, None)
-        sent, cut = spark.sparkContext.broadcast(shard), most_coverage if after is None else None
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, again=again, cut=cut) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(sent.value, window)
-            span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            for batch in sliced(batches):
-                before = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("hit_spans", "items")] if again else None
-                n_words, spans, n_hit, found, changed = [], [], [], [], {}
-                where = batch.schema.get_field_index(text)
-                for j, raw in enumerate(batch.column(where).cast(pa.binary())):
-                    words = words_of(raw.as_py() or b"")
-                    own, ids = automaton.hits(words, window)
-                    if again:
-                        own = merged([(s["start"], s["end"]) for s in before[0][j]] + own)
-                        ids |= set(before[1][j])
-                    n_words.append(len(words))
-                    n_hit.append(sum(b - a for a, b in own))
-                    if cut is None:
-                        spans.append([{"start": a, "end": b} for a, b in own])
-                        found.append(sorted(ids))
-                    elif own and n_hit[-1] <= cut * len(words):
-                        changed[j] = without(raw.as_py().decode(), own)
-                columns = [batch.column(i) for i in range(len(kept))]
-                if cut is None:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[*kept, *names])
-                else:
-                    if changed:
-                        columns[where] = pa.array([changed.get(j, t) for j, t in enumerate(columns[where].to_pylist())], columns[where].type)
-                    yield pa.RecordBatch.from_arrays(columns, names=kept).filter(pa.array([h <= cut * n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()))
-
-        out = out.mapInArrow(scan, plain if cut is not None else T.StructType([*plain.fields, *results]))
-        if after is None:
-            return out
-        out, shard, again = stored(out, "decontaminate"), after, True
+    # Each text once for each shard, however many rows have it; then all its shards together.
+    once = found.groupBy("_digest", "_shard").agg(F.first("_spans").alias("_spans"), F.first("_items").alias("_items"))
+    hits = stored(once.groupBy("_digest").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items")), "hits")
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("_digest"))
+    return _judged(spread_join(keyed, hits, "_digest", "left").select("_doc.*", "_spans", "_items"), text, most_coverage, None)
+
+
+def _hits_of(docs: DataFrame, text: str, looker) -> DataFrame:
+    """Digest, spans and items of the texts that one shard hits; the shard by a number of its own."""
+    number = uuid.uuid4().int >> 65
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, seen = looker(), set()
+        for batch in sliced(batches):
+            rows: dict[str, list] = {"_digest": [], "_shard": [], "_spans": [], "_items": []}
+            for raw in batch.column(0).cast(pa.binary()).to_pylist():
+                own, ids = look(words_of(raw or b""))
+                digest = hashlib.sha256(raw or b"").digest() if own else b""
+                if own and digest not in seen:
+                    seen.add(digest)
+                    for column, x in zip(rows.values(), (digest, number, [{"start": a, "end": b} for a, b in own], sorted(ids)), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["_digest"], pa.binary()), pa.array(rows["_shard"], pa.int64()), pa.array(rows["_spans"], _SPANS), pa.array(rows["_items"], pa.list_(pa.int64()))], names=list(rows))
+
+    return docs.select(text).mapInArrow(scan, "_digest binary, _shard bigint, _spans array<struct<start:bigint,end:bigint>>, _items array<bigint>")
+
+
+def _judged(docs: DataFrame, text: str, most_coverage: float | None, looker) -> DataFrame:
+    """The last pass, over documents as they came or, without ``looker``, with their hits behind."""
+    names = docs.columns if looker else docs.columns[:-2]
+    plain = T.StructType([docs.schema[n] for n in names])
+    where = names.index(text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = looker() if looker else None
+        for batch in sliced(batches):
+            n_words, spans, n_hit, found, changed = [], [], [], [], {}
+            known = None if look else [batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()]
+            for j, raw in enumerate(batch.column(where).cast(pa.binary()).to_pylist()):
+                words = words_of(raw or b"")
+                own, ids = look(words) if look else (merged([(s["start"], s["end"]) for s in known[0][j] or ()]), known[1][j] or ())
+                n_words.append(len(words))
+                n_hit.append(sum(b - a for a, b in own))
+                if most_coverage is None:
+                    spans.append([{"start": a, "end": b} for a, b in own])
+                    found.append(sorted(ids))
+                elif own and n_hit[-1] <= most_coverage * len(words):
+                    changed[j] = without(raw.decode(), own)
+            columns = [batch.column(i) for i in range(len(names))]
+            if most_coverage is None:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[*names, *_NAMES])
+                continue
+            if changed:
+                columns[where] = pa.array([changed.get(j, t) for j, t in enumerate(columns[where].to_pylist())], columns[where].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([h <= most_coverage * n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(scan, plain if most_coverage is not None else T.StructType([*plain.fields, *_RESULTS]))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -235,30 +286,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, text: str = "text", window: int = 10, most_coverage: float = 0.5, **more) -> DataFrame:
-    """``docs`` without contaminated spans; documents covered beyond ``most_coverage`` go.
-
-    What a removed span leaves is joined by one space. Documents without hits stay as they are.
-    """
-    found = find_contamination(docs, items, text=text, window=window, **more)
-    near = found.where(F.col("n_hit") <= most_coverage * F.col("n_words"))
-    names = found.columns[: -len(T.StructType.fromDDL(RESULT).fields)]
-    schema = T.StructType([found.schema[n] for n in names])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            at = batch.schema.get_field_index(text)
-            texts = batch.column(at).to_pylist()
-            for j, spans in enumerate(batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()):
-                if spans:
-                    texts[j] = without(texts[j], [(s["start"], s["end"]) for s in spans])
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return near.mapInArrow(cut, schema)
-
-
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words of ``spans`` and what stands between them."""
     raw = text.encode()
