@@ -58,8 +58,8 @@ _FLUSH = 1_000_000
 _HOT = 1 << 31
 #: A row is a document, the size of a node, or dealt shingles: by hash, or with their frequencies by node.
 _DOCUMENT, _SIZE, _BY_HASH, _BY_NODE = range(4)
-_DEALT = "part int, kind int, doc_id bigint, n bigint, node binary, hashes binary, df binary, owners binary, nodes binary"
-_NODES = "doc_id bigint, n bigint, node binary, shared int, prefix array<bigint>"
+_DEALT = "part int, kind int, doc_id bigint, text_hash bigint, n bigint, node binary, hashes binary, df binary, owners binary, nodes binary"
+_NODES = "doc_id bigint, text_hash bigint, n bigint, node binary, shared int, prefix array<bigint>"
 _NODE = np.dtype([("high", "<u8"), ("low", "<u4")])
 
 
@@ -156,16 +156,17 @@ def _batches(rows: Iterator[dict], ddl: str, at_once: int = 4096, most: int = 8_
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int | None, bytes, np.ndarray, bool]]:
-    """Each document's id, node and set, and whether its set is new to the task and not empty."""
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[dict, bytes, np.ndarray, bool]]:
+    """Each document's columns but the text, its node and set, and whether its set is new to the task and not empty."""
     seen: set[bytes] = set()
     for batch in sliced(batches):
-        for doc_id, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words), strict=True):
+        sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words)
+        for row, own in zip(batch.drop_columns("text").to_pylist(), sets, strict=True):
             node = hashlib.blake2b(own.tobytes(), digest_size=_NODE.itemsize).digest()
             new = len(own) > 0 and node not in seen
             if new:
                 seen.add(node)
-            yield doc_id, node, own, new
+            yield row, node, own, new
 
 
 def _frequent(words: int, share: float, most: int):
@@ -276,8 +277,8 @@ def _shingled(parts: int, words: int, percent: int, frequent):
             known = ~rare
             yield from _deal(_BY_NODE, _part_of(nodes, parts)[owners[known]], parts, hashes[known], (np.minimum(count[known], _HOT - 1) + _HOT).astype(np.uint32), owners[known], nodes)
 
-        for doc_id, node, own, new in _sets(batches, words):
-            yield {"part": done % parts, "kind": _DOCUMENT, "doc_id": doc_id, "n": len(own), "node": node}
+        for row, node, own, new in _sets(batches, words):
+            yield {"part": done % parts, "kind": _DOCUMENT, **row, "n": len(own), "node": node}
             done += 1
             if new:
                 yield {"part": int(_part_of(np.frombuffer(node, _NODE), parts)[0]), "kind": _SIZE, "n": len(own), "node": node}
@@ -353,7 +354,7 @@ def _prefixes(percent: int):
             elif r["kind"] == _SIZE:
                 sizes[r["node"]] = r["n"]
             else:
-                yield {k: r[k] for k in ("doc_id", "n", "node")}
+                yield {k: r[k] for k in ("doc_id", "text_hash", "n", "node")}
 
     def enough(dealt: list[dict], sizes: dict[bytes, int]) -> Iterator[dict]:
         hashes, df, owners, nodes = _gather(dealt)
@@ -394,8 +395,8 @@ def _sets_of(nodes: DataFrame, rows: DataFrame, texts: DataFrame, words: int, mo
     source = texts.join(F.broadcast(ids) if wanted.count() <= most_sent else ids, "doc_id", "left_semi")
     if not wanted.where("doc_id IS NULL").isEmpty():
         source = source.unionByName(texts.where("doc_id IS NULL"))
-    sets = source.mapInArrow(_whole_sets(words), "node binary, tokens array<bigint>").join(nodes, "node")
-    return stored(sets.groupBy("id").agg(F.first("tokens").alias("tokens")).select("id", F.size("tokens").cast("bigint").alias("n"), "tokens"), "sets")
+    once = source.mapInArrow(_whole_sets(words), "node binary, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return stored(once.join(nodes, "node").select("id", F.size("tokens").cast("bigint").alias("n"), "tokens"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -463,7 +464,7 @@ def _long_lists(long: DataFrame, sets: DataFrame, percent: int, block: int, step
     grade = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(100 / percent)) / steps) + 1e-9)
     placed = long.select("token", "id", "n", "shared", "pos", "comp", grade.alias("grade"), F.struct("token", grade.alias("grade")).alias("list"))
     counts = placed.groupBy("list").agg(F.ceil(F.count("*") / block).alias("cuts"))
-    placed = spread_join(placed, counts, "list", "id", ways=64).withColumn("cut", F.pmod(F.xxhash64("id"), "cuts")).drop("list", "cuts")
+    placed = spread_join(placed, counts, "list", ways=64).withColumn("cut", F.pmod(F.xxhash64("id"), "cuts")).drop("list", "cuts")
     blocks = placed.groupBy("token", "grade", "cut").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     one, two = (blocks.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("grade", "cut", "low", "high", "least", "most")]) for x in "ab")
     apart = F.col("grade_b") - F.col("grade_a")
@@ -480,19 +481,19 @@ def _long_lists(long: DataFrame, sets: DataFrame, percent: int, block: int, step
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, short_list: int = 48, block: int = 256, share: float = 1e-3, most_frequent: int = 500_000, most_held: int = 4_000_000, most_sent: int = 2_000_000) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs``.
+    """``doc_id``, ``text_hash`` (its xxhash64), ``n_shingles`` and ``component_id`` for each row of ``docs``.
 
     Two documents link when their shingle sets have a Jaccard similarity of ``percent`` or more.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     hot, hot_n, size = frequent_shingles(texts, words, share, most_frequent)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size - _spare(size, percent)) // most_held))
     frequent = spark.sparkContext.broadcast((hot, hot_n))
     dealt = texts.mapInArrow(_shingled(parts, words, percent, frequent), _DEALT)
     shared = dealt.repartitionById(parts, F.col("part")).mapInArrow(_shared(parts), _DEALT)
     table = stored(shared.repartitionById(parts, F.col("part")).mapInArrow(_prefixes(percent), _NODES).withColumn("id", F.monotonically_increasing_id()), "shingles")
-    rows, nodes = table.where("prefix IS NULL").select("doc_id", "n", "node"), table.where("prefix IS NOT NULL").drop("doc_id")
+    rows, nodes = table.where("prefix IS NULL").select("doc_id", "text_hash", "n", "node"), table.where("prefix IS NOT NULL").drop("doc_id", "text_hash")
 
     postings = nodes.select("id", "n", "shared", (F.col("shared") - F.size("prefix")).alias("rest"), F.posexplode("prefix").alias("pos", "token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("listed"), F.min("id").alias("least")).where("listed > 1")
@@ -532,5 +533,5 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     lows = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(grouped, "node", "left")
     tops = lows.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("top"))
     of = lows.join(tops, "root", "left").select("node", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("top")).alias("component_id"))
-    linked = rows.where("n > 0").join(of, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = rows.where("n > 0").join(of, "node").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(rows.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

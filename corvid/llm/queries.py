@@ -16,6 +16,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words inside windows of benchmark items, and the items, which a digest stands for."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -23,6 +24,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every twentieth, by inner product of floor(64 x)."""
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
@@ -32,6 +34,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity, learnt outside a fifth of the labels."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train_on(docs, read(spark, sf_dir, "labels"), folds=5, held_out=0)
     return _judged(toxicity.score_toxicity(docs, model), 5, 0, 0.5)
@@ -42,7 +45,8 @@ def _judged(scored: DataFrame, folds: int, held_out: int, least: float) -> DataF
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+    """Each document's number of shingles, and the least id of those that links of 75 percent reach."""
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,23 +55,27 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host, path, rule and verdict, and the ratio of the two models."""
     return urls.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "ratio")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality, learnt outside a quarter of the labels."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.train_on(docs, read(spark, sf_dir, "labels"), folds=4, held_out=2)
     return _judged(quality.score_quality(docs, field), 4, 2, 0.7)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(read(spark, sf_dir, "documents"))
+    """Each document's secrets, from the ledger in the shared folder, which this extends by what it lacks."""
+    found = secrets.scan_secrets(read(spark, sf_dir, "documents"), ledger=secrets.shared_ledger(spark))
     base = F.filter("findings", lambda x: x["kind"].isin([r.kind for r in secrets.BASE]))
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *[count(r.kind) for r in secrets.BASE], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, read back from them."""
     return warc.round_trip(read(spark, sf_dir, "pages")).drop("url", "html")
 
 

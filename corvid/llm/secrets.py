@@ -1,8 +1,12 @@
 """Secret scanning over an incremental ledger of blobs.
 
-Every version of a text is a blob, addressed by its SHA-256. A rule has a version. Only pairs of
-blob and rule version that the ledger hasn't seen are scanned; findings then go back to every
-path that holds the blob. DataFrame functions only.
+Every version of a text is a blob, addressed by its SHA-256. A rule has a version. The ledger is a table in
+the shared folder with the rule versions that each blob has been scanned under and what they found. Only
+pairs of blob and rule version that it hasn't seen are scanned, and appended to it; findings then go from
+the ledger to every path that holds the blob. DataFrame functions only.
+
+Each call appends what it has scanned as one folder, which Spark makes visible when it is whole. If two
+calls scan the same pair at once, it is in the ledger twice, with equal findings, and counts once.
 
 Edge cases: a null text counts as the empty blob; it has no findings. Rows stay rows, so a path
 that occurs twice is returned twice. Columns of the input other than path and text aren't
@@ -11,15 +15,19 @@ touched, whatever their names. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm.skew import spread_join
+from corvid.storage import fresh_path, shared_dir, stored
 
 FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
-LEDGER = "blob string, rule string, version int, spans array<struct<start: bigint, end: bigint>>"
+#: ``rules`` are kind and version, like ``hex/1``; a blob without findings has none, and needn't be scanned again.
+LEDGER = "blob binary, rules array<string>, found array<struct<rule:string,start:bigint,end:bigint>>"
 
 
 @dataclass(frozen=True)
@@ -37,6 +45,10 @@ class Rule:
     least: int
     hint: str
 
+    @property
+    def name(self) -> str:
+        return f"{self.kind}/{self.version}"
+
 
 # The three base kinds, in the order of their listing.
 BASE = (
@@ -78,55 +90,87 @@ def _spans(text: Column, rule: Rule) -> Column:
 
 
 def blob_of(text: str = "text") -> Column:
-    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def blobs_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each distinct text. Copies merge before the shuffle, so none of them weighs."""
+    return docs.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
 
 
-def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows: the spans of each pair of blob and rule version that is unseen.
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """What was appended at ``path`` so far; an empty table before the first time."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path).select("blob", "rules", "found")
+    except AnalysisException as none_yet:
+        if none_yet.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in (x.split(" ", 1) for x in LEDGER.split(", "))])
 
-    ``blobs`` has ``blob`` and ``text``, a row for each blob. A blob without findings gets rows
-    too, with no spans: it needn't be scanned again.
+
+def scan_blobs(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger rows: what each blob gives under the rule versions that the ledger lacks for it.
+
+    ``blobs`` has ``blob`` and ``text``, a row for each blob.
     """
-    pairs = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
-    todo = blobs.select("blob", "text", pairs.alias("todo"))
-    if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("seen"))
-        todo = todo.join(seen, "blob", "left").select("blob", "text", F.when(F.col("seen").isNull(), F.col("todo")).otherwise(F.array_except("todo", "seen")).alias("todo")).where(F.size("todo") > 0)
-    wanted = lambda r: F.exists("todo", lambda p: (p["rule"] == r.kind) & (p["version"] == r.version))
-    found = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.when(wanted(r), _spans(F.col("text"), r)).alias("spans")) for r in rules])
-    return todo.select("blob", F.filter(found, lambda x: x["spans"].isNotNull()).alias("found"))
+    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
+    every = F.array(*[F.lit(r.name) for r in rules])
+    todo = blobs.join(seen, "blob", "left").select("blob", "text", F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, "seen")).alias("rules")).where(F.size("rules") > 0)
+    one = lambda r: F.transform(_spans(F.col("text"), r), lambda s: F.struct(F.lit(r.name).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
+    none = F.array().cast("array<struct<rule:string,start:bigint,end:bigint>>")
+    found = F.concat(*[F.when(F.array_contains("rules", r.name), one(r)).otherwise(none) for r in rules])
+    return todo.select("blob", "rules", found.alias("found"))
 
 
-def ledger_rows(scanned: DataFrame) -> DataFrame:
-    """A row for each blob and rule version of what :func:`scan_blobs` returns."""
-    return scanned.select("blob", F.inline("found"))
+def extend_ledger(docs: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger at ``path`` lacks for ``docs``, and returns the rows appended to it."""
+    spark = docs.sparkSession
+    run = f"{path}/run={uuid.uuid4().hex}"
+    scan_blobs(blobs_of(docs, text), read_ledger(spark, path), rules).write.parquet(run)
+    return spark.read.schema(LEDGER).parquet(run)
 
 
-def blobs_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each distinct text. Copies merge before the shuffle, so none of them weighs."""
-    return docs.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+def pairs_in(ledger: DataFrame) -> int:
+    """How many pairs of blob and rule version those ledger rows stand for."""
+    return ledger.agg(F.coalesce(F.sum(F.size("rules")), F.lit(0)).cast("bigint")).first()[0]
+
+
+def findings_of_blobs(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob`` and ``findings`` (kind, start, end; by start, then kind as in ``rules``) of blobs with any under ``rules``."""
+    current = ledger.where(F.size("found") > 0).select("blob", F.filter("found", lambda f: f["rule"].isin([r.name for r in rules])).alias("found"))
+    whole = current.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found")).where(F.size("found") > 0)
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
+    kind = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.kind))])
+    ranked = F.array_sort(F.transform("found", lambda f: F.struct(f["start"].alias("start"), rank[f["rule"]].alias("rank"), f["end"].alias("end"), f["rule"].alias("rule"))))
+    return whole.select("blob", F.transform(ranked, lambda f: F.struct(kind[f["rule"]].alias("kind"), f["start"].alias("start"), f["end"].alias("end"))).alias("findings"))
 
 
-def findings_of_blobs(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob`` and ``findings`` (kind, start, end; by start, then kind as in ``rules``) of blobs with any."""
-    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    flat = F.flatten(F.transform("found", lambda f: F.transform(f["spans"], lambda s: F.struct(s["start"].alias("start"), rank[f["rule"]].alias("rank"), s["end"].alias("end"), f["rule"].alias("kind")))))
-    return scanned.select("blob", F.transform(F.array_sort(flat), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings")).where(F.size("findings") > 0)
+def shared_ledger(spark: SparkSession) -> str:
+    """The ledger that all runs share which have the same shared folder."""
+    return f"{shared_dir(spark)}/corvid/secrets-ledger"
 
 
-def scan_secrets(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_secrets(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``path``, ``blob`` and ``findings``, a row for each row of ``docs``.
 
-    With a ledger, blobs that it has seen under every rule version aren't scanned: their findings
-    come from the ledger.
+    ``ledger`` is where the ledger is; without it a new one is begun.
     """
-    scanned = scan_blobs(blobs_of(docs, text), ledger, rules)
-    if ledger is not None:
-        current = [(r.kind, r.version) for r in rules]
-        known = ledger.where(F.struct("rule", "version").isin(*[F.struct(F.lit(k).alias("rule"), F.lit(v).alias("version")) for k, v in current]))
-        scanned = ledger_rows(scanned).unionByName(known).groupBy("blob").agg(F.collect_list(F.struct("rule", "version", "spans")).alias("found"))
-    paths = docs.select(F.col(path), blob_of(text).alias("blob"))
-    return spread_join(paths, findings_of_blobs(scanned, rules), "blob", path, "left").select(path, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    spark = docs.sparkSession
+    ledger = ledger or fresh_path(spark, "ledger")
+    extend_ledger(docs, ledger, text, rules)
+    paths = stored(docs.select(F.col(path), blob_of(text).alias("blob")), "paths")
+    found = findings_of_blobs(read_ledger(spark, ledger), rules)
+    return spread_join(paths, found, "blob", "left").select(path, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+
+
+def mask_secrets(docs: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with each secret of the texts replaced; the ledger is extended first."""
+    extend_ledger(docs, ledger, text, rules)
+    found = findings_of_blobs(read_ledger(docs.sparkSession, ledger), rules)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), blob_of(text).alias("blob"))
+    marked = spread_join(whole, found, "blob", "left").select("doc.*", "findings")
+    clean = redacted(F.col(text), F.coalesce("findings", F.array().cast(FINDINGS)))
+    return marked.withColumn(text, clean).drop("findings")
 
 
 def joined(findings: Column) -> Column:
