@@ -1,8 +1,10 @@
 """Exact top-k search by inner product over whole numbers.
 
-Vectors are sorted by descending length and cut into bands. A query visits only bands whose longest
-vector could still reach its threshold, which starts as its k-th best score over a few of the
-longest vectors. Within a band, vectors come longest first; queries and vectors are rotated so that
+Vectors are sorted by descending length and cut into bands, which are searched in waves, each of twice as
+many bands as the one before. A query goes on to a wave only if the longest vector there could still reach
+its threshold: its k-th best score so far, at first over a few of the longest vectors. Queries that go on
+are dealt into as few shards as hold them, and vectors are copied to those shards only. After each wave a
+query keeps its best k. Within a band, vectors come longest first; queries and vectors are rotated so that
 the first coordinates hold most of the energy, and a pair goes on from its partial sum over those
 only if the partial sum and, by Cauchy-Schwarz, the product of both residual lengths reach the
 threshold. What is left is scored exactly.
@@ -106,12 +108,16 @@ def _rotation(sample: list[list[int]], width: int) -> tuple[np.ndarray, int]:
     return turn.T, int(min(width, max(1, np.searchsorted(share, 0.8) + 1)))
 
 
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64, band: int = 8192, shard: int = 1024, sample: int = 4096, seeds: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` best other rows for each query row.
 
-    Bands are ``band`` vectors and queries are dealt out by ``shard``; a task holds one of each. The
-    longest lengths of the bands, one number for each ``band`` vectors, are all that is broadcast
-    besides the rotation and the ``seeds``.
+    Bands are ``band`` vectors and queries are dealt out by ``shard``; a task holds one of each. All that is
+    broadcast are the rotation and the ``seeds``; the driver learns one length for each wave.
     """
     spark = vectors.sparkSession
     table = stored(whole_numbers(vectors, vec_id, embedding, scale), "vectors")
@@ -119,9 +125,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     width = max(width or 0, 1)
     turn, head = _rotation([r["values"] for r in table.orderBy(F.xxhash64("row"), "row").select("values").limit(sample).collect()], width)
 
-    bands = stored(table.repartitionByRange(max(1, -(-n // band)), F.desc("norm"), F.col("row")).withColumn("band", F.spark_partition_id()), "bands")
-    longest = {r["band"]: r["m"] for r in bands.groupBy("band").agg(F.max("norm").alias("m")).collect()}
-    lengths = [longest.get(b, 0.0) for b in range(max(longest, default=-1) + 1)]
+    cuts = max(1, -(-n // band))
+    bands = stored(table.repartitionByRange(cuts, F.desc("norm"), F.col("row")).withColumn("band", F.spark_partition_id()), "bands")
+    last = bands.agg(F.max("band")).first()[0]
     seed = spark.sparkContext.broadcast(table.orderBy(F.desc("norm"), "row").limit(seeds).toPandas())
 
     def start(batches):
@@ -134,18 +140,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
             # Doubles may round sums from 2**53; a slightly lower threshold is as right.
             yield batch.assign(least=np.where(np.isfinite(best), best - np.abs(best) * 1e-12, None))
 
-    asked = table.where(is_query).mapInPandas(start, "vec_id bigint, `values` array<bigint>, norm double, row bigint, least double")
-    count = table.where(is_query).count()
-    reach = F.size(F.filter(F.lit(lengths).cast("array<double>"), lambda m: F.col("least").isNull() | (m * F.col("norm") * (1 + 1e-9) + 1e-6 >= F.col("least"))))
-    visits = asked.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-count // shard))))).withColumn("band", F.explode(F.sequence(F.lit(0), reach - 1))).where(F.col("band") < reach) if lengths else asked.withColumns({"shard": F.lit(0).cast("bigint"), "band": F.lit(0)})
-    shards = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, -(-count // shard)) - 1).cast("bigint")))
-    sides = visits.groupBy("band", "shard").cogroup(bands.withColumn("shard", shards).groupBy("band", "shard"))
-
     def search(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or held.empty:
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_row", "query_id", "vec_id", "score")})
         return search_band(queries, held, turn, head, k)
 
-    found = sides.applyInPandas(search, _FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = stored(table.where(is_query).mapInPandas(start, "vec_id bigint, `values` array<bigint>, norm double, row bigint, least double"), "asked")
+    best, low, waves = None, 0, 1
+    while last is not None and low <= last:
+        high = min(low + waves, last + 1)
+        longest = bands.where(F.col("band") >= low).agg(F.max("norm")).first()[0]
+        least = asked
+        if best is not None:
+            kth = best.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") == k)
+            least = asked.join(kth.select(F.col("query_row").alias("row"), "kth"), "row", "left").withColumn("least", F.greatest("least", F.col("kth") - F.abs("kth") * 1e-12)).drop("kth")
+        going = least.where(F.col("least").isNull() | (F.lit(longest) * F.col("norm") * (1 + 1e-9) + 1e-6 >= F.col("least")))
+        count = going.count()
+        if not count:
+            break
+        shards = -(-count // shard)
+        each = F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
+        sides = going.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).withColumn("band", each).groupBy("band", "shard")
+        copies = bands.where(F.col("band").between(low, high - 1)).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
+        found = sides.cogroup(copies.groupBy("band", "shard")).applyInPandas(search, _FOUND)
+        best = stored(_best_of(found if best is None else found.unionByName(best.select("query_row", "query_id", "vec_id", "score")), k), "best")
+        low, waves = high, 2 * waves
+    if best is None:
+        return spark.range(0).selectExpr("id AS query_id", "CAST(id AS int) AS rank", "id AS vec_id", "id AS score")
+    return best.select("query_id", "rank", "vec_id", "score")
