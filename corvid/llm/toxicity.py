@@ -1,13 +1,14 @@
 """Toxicity from a weighted finite-state grammar over clauses.
 
-A lexical transducer turns words into tags: insult, threat, target, negation, report. Three more
-follow what came before in the clause: a negation and a target reach a few words, a report the
-rest of its clause. Their product reads the tags of a clause and says, for each insult or threat,
-whether it is aimed, negated or reported. Sums of lexical weights by that kind, and the worst
-clause, are what a document is scored by.
+A lexical transducer turns words into tags: insult, threat, target, negation, report. Four more
+follow what came before in the clause: a negation, a target and an insult or threat reach a few words, a
+report the rest of its clause. Their product reads the tags of a clause and says, for each insult or threat,
+whether it is aimed, negated or reported; a target soon behind a plain one aims it after all. Only matched
+clauses count: a document is scored by how many there are of each kind, the kind of a clause being that
+of its heaviest match, by their weights, by the heaviest of all, and by the share of clauses that match.
 
 Insults are learned: words, and beginnings of words, that toxic documents have significantly more
-often than others. So is the weight of each kind of match.
+often than others, all of them. So is the weight of each kind of match.
 
 Edge cases: null and empty texts have no clauses and get the score of a text without matches. Each
 row gives one row, and other columns are kept. Without labels of both kinds, fixed weights serve.
@@ -43,8 +44,12 @@ WORDS = {
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _BEGINNINGS = (4, 5, 6, 7)
-KINDS = [(tag, manner) for tag in (INSULT, THREAT) for manner in ("plain", "aimed", "negated", "reported")]
-_DEFAULT = (-3.0, *(1.0, 1.5, 0.2, 0.2) * 2)
+MANNERS = ("plain", "aimed", "negated", "reported")
+KINDS = [(tag, manner) for tag in (INSULT, THREAT) for manner in MANNERS]
+#: What a target says that comes soon behind a match: a plain one is aimed.
+AIMED_AFTER = len(KINDS)
+# The weights of kinds without labels.
+_DEFAULT = (1.0, 1.5, 0.2, 0.2) * 2
 
 
 @dataclass(frozen=True)
@@ -54,9 +59,9 @@ class Transducer:
     arcs: tuple[tuple[int, ...], ...]
 
     @classmethod
-    def reaching(cls, tag: int, words: int) -> Transducer:
-        """Marks the ``words`` words after ``tag``."""
-        return cls(tuple(tuple(words if t == tag else max(s - 1, 0) for t in range(6)) for s in range(words + 1)))
+    def reaching(cls, tags: tuple[int, ...], words: int) -> Transducer:
+        """Marks the ``words`` words after one of ``tags``."""
+        return cls(tuple(tuple(words if t in tags else max(s - 1, 0) for t in range(6)) for s in range(words + 1)))
 
     @classmethod
     def lasting(cls, tag: int) -> Transducer:
@@ -64,23 +69,26 @@ class Transducer:
         return cls((tuple(int(t == tag) for t in range(6)), (1,) * 6))
 
 
-def compose(negation: Transducer, target: Transducer, report: Transducer) -> list[list[tuple[int, int]]]:
+def compose(negation: Transducer, target: Transducer, report: Transducer, match: Transducer) -> list[list[tuple[int, int]]]:
     """The product: ``[state][tag]`` gives the next state and the kind of match, -1 for none."""
-    sizes = [len(t.arcs) for t in (negation, target, report)]
+    sizes = [len(t.arcs) for t in (negation, target, report, match)]
     states = list(product(*map(range, sizes)))
     number = {s: i for i, s in enumerate(states)}
     table = []
-    for n, t, r in states:
+    for n, t, r, m in states:
         row = []
         for tag in range(6):
-            manner = 3 if r else 2 if n else 1 if t else 0
-            kind = manner + 4 * (tag - INSULT) if tag in (INSULT, THREAT) else -1
-            row.append((number[negation.arcs[n][tag], target.arcs[t][tag], report.arcs[r][tag]], kind))
+            kind = -1
+            if tag in (INSULT, THREAT):
+                kind = (3 if r else 2 if n else 1 if t else 0) + len(MANNERS) * (tag - INSULT)
+            elif tag == TARGET and m:
+                kind = AIMED_AFTER
+            row.append((number[negation.arcs[n][tag], target.arcs[t][tag], report.arcs[r][tag], match.arcs[m][tag]], kind))
         table.append(row)
     return table
 
 
-GRAMMAR = compose(Transducer.reaching(NEGATION, 3), Transducer.reaching(TARGET, 5), Transducer.lasting(REPORT))
+GRAMMAR = compose(Transducer.reaching((NEGATION,), 3), Transducer.reaching((TARGET,), 5), Transducer.lasting(REPORT), Transducer.reaching((INSULT, THREAT), 2))
 
 
 @dataclass
@@ -107,29 +115,51 @@ class Model:
             self.known[word] = hit
         return hit
 
-    def matches(self, text: str | None) -> list[float]:
-        """What a document is scored by: see ``score``."""
-        kinds = [0.0] * len(KINDS)
-        worst, hits, n = 0.0, 0, 0
+    def clauses(self, text: str | None) -> tuple[list[tuple[int, float]], int]:
+        """Kind and weight of each matched clause, and how many clauses with words there are."""
+        found, n = [], 0
         for clause in _CLAUSE.split((text or "").lower()):
-            state, total = 0, 0.0
-            for word in _WORD.findall(clause):
-                n += 1
+            words = _WORD.findall(clause)
+            n += bool(words)
+            state, weights, last = 0, {}, (0, 0.0)
+            for word in words:
                 tag, weight = self.lexical(word)
                 if tag or state:
                     state, kind = GRAMMAR[state][tag]
-                    if kind >= 0:
-                        kinds[kind] += weight
-                        total += weight
-                        hits += 1
-            worst = max(worst, total)
-        return [*map(math.log1p, kinds), math.log1p(worst), min(hits, 2.0), math.log1p(hits), hits / (n + 20) * 20, math.log1p(n) / 10]
+                    if kind == AIMED_AFTER:
+                        kind, weight = last
+                        if MANNERS[kind % len(MANNERS)] == "plain":
+                            weights[kind] -= weight
+                            kind += MANNERS.index("aimed")
+                            weights[kind] = weights.get(kind, 0.0) + weight
+                            last = (kind, weight)
+                    elif kind >= 0:
+                        weights[kind] = weights.get(kind, 0.0) + weight
+                        last = (kind, weight)
+            if weights:
+                kind = max(weights, key=weights.__getitem__)
+                found.append((kind, sum(weights.values())))
+        return found, n
+
+    def matches(self, text: str | None) -> list[float]:
+        """What a document is scored by: see ``FEATURES``."""
+        found, n = self.clauses(text)
+        count, total = [0] * len(KINDS), [0.0] * len(KINDS)
+        worst = 0.0
+        for kind, weight in found:
+            count[kind] += 1
+            total[kind] += weight
+            if MANNERS[kind % len(MANNERS)] in ("plain", "aimed"):
+                worst = max(worst, weight)
+        return [*map(math.log1p, total), *(min(c, 2.0) for c in count), math.log1p(worst), 10 * len(found) / (n + 5)]
 
     def score(self, text: str | None) -> float:
         z = sum(map(float.__mul__, map(float, self.matches(text)), self.weights[:-1])) + self.weights[-1]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+#: Weight and number, up to 2, of the clauses of each kind; the heaviest clause; the share of matched ones.
+FEATURES = 2 * len(KINDS) + 2
 _TAGGED = [(tag, frozenset(words.split())) for tag, words in WORDS.items()]
 
 
@@ -150,22 +180,22 @@ def _seen(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, most: int = 6000, most_terms: int = 4000, **more) -> Model:
+def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, most: int = 6000, **more) -> Model:
     """Learns from at most ``most`` documents of each label, all outside the held-out fold.
 
-    Terms are those whose document share is higher in toxic documents by over 6 standard errors,
-    the ``most_terms`` most significant. Only they, and ten numbers a document, reach the driver.
+    Terms are those whose document share is higher in toxic documents by over 6 standard errors.
+    Only they, and ``FEATURES`` numbers a document, reach the driver.
     """
     sample = labelled_sample(docs, labels, label, folds, held_out, most=most, **more)
     seen = _seen(sample)
     total = seen.where("term = ''").select("toxic", "other").collect()
     if not total or not total[0].toxic or not total[0].other:
-        return Model({}, [*_DEFAULT[1:], 0.5, 0.0, 0.0, 0.0, 0.0, _DEFAULT[0]])
+        return Model({}, [*_DEFAULT, *[0.0] * len(KINDS), 0.5, 0.0, -3.0])
     a, b = total[0]
     share = (F.col("toxic") + F.col("other")) / (a + b)
     z = (F.col("toxic") / a - F.col("other") / b) / F.sqrt(share * (1 - share) * (1 / a + 1 / b) + 1e-12)
     odds = F.log((F.col("toxic") + 0.1) / (a + 0.1) / ((F.col("other") + 0.1) / (b + 0.1)))
-    terms = seen.where("term <> '' AND toxic >= 4").select("term", z.alias("z"), odds.alias("odds")).where("z > 6 AND odds > 1.2").orderBy(F.desc("z"), "term").limit(most_terms).collect()
+    terms = seen.where("term <> '' AND toxic >= 4").select("term", z.alias("z"), odds.alias("odds")).where("z > 6 AND odds > 1.2").orderBy(F.desc("z"), "term").collect()
     model = Model({r.term: r.odds for r in terms}, [])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
