@@ -12,8 +12,8 @@ holds a few numbers for each source and writes its plan, a row for each block, a
 sources, which may hold any part of the rows, come from a sort over all partitions and the counts of
 each. Only what Spark broadcasts, if it is small, passes through the driver.
 
-Edge cases: a null source is a source of its own. Repeated rows each get a place; equal ids are placed
-next to each other in their source. Columns of the input that are named like the results are replaced.
+Edge cases: a null source is a source of its own. Repeated rows each get a place; equal and null ids are
+placed next to each other in their source, and may be any part of it. Columns of the input that are named like the results are replaced.
 An empty table stays empty.
 """
 
@@ -102,11 +102,13 @@ def mix_sources(docs: DataFrame, shares: dict[str, int] | None = None, doc_id: s
     that ``shares`` doesn't name get one share each.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("block", "slot", "position", "_stream", "_id", "_low", "_before", "_part", "_rank", "_first")]
+    names = [c for c in docs.columns if c not in ("block", "slot", "position", "_stream", "_id", "_low", "_before", "_part", "_rank", "_first", "_number")]
     stream = F.coalesce(F.col(source).cast("string"), F.lit(_NULL))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("_stream"), F.xxhash64(doc_id), F.col(doc_id)]
-    laid = stored(docs.select(*names, stream.alias("_stream")).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "mixing")
+    # Rows of one source with equal ids are told apart by number, so that they too can be cut.
+    order = [F.col("_stream"), F.xxhash64(doc_id), F.col(doc_id), F.col("_number")]
+    numbered = docs.select(*names, stream.alias("_stream"), F.monotonically_increasing_id().alias("_number"))
+    laid = stored(numbered.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_number").withColumn("_id", F.monotonically_increasing_id()), "mixing")
     part = F.shiftrightunsigned("_id", 33)
     # One row for each partition and each source that begins or ends in one.
     pieces = laid.groupBy("_stream", part.alias("_part")).agg(F.count("*").alias("n"), F.min("_id").alias("_low"))
