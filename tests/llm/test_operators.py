@@ -74,6 +74,22 @@ def test_contaminated_spans_go(spark):
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_spans_of_several_shards_go(spark):
+    random.seed(23)
+    some = lambda n: " ".join(random.choice("a b é1".split()) for _ in range(n))
+    items = spark.createDataFrame([(i, some(random.choice([3, 6, 9, 20]))) for i in range(12)], "item_id long, text string")
+    texts = [some(random.randint(0, 60)) for _ in range(60)] + [None, ""] + ["a b é1 D " * 9] * 5
+    docs = docs_of(spark, texts).withColumn("_row", F.lit("clash"))
+    rows = lambda shard: Counter(tuple(r) for r in decontaminate.remove_contamination(docs, items, window=6, shard_words=shard, most_coverage=0.6).collect())
+    assert rows(40) == rows(10**6) and 0 < rows(40).total() < len(texts)
+    found = {r.doc_id: (r.n_words, r.hit_spans) for r in decontaminate.find_contamination(docs, items, window=6, shard_words=40).collect()}
+    for r in decontaminate.remove_contamination(docs, items, window=6, shard_words=40, most_coverage=0.6).collect():
+        n, spans = found[r.doc_id]
+        words = decontaminate.words_of((r.text or "").encode())
+        before = decontaminate.words_of((texts[r.doc_id] or "").encode())
+        assert words == [w for i, w in enumerate(before) if not any(s["start"] <= i < s["end"] for s in spans)] and n == len(before)
+
+
 def test_contamination_of_awkward_rows(spark):
     items = spark.createDataFrame([(1, "same text here"), (None, None)], "item_id long, text string")
     found = decontaminate.find_contamination(awkward(spark), items).collect()
@@ -223,6 +239,8 @@ def test_grammar_tells_manners_apart():
     assert score("you are an idiot") == {"aimed"}
     assert score("she is not an idiot") == {"negated"}
     assert score("he said you are an idiot") == {"reported"}
+    assert score("stupid you") == {"aimed"} and score("idiot that one is you") == {"plain"}
+    assert score("not an idiot, you") == {"negated"}
     assert score("you said. such an idiot") == {"plain"}
     assert score("BLOBBER and blobfish") == {"plain"} and score("a blo b") == set() and score(None) == set()
 
@@ -277,12 +295,44 @@ def test_jaccard_components(spark, short_list, block):
             texts.append(" ".join(w[random.randint(0, n // 10) :]))
     texts += [" ".join(fresh(25) + passage) for _ in range(20)] + [" ".join(passage), "One  two\nthree", "one two three", "one two three four five", "", None, "  "]
     random.shuffle(texts)
-    got = sorted(tuple(r) for r in jaccard_join.jaccard_join(docs_of(spark, texts), short_list=short_list, block=block).collect())
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_join(docs_of(spark, texts), short_list=short_list, block=block).drop("text_hash").collect())
     assert got == brute_components(texts)
 
 
+def test_jaccard_near_the_bound(spark):
+    random.seed(31)
+    texts = []
+    for n in (9, 17, 24, 40, 120, 260):
+        for _ in range(5):
+            base = [f"w{random.randrange(400)}" for _ in range(n)]
+            for _ in range(6):
+                w = list(base)
+                for k in random.sample(range(n), random.randint(0, max(1, n // 25))):
+                    w[k] = f"x{random.randrange(10**6)}"
+                texts.append(" ".join(w[random.randint(0, n // 5) : n - random.randint(0, n // 8)]))
+    sets = jaccard_join.shingle_sets([t.encode() for t in texts])
+    close = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.7 <= x < 0.75 for x in close) > 20 and sum(0.75 <= x < 0.8 for x in close) > 20
+    for short_list, share in ((48, 0.02), (2, 1e-3)):
+        got = jaccard_join.jaccard_join(docs_of(spark, texts), short_list=short_list, block=16, share=share, most_held=500).drop("text_hash")
+        assert sorted(tuple(r) for r in got.collect()) == brute_components(texts)
+    got = jaccard_join.jaccard_join(docs_of(spark, texts), most_sent=0, percent=60).drop("text_hash")
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(texts, percent=60)
+
+
+def test_what_is_dealt_holds_what_is_needed():
+    for percent in (10, 50, 60, 75, 90, 100):
+        for n in range(1, 300):
+            least = -(-percent * n // 100)
+            for m in range(max(1, least), n * 100 // percent + 1 if percent > 20 else 300):
+                overlap = -(-percent * (n + m) // (100 + percent))
+                if overlap <= min(n, m) and 100 * min(n, m) >= percent * max(n, m):
+                    shared = overlap - max(jaccard_join._spare(n, percent), jaccard_join._spare(m, percent))
+                    assert shared >= jaccard_join._needed(n, percent) >= 1
+
+
 def test_jaccard_of_awkward_rows(spark):
-    got = Counter(tuple(r) for r in jaccard_join.jaccard_join(awkward(spark)).collect())
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_join(awkward(spark)).drop("text_hash").collect())
     assert got == Counter([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (5, 1, 5), (None, 1, 5), (6, 1, 6), (None, 0, None)])
     assert jaccard_join.jaccard_join(awkward(spark).limit(0)).count() == 0
 
@@ -313,6 +363,21 @@ def test_token_totals(spark):
     assert tokens.encoded_lengths(awkward(spark)).count() == awkward(spark).count()
 
 
+def test_long_runs_are_counted_exactly(spark, monkeypatch):
+    encoder = tokens._encoder(open(tokens.VOCABULARY, "rb").read(), tokens.PATTERN)
+    random.seed(29)
+    blanks = ["\t", "\n", " ", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u2003", "\u3000", "\x1c"]
+    some = lambda: "".join(random.choice([random.choice(["a", "it's", "7", "!?", "é", "\x1c"]), random.choice(blanks) * random.randint(1, 9), "".join(random.choices(blanks, k=random.randint(3, 6)))]) for _ in range(random.randint(0, 12)))
+    monkeypatch.setattr(tokens, "_LONG", re.compile(f"[{tokens.BLANKS}]{{3,}}"))
+    for t in [some() for _ in range(2000)]:
+        assert tokens.encoded_length(encoder, t) == len(encoder.encode_ordinary(t)), repr(t)
+    monkeypatch.undo()
+    blank = len(encoder.encode_ordinary(" " * 500)) / 500
+    long = [" " * 10**6, "\n" * 10**6 + "x", "a" + "\t " * 10**6 + "b", "a" * 10**6, "!" * 10**6]
+    got = {r.doc_id: r.n_tokens for r in tokens.encoded_lengths(docs_of(spark, long)).collect()}
+    assert got[0] == blank * 10**6 and all(0 < n <= 3 * 10**6 for n in got.values())
+
+
 # 7
 
 
@@ -421,17 +486,24 @@ def test_hints_match_wherever_patterns_do():
                 assert re.search(r.hint, t, re.ASCII)
 
 
-def test_ledger_scans_only_what_is_new(spark):
-    docs = docs_of(spark, SECRET_TEXTS)
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    docs, path = docs_of(spark, SECRET_TEXTS), f"file://{tmp_path}/ledger"
     whole = {r.doc_id: r.findings for r in secrets.scan_secrets(docs).collect()}
-    first = secrets.ledger_rows(secrets.scan_blobs(secrets.blobs_of(docs.where("doc_id < 8")))).cache()
-    assert first.count() == 7 * len(secrets.RULES)
-    fresh = secrets.scan_blobs(secrets.blobs_of(docs), first)
-    assert fresh.count() == len({t or "" for t in SECRET_TEXTS}) - 7
-    assert {r.doc_id: r.findings for r in secrets.scan_secrets(docs, ledger=first).collect()} == whole
+    assert secrets.pairs_in(secrets.read_ledger(spark, path)) == 0
+    first = secrets.extend_ledger(docs.where("doc_id < 8"), path)
+    assert first.count() == 7 and secrets.pairs_in(first) == 7 * len(secrets.RULES)
+    fresh = secrets.extend_ledger(docs, path)
+    assert secrets.pairs_in(fresh) == (len({t or "" for t in SECRET_TEXTS}) - 7) * len(secrets.RULES)
+    assert secrets.pairs_in(secrets.extend_ledger(docs, path)) == 0
+    assert {r.doc_id: r.findings for r in secrets.scan_secrets(docs, ledger=path).collect()} == whole
     newer = (*secrets.BASE, secrets.Rule("pem", 2, secrets.MORE[0].pattern, 1, 1, secrets.MORE[0].hint))
-    again = secrets.ledger_rows(secrets.scan_blobs(secrets.blobs_of(docs.where("doc_id < 8")), first, newer))
-    assert {(r.rule, r.version) for r in again.collect()} == {("pem", 2)}
+    again = secrets.extend_ledger(docs.where("doc_id < 8"), path, rules=newer)
+    assert {tuple(r.rules) for r in again.collect()} == {("pem/2",)}
+    # Rules that don't hold any more give nothing, and what is in the ledger twice counts once.
+    secrets.read_ledger(spark, path).write.parquet(f"{path}/run=again")
+    kinds = lambda rules: {r.doc_id: [f.kind for f in r.findings] for r in secrets.scan_secrets(docs, ledger=path, rules=rules).collect()}
+    assert kinds(secrets.RULES) == {i: [f.kind for f in fs] for i, fs in whole.items()}
+    assert kinds(secrets.BASE) == {i: [f.kind for f in fs if f.kind in ("assign", "access", "hex")] for i, fs in whole.items()}
 
 
 def test_redaction(spark):
