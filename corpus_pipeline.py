@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import decontaminate, jaccard_join, mixing, quality, secrets
-from corvid.llm.skew import spread_join
 from corvid.storage import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,14 +35,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the least id stays.
 
-    Documents without shingles are components of their own. Rows that repeat an id are one document.
-    Nothing tells rows without an id apart, so all of them stay if one of them does.
+    Documents without shingles are components of their own. Of rows with that id, texts of other components
+    don't count, and the text with the least hash stays; rows that repeat id and text are one document. Rows
+    without an id all stay, unless they are near a document with one.
     """
     docs = docs.select(*COLUMNS)
     joined = jaccard_join.jaccard_join(docs)
-    keep = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    one = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    return one.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(one.where("doc_id IS NULL"))
+    first = joined.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    empty = joined.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash").distinct()
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    named = hashed.join(first.unionByName(empty), ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    unnamed = joined.where("doc_id IS NULL AND component_id IS NULL").select("text_hash").distinct()
+    return named.select("row.*").unionByName(hashed.where("doc_id IS NULL").join(unnamed, "text_hash", "left_semi").select(*COLUMNS))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +57,11 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret becomes ``[secret]``; all documents stay.
 
-    Findings are of blobs, so they go to documents by the digest of the text.
+    Texts that the ledger in the shared folder has aren't scanned again. Findings are of blobs, so they go to
+    documents by the digest of the text.
     """
     docs = docs.select(*COLUMNS)
-    found = secrets.findings_of_blobs(secrets.scan_blobs(secrets.blobs_of(docs)))
-    marked = spread_join(docs.withColumn("blob", secrets.blob_of()), found, "blob", "doc_id", "left")
-    clean = secrets.redacted(F.col("text"), F.coalesce("findings", F.array().cast(secrets.FINDINGS)))
-    return _recounted(marked.withColumn("text", clean))
+    return _recounted(secrets.mask_secrets(docs, secrets.shared_ledger(spark)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
