@@ -1,16 +1,26 @@
-"""Shell text to relations with built-in functions: logical lines, commands, pipelines, assignments.
+"""Shell text to relations: logical lines, here-documents, commands, pipelines, assignments.
 
-This is no parser. A logical line is cut into comments, operators and words by one pattern that keeps
-quotes and substitutions whole; operators end commands. Constructs over several lines (here-documents,
-multi-line quotes, nested substitutions) are seen line by line.
+This is no parser. One small scan finds what joins lines: continuations, quotes and here-documents. A logical
+line is then cut into comments, operators and words by one pattern that keeps quotes and substitutions
+whole; operators end commands.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-_JOINED = "\u0001"
+from pyspark.sql import types as T
+
+_BREAKS = re.compile(
+    r"""(?P<comment>(?<![^\s;|&()])\#[^\n]*)|(?P<single>'[^']*')|(?P<double>"(?:\\.|[^"\\])*")|"""
+    r"""(?P<here>(?<!<)<<(?P<tabs>-?)(?!<)[ \t]*(?P<quote>['"]?)(?P<tag>[A-Za-z_][A-Za-z0-9_]*)(?P=quote))|"""
+    r"""(?P<joined>\\\n)|(?P<escape>\\.)|(?P<end>\n)""",
+    re.S,
+)
 _QUOTED = r"""'[^']*'|"(?:\\.|[^"\\])*"|\$\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|\$\{[^}]*\}|`[^`]*`|\\."""
 WORD = rf"""(?:{_QUOTED}|[^\s'"\\|;&()<>`])+"""
 OPERATOR = r"&&|\|\||;;|\|&|[0-9]*(?:<<<|<<-?|>>|<&|>&|<>|>\||&>|[<>])|[|;&()]"
@@ -21,13 +31,67 @@ LEADING = ("if", "then", "elif", "else", "do", "while", "until", "!", "{", "}",
 WRAPPERS = ("sudo", "env", "command", "builtin", "exec", "nohup", "nice", "xargs", "busybox")
 
 
+def scan(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, bool, bool, int, int | None]]]:
+    """The logical lines of a script, with the number of the line where each starts, and its here-documents.
+
+    Continued and quoted line breaks become blanks; bodies of here-documents are left out. A here-document
+    is the line that opens it, its mark, whether that is quoted and tabs are stripped, its first line, and
+    the line that closes it.
+    """
+    out, documents = [], []
+    pieces: list[str] = []
+    waiting: list[re.Match] = []
+    at, number, first = 0, 1, 1
+    while (m := _BREAKS.search(text, at)) is not None:
+        kind = next(k for k in ("comment", "single", "double", "here", "joined", "escape", "end") if m[k] is not None)
+        pieces.append(text[at : m.start()])
+        at = m.end()
+        if kind != "end":
+            number += m[0].count("\n")
+            pieces.append(" " if kind == "joined" else m[0].replace("\n", " "))
+            if kind == "here":
+                waiting.append(m)
+            continue
+        out.append((first, "".join(pieces)))
+        pieces, number = [], number + 1
+        for mark in waiting:
+            close = re.compile(rf"^{chr(9) + '*' if mark['tabs'] else ''}{mark['tag']}$", re.M).search(text, at)
+            body = number
+            number += text.count("\n", at, close.start() if close else len(text)) + 1
+            documents.append((first, mark["tag"], bool(mark["quote"]), bool(mark["tabs"]), body, number - 1 if close else None))
+            at = min(close.end() + 1, len(text)) if close else len(text)
+            if not close or close.end() == len(text):
+                return out, documents
+        waiting, first = [], number
+    pieces.append(text[at:])
+    documents += [(first, mark["tag"], bool(mark["quote"]), bool(mark["tabs"]), number + 1, None) for mark in waiting]
+    return [*out, (first, "".join(pieces))], documents
+
+
+def _scanned(files: DataFrame, key: str, content: str, part: int, fields: list[T.StructField]) -> DataFrame:
+    schema = T.StructType([files.schema[key], *fields])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                some = batch.slice(i, 200)
+                found = [(k, *row) for k, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) if text is not None for row in scan(text)[part]]
+                columns = list(zip(*found, strict=True)) if found else [()] * len(schema)
+                kinds = {"integer": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.typeName()]) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+    return files.select(key, F.col(content).alias("_text")).mapInArrow(rows, schema)
+
+
 def logical_lines(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """``key``, ``line_no`` where each line starts, and ``line`` with continuations joined by blanks."""
-    joined = F.replace(F.col(content), F.lit("\\\n"), F.lit(_JOINED))
-    split = files.select(key, joined.alias("_text")).select(key, "_text", F.posexplode(F.split("_text", "\n")).alias("_at", "line"))
-    before = F.expr("CASE WHEN _at = 0 THEN '' ELSE substring_index(_text, '\n', _at) END")
-    held = F.length(before) - F.length(F.replace(before, F.lit(_JOINED), F.lit("")))
-    return split.select(key, (F.col("_at") + 1 + held).cast("int").alias("line_no"), F.replace("line", F.lit(_JOINED), F.lit(" ")).alias("line"))
+    """``key``, ``line_no`` where each line starts, and ``line``, joined and without here-documents. A null has none."""
+    return _scanned(files, key, content, 0, [T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())])
+
+
+def here_documents(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """``key``, ``line_no``, ``mark``, ``quoted``, ``tabs``, ``start`` and ``end`` (null if it is never closed)."""
+    fields = [T.StructField("line_no", T.IntegerType()), T.StructField("mark", T.StringType()), T.StructField("quoted", T.BooleanType()), T.StructField("tabs", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+    return _scanned(files, key, content, 1, fields)
 
 
 def _segments(tokens: Column) -> Column:
@@ -61,7 +125,7 @@ def _skip(words: Column, test) -> Column:
 def commands(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """A row for each simple command.
 
-    ``seg_no`` is its place in the line, ``before`` the operator in front, ``assigned`` the words of
+    ``seg_no`` is its place in the line, ``before`` the operator in front, ``leading`` the keywords, ``assigned`` the words of
     assignment in front, ``name`` the command without them, ``args`` the other words, ``effective``
     the command that a wrapper runs, ``next_name`` and ``next_args`` those of the command that it pipes into.
     """
@@ -70,11 +134,11 @@ def commands(files: DataFrame, key: str = "path", content: str = "content") -> D
     words = _skip(F.col("c.words"), lambda w: w.isin(*LEADING))
     rows = cut.select(key, "line_no", "line", "seg_no", F.col("c.before").alias("before"), F.col("c.redirects").alias("redirects"), F.col("c.words").alias("all_words"), words.alias("w"))
     rows = rows.withColumn("rest", _skip(F.col("w"), lambda w: w.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\[[^\]]*\])?\+?=")))
-    rows = rows.withColumn("assigned", F.slice("w", F.lit(1), F.size("w") - F.size("rest")))
+    rows = rows.withColumn("assigned", F.slice("w", F.lit(1), F.size("w") - F.size("rest"))).withColumn("leading", F.slice("all_words", F.lit(1), F.size("all_words") - F.size("w")))
     inner = _skip(F.col("rest"), lambda w: w.isin(*WRAPPERS) | w.startswith("-"))
     rows = rows.withColumn("inner", inner)
     args = F.when(F.size("rest") > 1, F.slice("rest", 2, F.size("rest"))).otherwise(F.array().cast("array<string>"))
-    out = rows.select(key, "line_no", "line", "seg_no", "before", "redirects", "all_words", "assigned", F.get("rest", F.lit(0)).alias("name"), args.alias("args"), F.get("inner", F.lit(0)).alias("effective"))
+    out = rows.select(key, "line_no", "line", "seg_no", "before", "redirects", "all_words", "leading", "assigned", F.get("rest", F.lit(0)).alias("name"), args.alias("args"), F.get("inner", F.lit(0)).alias("effective"))
     w = Window.partitionBy(key, "line_no").orderBy("seg_no")
     piped = F.lead("before").over(w).isin("|", "|&")
     return out.withColumn("next_name", F.when(piped, F.lead("effective").over(w))).withColumn("next_args", F.when(piped, F.lead("args").over(w)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,20 +11,27 @@ from pyspark.sql import functions as F
 from corvid.storage import stored
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], hops: int = 4, compact: int = 8) -> DataFrame:
     """All rows that ``step`` gives from ``seed``, from what it gives of those, and so on.
 
-    Only rows that are new take part in the next round, and each round's are written to the shared
-    folder, so lineage stays short and a lost executor costs one round.
+    ``step`` gives the same of some rows whether others are beside them or not, and ends because there are
+    only so many rows that it can give. Only rows that are new take part in a round, which goes ``hops``
+    steps; each round's are written to the shared folder, so lineage stays short and a lost executor costs
+    one round. After every ``compact`` rounds what is known becomes one table again.
     """
     new = stored(seed.distinct(), "fixpoint")
     seen = new
-    for _ in range(rounds):
-        new = stored(step(new).distinct().join(seen, seen.columns, "left_anti"), "fixpoint")
+    for k in count(1):
+        reached = last = step(new).distinct()
+        for _ in range(hops - 1):
+            last = step(last).distinct()
+            reached = reached.unionByName(last)
+        new = stored(reached.select(*seen.columns).subtract(seen), "fixpoint")
         if new.isEmpty():
             return seen
         seen = seen.unionByName(new)
-    raise RuntimeError(f"no fixpoint within {rounds} rounds")
+        if k % compact == 0:
+            seen = stored(seen, "fixpoint")
 
 
 def reachable(roots: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:

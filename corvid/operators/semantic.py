@@ -77,6 +77,12 @@ def overwritten_functions(sites: DataFrame, defined: DataFrame) -> DataFrame:
     return pairs.join(used, (F.col("path") == F.col("_path")) & (F.col("name") == F.col("_name")) & F.col("line_no").between(F.col("start"), F.col("by")), "left_anti")
 
 
+def early_calls(sites: DataFrame, defined: DataFrame) -> DataFrame:
+    """Calls at the top level that stand before every definition of their function: path, name, line_no."""
+    first = defined.groupBy("path", "name").agg(F.min("start").alias("first"))
+    return sites.where("caller IS NULL").join(first, ["path", "name"]).where("line_no < first").select("path", "name", "line_no")
+
+
 def uncalled_functions(sites: DataFrame, defined: DataFrame) -> DataFrame:
     """Functions that no chain of calls from the top level reaches."""
     roots = sites.where("caller IS NULL").select("path", F.col("name").alias("node")).distinct()
@@ -115,9 +121,10 @@ def unused_assignments(writes: DataFrame, reads: DataFrame, edges: DataFrame) ->
 
 
 def undefined_variables(writes: DataFrame, reads: DataFrame, edges: DataFrame) -> DataFrame:
-    """Unguarded reads of names that their file never writes, tests or gets from a sourced file."""
+    """Unguarded reads of names that their file never writes or tests, nor a file that it sources or that sources it."""
     known = writes.select("path", "name").unionByName(reads.where("guarded").select("path", "name")).distinct()
-    tied = edges.where("kind = 'literal'").select("path", F.col("target").alias("other")).distinct()
+    tied = edges.where("kind = 'literal'").select("path", F.col("target").alias("other"))
+    tied = tied.unionByName(tied.select(F.col("other").alias("path"), F.col("path").alias("other"))).distinct()
     known = known.unionByName(tied.join(known.withColumnRenamed("path", "other"), "other").select("path", "name")).distinct()
     open_ = edges.where("kind = 'dynamic'").select("path").distinct()
     return reads.where(~F.col("guarded") & ~F.col("name").isin(*PREDEFINED)).join(known, ["path", "name"], "left_anti").join(open_, "path", "left_anti").select("path", "line_no", "name").distinct()

@@ -1,9 +1,11 @@
 """Operators on small relations: edge cases and properties."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
+from corvid.functions.shell import logical_lines
 from corvid.functions.text import lines, match_starts
 from corvid.operators.fixpoint import chain_ends, reachable
 from corvid.operators.intervals import apply_in_order, conflicts, merge_ranges, outside
@@ -72,3 +74,16 @@ def test_source_files_skip_ignored_folders(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(name)
     assert sorted(r.content for r in source_files(spark, str(tmp_path), "*.sh").collect()) == ["a.sh", "b/c.sh"]
+
+
+def test_lines_of_long_texts_take_linear_time(spark):
+    rows = [(1, "some words of a line\n" * 200_000), (2, None), (3, ""), (4, "\n"), (5, "é\nb"), (5, "é\nb")]
+    df = spark.createDataFrame(rows, "k long, text string").withColumn("line", F.lit("clash"))
+    assert lines(df.limit(0), "k").count() == 0
+    began = time.monotonic()
+    got = lines(df, "k").groupBy("k").agg(F.count("*").alias("n"), F.max("line_no").alias("last"), F.max("start_byte").alias("at")).orderBy("k").collect()
+    assert time.monotonic() - began < 20
+    assert [tuple(r) for r in got] == [(1, 200_001, 200_001, 4_200_000), (3, 1, 1, 0), (4, 2, 2, 1), (5, 4, 2, 3)]
+    script = spark.createDataFrame([("a", "echo 'a b' \"c\" # d\n" * 100_000)], "path string, content string")
+    began = time.monotonic()
+    assert logical_lines(script).count() == 100_001 and time.monotonic() - began < 30
