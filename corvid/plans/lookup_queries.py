@@ -10,12 +10,16 @@ from corvid.plans.registry import query
 from corvid.sources.tables import table
 
 
+#: Names of a vocabulary that is broadcast.
+MOST_KNOWN = 10_000
+
+
 @query("""WITH w AS (SELECT DISTINCT source, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM documents), d AS (SELECT DISTINCT source, nullif(regexp_extract(text, '[A-Za-z]+', 0), '') AS name FROM documents)
 SELECT source, name FROM d WHERE name IS NOT NULL AND EXISTS (SELECT 1 FROM w WHERE w.name = d.name AND w.source <> d.source)""")
 def workspace_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that one source defines (its documents' first words) and another uses."""
     docs = table(spark, sf_dir, "documents")
-    used = docs.select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("name")).groupBy("name").agg(F.min("source").alias("least"), F.max("source").alias("most"))
+    used = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("name")).groupBy("name").agg(F.min("source").alias("least"), F.max("source").alias("most"))
     defined = docs.select("source", F.regexp_extract("text", "[A-Za-z]+", 0).alias("name")).where("name <> ''").distinct()
     # A name is used elsewhere if the least or the most of its users isn't the one that defines it.
     return defined.join(used, "name").where("least <> source OR most <> source").select("source", "name")
@@ -54,11 +58,15 @@ d AS (SELECT name, candidate, levenshtein(name, candidate)::INTEGER AS distance
 def typo_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three known names nearest to each unknown one.
 
-    Both sides are vocabularies, of a few hundred names at most in this model, whatever the rows.
+    The known names are a vocabulary, a stated set that every asked name is held against; beyond
+    ``MOST_KNOWN`` of them that would be no plan, and this says so.
     """
     types = table(spark, sf_dir, "part").select("p_type").distinct()
     asked = types.select(F.replace("p_type", F.lit("O"), F.lit("")).alias("name")).distinct()
-    near = asked.crossJoin(types.withColumnRenamed("p_type", "candidate")).withColumn("distance", F.levenshtein("name", "candidate"))
+    known = types.count()
+    if known > MOST_KNOWN:
+        raise ValueError(f"{known} known names; hold names against each other by pieces, as misspelling does")
+    near = asked.join(F.broadcast(types.withColumnRenamed("p_type", "candidate"))).withColumn("distance", F.levenshtein("name", "candidate"))
     k = F.row_number().over(Window.partitionBy("name").orderBy("distance", "candidate"))
     return near.withColumn("k", k).where("k <= 3").drop("k")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.shell import commands
+from corvid.operators.facts import options
 from corvid.operators.flow import edges, nodes, unreachable
 from corvid.operators.lint import RULES, diagnostics, select
 from corvid.plans.registry import query
@@ -78,6 +79,15 @@ def script_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnosed(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n_found"), errors.alias("n_errors"), F.when(errors > 0, 2).otherwise(1).alias("status"))
 
 
+@query(f"""WITH {_LINES}, given AS (SELECT path, line_no, regexp_extract(line, '(sudo |xargs )?([a-z]+)', 2) AS command, unnest(regexp_extract_all(line, '^[^|#]* -([a-zA-Z]+)', 1)) AS flag FROM lines WHERE regexp_matches(line, '^(grep|read|set|find|echo) -|^find ') OR regexp_matches(line, '^rm -')),
+letters AS (SELECT path, line_no, command, unnest(CASE WHEN command = 'find' THEN [flag] ELSE string_split(flag, '') END) AS option FROM given)
+SELECT DISTINCT path, line_no, command, option FROM letters""")
+def script_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The options that commands are given, letter by letter."""
+    found = options(commands(generated(spark, sf_dir)))
+    return found.where(F.col("command").isin("grep", "read", "set", "find", "echo", "rm")).select("path", "line_no", "command", "option").distinct()
+
+
 @query(f"WITH {_LINES} SELECT path, line_no, regexp_extract(line, '^[a-z]+') AS name, regexp_replace(regexp_extract(line, '[|] (xargs )?([a-z]+)', 0), '[|] (xargs )?', '') AS next_name FROM lines WHERE regexp_matches(line, '[^|] [|] [^|]')")
 def script_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that pipe into another."""

@@ -30,8 +30,9 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that were used in the last week of the table."""
     rows = table(spark, sf_dir, "events").select("event_id", "ts")
-    newest = rows.agg((F.max("ts") - F.expr("INTERVAL 7 DAY")).alias("least"))
-    return rows.join(F.broadcast(newest), F.col("ts") >= F.col("least")).select("event_id")
+    # A literal, so that files without such rows aren't read.
+    least = rows.agg((F.max("ts") - F.expr("INTERVAL 7 DAY")).cast("string")).first()[0]
+    return rows.where(F.lit(least).cast(rows.schema["ts"].dataType) <= F.col("ts")).select("event_id")
 
 
 @query("""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM conversations), c AS (SELECT conv_id, turn, token, count(*) AS n FROM w GROUP BY ALL),

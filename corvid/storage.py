@@ -2,7 +2,8 @@
 
 Executors may be lost at any time, so lineage is cut by writing a table into a folder that all
 executors share: the one the cluster names in ``spark.checkpoint.dir``. Only a local session
-without that setting gets a temporary folder of its own.
+without that setting gets a temporary folder of its own. Tables stay until :func:`discard` is called, since
+results read them whenever they are asked for.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/corvid/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corvid/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes what this application has put at fresh paths, and returns how many there were.
+
+    For when all results that come from there have been written elsewhere: they can't be read after it.
+    """
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(conf).delete(there, True)
+    return len(made)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
