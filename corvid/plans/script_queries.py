@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions.shell import commands
 from corvid.operators.facts import options
+from corvid.operators.fixes import fixed_lines
 from corvid.operators.flow import edges, nodes, unreachable
 from corvid.operators.lint import RULES, diagnostics, select
 from corvid.plans.registry import query
@@ -79,6 +80,18 @@ def script_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnosed(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n_found"), errors.alias("n_errors"), F.when(errors > 0, 2).otherwise(1).alias("status"))
 
 
+_MENDED = (("S002", "^read ", "read -r "), ("S005", "`([^`]*)`", "$(\\1)"), ("S049", "^tr ([a-z]-[a-z])", "tr '\\1'"), ("S060", "^egrep ", "grep -E "), ("S068", " 2$", " INT"), ("X002", " == ", " = "), ("X031", "^source ", ". "))
+
+
+@query(f"""WITH {_FOUND}, mended(code, pattern, instead) AS (VALUES {", ".join(f"('{c}', {_quoted(p)}, {_quoted(i)})" for c, p, i in _MENDED)})
+SELECT path, line_no, line AS before, regexp_replace(line, pattern, instead) AS after FROM found JOIN mended USING (code) JOIN lines USING (path, line_no)""")
+def script_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that fixes change, and what they become."""
+    files = generated(spark, sf_dir)
+    found = diagnostics(files, select(RULES, tuple(c for c, _, _ in _MENDED)))
+    return fixed_lines(files, found)
+
+
 @query(f"""WITH {_LINES}, given AS (SELECT path, line_no, regexp_extract(line, '(sudo |xargs )?([a-z]+)', 2) AS command, unnest(regexp_extract_all(line, '^[^|#]* -([a-zA-Z]+)', 1)) AS flag FROM lines WHERE regexp_matches(line, '^(grep|read|set|find|echo) -|^find ') OR regexp_matches(line, '^rm -')),
 letters AS (SELECT path, line_no, command, unnest(CASE WHEN command = 'find' THEN [flag] ELSE string_split(flag, '') END) AS option FROM given)
 SELECT DISTINCT path, line_no, command, option FROM letters""")
