@@ -10,7 +10,8 @@ of those that succeeded is stored before anything reads them.
 
 Edge cases: a null payload counts as empty. A null URL becomes ``urn:page:<id>``; control characters
 and spaces in URLs are percent-encoded. A null page id sorts before all others. Of rows with equal
-payload and id, one is the response; they are told apart by numbers that are stored first. Extra columns aren't written. No pages: no archives.
+payload and id, one is the response; to tell them apart, the pages must come in the same order each
+time they are read, as files and stored tables do. Extra columns aren't written. No pages: no archives.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def assigned(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     Payloads of fewer than ``least_bytes`` are always responses.
     """
     text = F.coalesce(F.col(html), F.lit(""))
-    rows = stored(pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), text.alias("payload"), F.octet_length(text).cast("bigint").alias("size"), F.sha1(text.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("row")), "numbered")
+    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), text.alias("payload"), F.octet_length(text).cast("bigint").alias("size"), F.sha1(text.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("row"))
     groups = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("top")).where("n > 1").select("digest", "top")
     known = spread_join(rows, groups, "digest", "left")
     again = F.col("top").isNotNull() & (F.col("row") != F.col("top.row"))
