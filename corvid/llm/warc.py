@@ -10,8 +10,9 @@ of those that succeeded is stored before anything reads them.
 
 Edge cases: a null payload counts as empty. A null URL becomes ``urn:page:<id>``; control characters
 and spaces in URLs are percent-encoded. A null page id sorts before all others. Of rows with equal
-payload and id, one is the response; to tell them apart, the pages must come in the same order each
-time they are read, as files and stored tables do. Extra columns aren't written. No pages: no archives.
+payload and id, that with the last URL is the response; of rows equal in all three, one is. Which row is the
+response follows from the rows alone, so the pages may come in any order, each time in another. Extra
+columns aren't written. No pages: no archives.
 """
 
 from __future__ import annotations
@@ -112,14 +113,30 @@ def records_of(data: bytes) -> Iterator[bytes]:
 def assigned(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload (null for revisits), size, digest (hex) and refers_to of each page.
 
-    Payloads of fewer than ``least_bytes`` are always responses.
+    Payloads of fewer than ``least_bytes`` are always responses. What repeats is found without the payloads: for
+    each digest that does, the last page, and how many rows equal it in every column. Only such rows, if there are
+    any, are merged into one and written out again as so many.
     """
     text = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), text.alias("payload"), F.octet_length(text).cast("bigint").alias("size"), F.sha1(text.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    groups = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("top")).where("n > 1").select("digest", "top")
+    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), text.alias("payload"), F.octet_length(text).cast("bigint").alias("size"), F.sha1(text.cast("binary")).alias("digest"))
+    equal = rows.where(F.col("size") >= least_bytes).groupBy("digest", "page_id", "url").agg(F.count("*").alias("m"), F.first("size").alias("size"))
+    groups = equal.groupBy("digest").agg(F.sum("m").alias("n"), F.max(F.struct("page_id", "url", "m", "size")).alias("top"))
+    groups = stored(groups.where("n > 1").select("digest", "top"), "repeated")
     known = spread_join(rows, groups, "digest", "left")
-    again = F.col("top").isNotNull() & (F.col("row") != F.col("top.row"))
-    return known.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest", F.when(again, F.col("top.page_id")).alias("refers_to"), again.alias("again"))
+    is_top = F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("url").eqNullSafe(F.col("top.url"))
+    again = F.col("top").isNotNull() & ~is_top
+    out = known.where(F.col("top").isNull() | ~is_top | (F.col("top.m") == 1)).select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest", F.when(again, F.col("top.page_id")).alias("refers_to"), again.alias("again"))
+    several = groups.where("top.m > 1")
+    if several.isEmpty():
+        return out
+    twins = spread_join(rows, several, "digest").where(is_top).groupBy("page_id", "url", "digest").agg(F.first("payload").alias("payload"), F.first("size").alias("size"))
+    first = twins.select("page_id", "url", "payload", "size", "digest", F.lit(None).cast("bigint").alias("refers_to"), F.lit(False).alias("again"))
+    # So many others, counted out a million at a time.
+    left, step = F.col("top.m") - 1, 1_000_000
+    others = several.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), left - 1, F.lit(step).cast("bigint")))).repartition("digest", "from")
+    others = others.select("digest", "top", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, left) - 1)).alias("k"))
+    others = others.select("top.page_id", "top.url", F.lit(None).cast("string").alias("payload"), "top.size", "digest", F.col("top.page_id").alias("refers_to"), F.lit(True).alias("again"))
+    return out.unionByName(first).unionByName(others)
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 16_000_000, dictionary_bytes: int = 32_768, level: int = 3, date: str = "2024-01-01T00:00:00Z", **more) -> DataFrame:
