@@ -7,8 +7,8 @@ Runs of ``window`` words or more are contamination, and so is a whole item of fe
 The items are put on the driver and broadcast in shards of at most ``shard_words`` words, one shard at a
 time, so what is broadcast doesn't grow with the benchmark. A Python worker builds a shard's automaton
 once and keeps it for its later tasks. One shard is one pass over the documents. Of more shards each is
-a pass over the texts that gives the hits only, by digest of the text; they are joined to the documents
-in the last pass. No text is written in between.
+a pass over the texts that writes the hits only, by digest of the text, and ends before the next shard is
+sent; they are joined to the documents in the last pass. No text is written in between.
 
 Edge cases: a null or empty text has no words. An item without words takes no part; an item with a
 null id takes hits, but isn't counted or listed. Repeated items count once. Each document row
@@ -29,12 +29,13 @@ from pyspark.sql import types as T
 
 from corvid.llm.batches import sliced
 from corvid.llm.skew import spread_join
-from corvid.storage import stored
+from corvid.storage import fresh_path, stored
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _RESULTS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(_SPAN)), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))]
 _NAMES = [f.name for f in _RESULTS]
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_HITS = "_digest binary, _shard bigint, _spans array<struct<start:bigint,end:bigint>>, _items array<bigint>"
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -186,9 +187,9 @@ def _built(name: str, shard, window: int) -> Automaton:
 
 
 def _looker(spark: SparkSession, shard: list, window: int):
-    """What gives a text's spans and items by the automaton of ``shard``, once called in a task."""
+    """What gives a text's spans and items by the automaton of ``shard``, once called in a task; and its broadcast."""
     name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(shard)
-    return lambda: _built(name, sent, window).hits
+    return lambda: _built(name, sent, window).hits, sent
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
@@ -211,16 +212,21 @@ def _scanned(docs: DataFrame, items: DataFrame, most_coverage: float | None, tex
     shards = _shards(items, item_id, item_text, shard_words)
     shard, after = next(shards), next(shards, None)
     if after is None:
-        return _judged(docs, text, most_coverage, _looker(spark, shard, window))
-    found = _hits_of(docs, text, _looker(spark, shard, window))
-    while after is not None:
-        found = found.unionByName(_hits_of(docs, text, _looker(spark, after, window)))
-        after = next(shards, None)
+        return _judged(docs, text, most_coverage, _looker(spark, shard, window)[0])
+    folder = fresh_path(spark, "shard-hits")
+    while shard is not None:
+        looker, sent = _looker(spark, shard, window)
+        _hits_of(docs, text, looker).write.mode("append").parquet(folder)
+        sent.destroy()
+        shard, after = after, next(shards, None)
     # Each text once for each shard, however many rows have it; then all its shards together.
-    once = found.groupBy("_digest", "_shard").agg(F.first("_spans").alias("_spans"), F.first("_items").alias("_items"))
-    hits = stored(once.groupBy("_digest").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items")), "hits")
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("_digest"))
-    return _judged(spread_join(keyed, hits, "_digest", "left").select("_doc.*", "_spans", "_items"), text, most_coverage, None)
+    once = spark.read.schema(_HITS).parquet(folder).groupBy("_digest", "_shard").agg(F.first("_spans").alias("_spans"), F.first("_items").alias("_items"))
+    # Under names that no column of the input has.
+    spans, ids, key, doc = (f"{x}-{uuid.uuid4().hex}" for x in ("spans", "items", "digest", "doc"))
+    hits = stored(once.groupBy(F.col("_digest").alias(key)).agg(F.flatten(F.collect_list("_spans")).alias(spans), F.array_distinct(F.flatten(F.collect_list("_items"))).alias(ids)), "hits")
+    keyed = docs.select(F.struct(*docs.columns).alias(doc), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias(key))
+    found = spread_join(keyed, hits, key, "left")
+    return _judged(found.select(*[F.col(f"`{doc}`").getField(c).alias(c) for c in docs.columns], f"`{spans}`", f"`{ids}`"), text, most_coverage, None)
 
 
 def _hits_of(docs: DataFrame, text: str, looker) -> DataFrame:
@@ -240,7 +246,7 @@ def _hits_of(docs: DataFrame, text: str, looker) -> DataFrame:
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows["_digest"], pa.binary()), pa.array(rows["_shard"], pa.int64()), pa.array(rows["_spans"], _SPANS), pa.array(rows["_items"], pa.list_(pa.int64()))], names=list(rows))
 
-    return docs.select(text).mapInArrow(scan, "_digest binary, _shard bigint, _spans array<struct<start:bigint,end:bigint>>, _items array<bigint>")
+    return docs.select(text).mapInArrow(scan, _HITS)
 
 
 def _judged(docs: DataFrame, text: str, most_coverage: float | None, looker) -> DataFrame:
