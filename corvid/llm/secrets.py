@@ -168,9 +168,8 @@ def mask_secrets(docs: DataFrame, ledger: str, text: str = "text", rules: tuple[
     extend_ledger(docs, ledger, text, rules)
     found = findings_of_blobs(read_ledger(docs.sparkSession, ledger), rules)
     whole = docs.select(F.struct(*docs.columns).alias("doc"), blob_of(text).alias("blob"))
-    marked = spread_join(whole, found, "blob", "left").select("doc.*", "findings")
-    clean = redacted(F.col(text), F.coalesce("findings", F.array().cast(FINDINGS)))
-    return marked.withColumn(text, clean).drop("findings")
+    clean = redacted(F.col("doc").getField(text), F.coalesce("findings", F.array().cast(FINDINGS)))
+    return spread_join(whole, found, "blob", "left").select(*[(clean if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def joined(findings: Column) -> Column:
