@@ -21,8 +21,9 @@ _BREAKS = re.compile(
     r"""(?P<joined>\\\n)|(?P<escape>\\.)|(?P<end>\n)""",
     re.S,
 )
-_QUOTED = r"""'[^']*'|"(?:\\.|[^"\\])*"|\$\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|\$\{[^}]*\}|`[^`]*`|\\."""
-WORD = rf"""(?:{_QUOTED}|[^\s'"\\|;&()<>`])+"""
+# Possessive throughout: a group that may give back what it has taken costs the matcher a stack frame a character.
+_QUOTED = r"""'[^']*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|\$\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)|\$\{[^}]*+\}|`[^`]*+`|\\."""
+WORD = rf"""(?:[^\s'"\\|;&()<>`$]++|{_QUOTED}|\$)++"""
 OPERATOR = r"&&|\|\||;;|\|&|[0-9]*(?:<<<|<<-?|>>|<&|>&|<>|>\||&>|[<>])|[|;&()]"
 TOKEN = rf"(?:(?<![^\s;|&()])#.*)|{OPERATOR}|{WORD}"
 _ENDS = ("&&", "||", ";;", "|&", "|", ";", "&", "(", ")")

@@ -32,7 +32,7 @@ def bindings(facts: DataFrame) -> DataFrame:
 
 def references(files: DataFrame) -> DataFrame:
     """path, line_no, name and guarded of each distinct read; single quotes and comments hide names."""
-    bare = F.regexp_replace(F.regexp_replace("line", r"(?<![^\s;|&()])#.*", ""), r"""("(?:\\.|[^"\\])*")|'[^']*'""", "$1")
+    bare = F.regexp_replace(F.regexp_replace("line", r"(?<![^\s;|&()])#.*", ""), r"""("[^"\\]*+(?:\\.[^"\\]*+)*+")|'[^']*+'""", "$1")
     lines = logical_lines(files).withColumn("bare", bare)
     found = lambda pattern, guarded: lines.select("path", "line_no", F.explode(F.regexp_extract_all("bare", F.lit(pattern), F.lit(1))).alias("name"), F.lit(guarded).alias("guarded"))
     return found(rf"\$({_NAME})", False).unionByName(found(rf"\$\{{#?({_NAME})(?![A-Za-z0-9_]*:?[-=?+])", False)).unionByName(found(rf"\$\{{({_NAME}):?[-=?+]", True)).distinct()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corvid.functions.shell import commands, dialect_of, logical_lines
 from corvid.operators.layout import formatted, rendered, with_ignores
 from corvid.operators.lint import RULES, diagnostics, select
+from corvid.operators.semantic import references
 from corvid.plans.shell_queries import scripts
 
 
@@ -55,3 +56,12 @@ def test_reports_are_in_order(spark):
     assert [r[0] for r in rendered(found, "tty").collect()] == ["a< line 9: C2 (hint)", "a< line 10: C2 (hint)", "b line 1: C1 (error)"]
     assert rendered(found, "json").first()[0] == '{"file":"a<","line":9,"level":"hint","code":"C2"}'
     assert rendered(found, "checkstyle").count() == rendered(found, "gcc").count() == 3
+
+
+def test_words_of_a_megabyte(spark):
+    m = 1_000_000
+    texts = ['echo "' + "x" * m + '" $y', "echo " + "y" * m, "echo $(" + "z " * (m // 2) + ") w", "echo '" + "q" * m + "'", 'echo "' + r"\x" * (m // 2) + '"']
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string").repartition(4)
+    got = {r.path: (r["name"], [len(a) for a in r.args]) for r in commands(files).collect()}
+    assert got == {"0": ("echo", [m + 2, 2]), "1": ("echo", [m]), "2": ("echo", [m + 3, 1]), "3": ("echo", [m + 2]), "4": ("echo", [m + 2])}
+    assert [tuple(r) for r in references(files).select("path", "name").collect()] == [("0", "y")]
