@@ -146,3 +146,71 @@ def graph_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes of names that no path reads before they are written again."""
     names, numbers = _names(spark, sf_dir)
     return dataflow.unused(names).join(numbers, ["path", "node"]).select("path", F.col("number").alias("node"), "name")
+
+
+# Each item opens a scope within that of the item before it, and says its number there.
+_NESTING = f"""items AS (SELECT concat('order-', l_orderkey, '.sh') AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_KEYS})::INTEGER AS item, (l_partkey + l_suppkey) % 3 AS k FROM lineitem),
+kinds(k, kind) AS (VALUES (0, 'function'), (1, 'subshell'), (2, 'substitution')), nest AS (SELECT path, item, kind FROM items JOIN kinds USING (k))"""
+
+
+def _nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a script for each order that nests as deep as the order has items."""
+    items = table(spark, sf_dir, "lineitem").withColumn("item", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_KEYS.split(", "))))
+    k, i = ((F.col("l_partkey") + F.col("l_suppkey")) % 3).cast("int"), F.col("item").cast("string")
+    opening = F.get(F.array(F.concat(F.lit("f"), i, F.lit("() {")), F.lit("("), F.lit("x=$(")), k)
+    line = F.concat(opening, F.lit("\necho "), i)
+    rows = F.array_sort(F.collect_list(F.struct("item", line.alias("open"), F.get(F.array(F.lit("}"), F.lit(")"), F.lit(")")), k).alias("close"))))
+    said = items.groupBy("l_orderkey").agg(rows.alias("rows"))
+    text = F.concat(F.array_join(F.transform("rows", lambda r: r["open"]), "\n"), F.lit("\n"), F.array_join(F.reverse(F.transform("rows", lambda r: r["close"])), "\n"))
+    return stored(tokens(said.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".sh")).alias("path"), text.alias("content"))), "tokens")
+
+
+def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = _nesting(spark, sf_dir)
+    tree = scopes.scopes(found)
+    return found, stored(tree.withColumn("scope", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1), "scopes")
+
+
+@query(f"""WITH {_NESTING} SELECT path, 0 AS scope, 'file' AS kind, NULL::VARCHAR AS name, 0 AS level, NULL::INTEGER AS parent FROM (SELECT DISTINCT path FROM nest)
+UNION ALL SELECT path, item, kind, CASE WHEN kind = 'function' THEN concat('f', item) END, item, item - 1 FROM nest""")
+def scope_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scope of nested scripts, with its parent and how deep it is."""
+    _, tree = _scoped(spark, sf_dir)
+    numbers = tree.select("path", F.col("at").alias("parent"), F.col("scope").alias("of"))
+    return tree.join(numbers, ["path", "parent"], "left").select("path", "scope", "kind", "name", "level", F.col("of").alias("parent"))
+
+
+@query(f"""WITH {_NESTING} SELECT a.path, a.item AS scope, b.item AS ancestor, (a.item - b.item)::INTEGER AS distance FROM nest a JOIN nest b ON a.path = b.path AND b.item < a.item
+UNION ALL SELECT path, item, 0, item FROM nest""")
+def scope_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scopes around each scope, and how far out they are."""
+    _, tree = _scoped(spark, sf_dir)
+    a, b = (tree.select("path", F.col("at").alias(x), F.col("scope").alias(f"n_{x}")) for x in ("at", "ancestor"))
+    return scopes.lineage(tree, ["path"]).join(a, ["path", "at"]).join(b, ["path", "ancestor"]).select("path", F.col("n_at").alias("scope"), F.col("n_ancestor").alias("ancestor"), "distance")
+
+
+@query(f"""WITH {_NESTING} SELECT path, item AS said, (2 * item)::INTEGER AS line_no, item AS scope, max(CASE WHEN kind = 'function' THEN concat('f', item) END) OVER (PARTITION BY path ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) IS NOT NULL AS in_function,
+  last_value(CASE WHEN kind = 'function' THEN concat('f', item) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS caller FROM nest""")
+def nested_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of every level, with the innermost scope around each and the nearest function."""
+    found, tree = _scoped(spark, sf_dir)
+    said = stored(scopes.nested_commands(found).where("name = 'echo'"), "said")
+    inner = tree.where("kind <> 'file'")
+    inside = scopes.innermost(said.select("path", F.col("at").alias("pos")), inner, ["path"]).withColumnRenamed("inside", "at")
+    placed = inside.join(tree.select("path", "at", "scope"), ["path", "at"])
+    every = tree.select("path", "at", F.col("at").alias("around"), F.lit(0).alias("distance")).unionByName(scopes.lineage(tree, ["path"]).select("path", "at", F.col("ancestor").alias("around"), "distance"))
+    functions = every.join(tree.where("kind = 'function'").select("path", F.col("at").alias("around"), "name"), ["path", "around"]).groupBy("path", "at").agg(F.min_by("name", "distance").alias("caller"))
+    rows = said.select("path", F.col("at").alias("pos"), "line_no", F.get("args", F.lit(0)).cast("int").alias("said")).join(placed, ["path", "pos"]).join(functions, ["path", "at"], "left")
+    return rows.select("path", "said", "line_no", "scope", F.col("caller").isNotNull().alias("in_function"), "caller")
+
+
+@query(f"""WITH {_NESTING} SELECT a.path, a.item AS said, (row_number() OVER (PARTITION BY a.path, a.item ORDER BY b.item DESC) - 1)::INTEGER AS step, b.kind = 'function' AS braces
+FROM nest a JOIN nest b ON a.path = b.path AND b.item <= a.item""")
+def selection_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of brackets around each command, the innermost first."""
+    found = _nesting(spark, sf_dir)
+    said = stored(scopes.nested_commands(found).where("name = 'echo'").select("path", F.col("at").alias("pos"), F.get("args", F.lit(0)).cast("int").alias("said")), "said")
+    braces = scopes.compounds(scopes.statements(found)).where("kind = '{'").select("path", "at", "stop", F.lit(True).alias("braces"))
+    brackets = stored(found.where("kind = 'nest' AND text IN ('(', '$(')").select("path", "at", "stop", F.lit(False).alias("braces")).unionByName(braces), "brackets")
+    chains = scopes.selection_chains(said, brackets, ["path"]).join(brackets.select("path", "at", "braces"), ["path", "at"])
+    return chains.join(said, ["path", "pos"]).select("path", "said", "step", "braces")
