@@ -72,18 +72,22 @@ def _at_nodes(found: DataFrame, flow: Flow) -> DataFrame:
 
 
 def writes(flow: Flow) -> DataFrame:
-    """path, node, name, append and kind (assignment, loop, or the command that writes) of each write."""
+    """path, node, name, append and kind (assignment, loop, declaration, or the command that writes) of each write.
+
+    A declaration without a value writes nothing, but the name is known from there on.
+    """
     simple = flow.nodes.where("kind = 'simple'")
     assigned = simple.select("path", "node", F.explode("assigned").alias("word"), F.lit("assignment").alias("kind"))
     # An assignment in front of a command is that command's only.
     assigned = assigned.join(simple.where("name IS NULL").select("path", "node"), ["path", "node"])
     declared = simple.where(F.col("name").isin(*_DECLARING)).select("path", "node", F.explode("args").alias("word"), F.col("name").alias("kind")).where(F.col("word").rlike(rf"^{_NAME}(\[[^\]]*\])?\+?="))
+    named = simple.where(F.col("name").isin(*_DECLARING)).select("path", "node", F.explode(F.filter("args", lambda a: a.rlike(rf"^{_NAME}$"))).alias("name"), F.lit(True).alias("append"), F.lit("declaration").alias("kind"))
     both = assigned.unionByName(declared).select("path", "node", F.regexp_extract("word", rf"^({_NAME})", 1).alias("name"), F.col("word").rlike(rf"^{_NAME}(\[[^\]]*\])?\+=|^{_NAME}\[").alias("append"), "kind")
     operands = F.filter("args", lambda a: a.rlike(rf"^{_NAME}$"))
     read = simple.where(F.col("name").isin(*_SETTING)).select("path", "node", F.explode(operands).alias("name"), F.lit(False).alias("append"), F.col("name").alias("kind"))
     printed = simple.where("name = 'printf' AND get(args, 0) = '-v'").select("path", "node", F.get("args", F.lit(1)).alias("name"), F.lit(False).alias("append"), F.lit("printf").alias("kind"))
     loops = simple.where("head IN ('for', 'select')").where(F.col("name").rlike(rf"^{_NAME}$")).select("path", "node", "name", F.lit(False).alias("append"), F.lit("loop").alias("kind"))
-    return both.unionByName(read).unionByName(printed).unionByName(loops)
+    return both.unionByName(read).unionByName(printed).unionByName(loops).unionByName(named)
 
 
 def names_of(tokens: DataFrame, flow: Flow) -> Names:
@@ -135,8 +139,9 @@ def unused(names: Names) -> DataFrame:
     inside = flow.roots.where("kind = 'function'").join(of, ["path", "node"]).select("path", "block").distinct()
     onward = names.between.select("path", F.col("a").alias("block"), F.col("b"))
     body = fixpoint(inside, lambda new: new.join(onward, ["path", "block"]).select("path", F.col("b").alias("block")))
-    far = names.reads.join(of, ["path", "node"]).join(body, ["path", "block"], "left_semi").select("path", "name").unionByName(names.writes.where("kind = 'export'").select("path", "name")).distinct()
-    writes = names.writes.join(far, ["path", "name"], "left_anti")
+    known = names.writes.where("kind = 'declaration'").join(flow.nodes.where("name = 'export'").select("path", "node"), ["path", "node"], "left_semi").select("path", "name")
+    far = names.reads.join(of, ["path", "node"]).join(body, ["path", "block"], "left_semi").select("path", "name").unionByName(names.writes.where("kind = 'export'").select("path", "name")).unionByName(known).distinct()
+    writes = names.writes.where("kind <> 'declaration'").join(far, ["path", "name"], "left_anti")
     uses = names.reads.select("path", "node", "name").distinct().join(writes.select("path", "name").distinct(), ["path", "name"], "left_semi")
     # In a command words are expanded before its names are written.
     marks = uses.withColumn("rank", F.lit(0)).unionByName(writes.groupBy("path", "node", "name").agg(F.min(F.when(F.col("append"), 1).otherwise(2)).alias("rank"))).join(of, ["path", "node"])
@@ -153,13 +158,55 @@ def unused(names: Names) -> DataFrame:
     return writes.join(dead, ["path", "node", "name"], "left_semi").select("path", "node", "name", "kind").distinct()
 
 
-def dominators(names_or_flow: Flow) -> DataFrame:
+def reaching(names: Names) -> DataFrame:
+    """path, node, name, quoted, guarded and def of each read and each write that may reach it; ``def`` is the node that writes."""
+    of = names.of
+    wanted = names.reads.select("path", "name").distinct()
+    written = stored(names.writes.where("kind <> 'declaration'").join(wanted, ["path", "name"], "left_semi").groupBy("path", "node", "name").agg(F.min("append").alias("append")).join(of, ["path", "node"]), "written")
+    later = Window.partitionBy("path", "block", "name").orderBy("node").rowsBetween(1, Window.unboundedFollowing)
+    leaves = written.withColumn("again", F.max((~F.col("append")).cast("int")).over(later)).where("again IS NULL OR again = 0")
+    kills = written.where("NOT append").select("path", "block", "name").distinct()
+    onward = names.between.select("path", F.col("a").alias("block"), "b")
+    seed = leaves.join(onward, ["path", "block"]).select("path", F.col("b").alias("block"), "name", F.col("node").alias("def"))
+    step = lambda new: new.join(kills, ["path", "block", "name"], "left_anti").join(onward, ["path", "block"]).select("path", F.col("b").alias("block"), "name", "def")
+    entry = stored(fixpoint(seed, step), "reaching")
+    uses = names.reads.join(of, ["path", "node"])
+    # Within the block: the writes before the read, from the last one that overwrites on.
+    own = uses.join(written.select("path", "block", "name", F.col("node").alias("def"), "append"), ["path", "block", "name"]).where("def < node")
+    last = Window.partitionBy("path", "node", "name", "guarded")
+    own = own.withColumn("from", F.max(F.when(~F.col("append"), F.col("def"))).over(last)).where("from IS NULL OR def >= from")
+    cut = own.where("from IS NOT NULL").select("path", "node", "name", "guarded").distinct()
+    far = uses.join(cut, ["path", "node", "name", "guarded"], "left_anti").join(entry, ["path", "block", "name"])
+    keep = ["path", "node", "name", "quoted", "guarded", "def"]
+    return own.select(*keep).unionByName(far.select(*keep)).distinct()
+
+
+def values(names: Names) -> DataFrame:
+    """path, node, name, quoted, literals, open and splits of each read.
+
+    ``literals`` are the texts that it may have from assignments of plain text, sorted; ``open`` says that some path gives it
+    another value, or none that the file knows of. ``splits``: unquoted, it may come apart at blanks or match file names.
+    """
+    said = names.flow.nodes.where("kind = 'simple'").select("path", F.col("node").alias("def"), F.explode(F.concat(F.coalesce("assigned", F.array().cast("array<string>")), F.coalesce("args", F.array().cast("array<string>")))).alias("word"))
+    texts = said.select("path", "def", F.regexp_extract("word", rf"^({_NAME})=", 1).alias("name"), F.regexp_extract("word", rf"(?s)^{_NAME}=(.*)$", 1).alias("text")).where("name <> ''")
+    plain = F.col("text").rlike(r"^([^\s$`\x22\x27\\*?\[~(]*|\x22[^$`\x22\\]*+\x22|\x27[^\x27]*+\x27)$")
+    known = texts.where(plain).select("path", "def", "name", F.regexp_replace("text", r"^[\x22\x27]|[\x22\x27]$", "").alias("text"))
+    once = names.writes.where("NOT append").select("path", F.col("node").alias("def"), "name").distinct()
+    reach = reaching(names).join(known.join(once, ["path", "def", "name"]), ["path", "def", "name"], "left")
+    got = reach.groupBy("path", "node", "name", "guarded").agg(F.array_sort(F.collect_set("text")).alias("literals"), F.max(F.col("text").isNull()).alias("unknown"))
+    whole = states(names).join(got, ["path", "node", "name", "guarded"], "left")
+    literals = F.coalesce("literals", F.array().cast("array<string>"))
+    open_ = ~F.col("must") | F.coalesce("unknown", F.lit(True))
+    splits = ~F.col("quoted") & (open_ | F.exists(literals, lambda t: t.rlike(r"[\s*?\[]") | (t == "")))
+    return whole.select("path", "node", "name", "quoted", "guarded", literals.alias("literals"), open_.alias("open"), splits.alias("splits"))
+
+
+def dominators(flow: Flow) -> DataFrame:
     """path, node and dominator: nodes that every path from the file's root to ``node`` runs through, itself among them.
 
     By deletion over blocks: each block stands for all candidates until a path comes by without one. Pairs of blocks are
     expanded to nodes only for those that dominate.
     """
-    flow = names_or_flow
     of, between = blocks(flow)
     roots = flow.roots.where("kind = 'file'").join(of, ["path", "node"]).select("path", F.col("block")).distinct()
     onward = between.select("path", F.col("a").alias("block"), "b")
@@ -173,3 +220,93 @@ def dominators(names_or_flow: Flow) -> DataFrame:
     a = of.select("path", F.col("block").alias("by"), F.col("node").alias("dominator"))
     nodes = pairs.join(of, ["path", "block"]).join(a, ["path", "by"])
     return nodes.where("block <> by OR dominator <= node").select("path", "node", "dominator")
+
+
+# ---- calls
+
+
+def call_sites(flow: Flow) -> DataFrame:
+    """path, node, name, caller and callee of each call of a function of its file; caller and callee are roots of bodies, a null caller is the file.
+
+    Which of several definitions a call sees is the last one in front of it, else the first one behind it.
+    """
+    defined = flow.functions.select("path", "name", "named", F.col("root").alias("callee"))
+    heads = defined.select("path", F.col("named").alias("node"))
+    sites = flow.nodes.where("kind = 'simple' AND head IS NULL AND name IS NOT NULL").select("path", "node", "name").join(heads, ["path", "node"], "left_anti")
+    seen = sites.join(defined, ["path", "name"]).groupBy("path", "node", "name").agg(F.max_by("callee", F.when(F.col("named") < F.col("node"), F.col("named"))).alias("before"), F.min_by("callee", "named").alias("first"))
+    inside = regions(flow)
+    return seen.join(inside, ["path", "node"], "left").select("path", "node", "name", F.col("root").alias("caller"), F.coalesce("before", "first").alias("callee"))
+
+
+def regions(flow: Flow) -> DataFrame:
+    """path, node and root of the nodes of functions: the root of the body that each is in, the innermost."""
+    bodies = flow.functions.select("path", F.col("root").alias("node"))
+    of, between = blocks(flow)
+    seeds = bodies.join(of, ["path", "node"]).select("path", "block", F.col("node").alias("root"))
+    onward = between.select("path", F.col("a").alias("block"), "b")
+    step = lambda new: new.join(onward, ["path", "block"]).select("path", F.col("b").alias("block"), "root")
+    found = fixpoint(seeds, step)
+    return of.join(found, ["path", "block"]).groupBy("path", "node").agg(F.max("root").alias("root"))
+
+
+def components(links: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """keys, a and b of everything that links lead to, and keys, node and component of each node: those that lead to each other share one.
+
+    The closure doubles in each round, so a chain of calls takes the logarithm of its length. A component is
+    named after its least node.
+    """
+    known = stored(links.select(*keys, "a", "b").distinct(), "closure")
+    while True:
+        on = known.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"))
+        new = stored(known.join(on, [*keys, "b"]).select(*keys, "a", F.col("c").alias("b")).distinct().join(known, [*keys, "a", "b"], "left_anti"), "closure")
+        if new.isEmpty():
+            break
+        known = stored(known.unionByName(new), "closure")
+    back = known.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))
+    both = known.join(back, [*keys, "a", "b"], "left_semi")
+    nodes = links.select(*keys, F.col("a").alias("node")).unionByName(links.select(*keys, F.col("b").alias("node"))).distinct()
+    own = nodes.select(*keys, F.col("node").alias("a"), F.col("node").alias("b")).unionByName(both.select(*keys, "a", "b"))
+    return known, own.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def scope_reads(names: Names, sites: DataFrame) -> DataFrame:
+    """path, root and name of what each function may read, itself or through what it calls, however they call each other."""
+    own = names.reads.join(regions(names.flow), ["path", "node"]).select("path", "root", "name").distinct()
+    links = sites.where("caller IS NOT NULL").select("path", F.col("caller").alias("a"), F.col("callee").alias("b")).distinct()
+    reach, _ = components(links, ["path"])
+    through = reach.join(own.withColumnRenamed("root", "b"), ["path", "b"]).select("path", F.col("a").alias("root"), "name")
+    return own.unionByName(through).distinct()
+
+
+def provided(names: Names, sites: DataFrame) -> DataFrame:
+    """path, root and name of what each function has written whichever way it comes to its end.
+
+    Calls provide what their functions do. Rounds go up the graph of calls from those that call none, until no
+    function provides more; functions that call each other provide what they would if the inner call gave nothing. A function that never
+    comes to its end provides nothing.
+    """
+    flow, of = names.flow, names.of
+    inside = stored(regions(flow), "regions")
+    in_function = of.join(inside, ["path", "node"]).select("path", "block", "root").distinct()
+    ends = flow.nodes.select("path", "node", "name", "kind", "head").join(inside, ["path", "node"])
+    leads = flow.edges.select("path", F.col("a").alias("node")).distinct()
+    exits = stored(ends.where("NOT (kind = 'simple' AND head IS NULL AND name <=> 'exit')").join(leads, ["path", "node"], "left_anti").join(of, ["path", "node"]).select("path", "block", "root").distinct(), "exits")
+    own = names.writes.where("kind <> 'declaration' AND kind <> 'local'").select("path", "node", "name")
+    calls = sites.select("path", "node", F.col("callee").alias("root"))
+    seeds = flow.functions.select("path", F.col("root").alias("node")).join(of, ["path", "node"]).select("path", "block", F.col("node").alias("root"))
+    onward = names.between.select("path", F.col("a").alias("block"), "b")
+    have, n = None, -1
+    while True:
+        written = own if have is None else own.unionByName(calls.join(have, ["path", "root"]).select("path", "node", "name"))
+        blocks_of = stored(written.join(of, ["path", "node"]).select("path", "block", "name").distinct(), "writing")
+        candidates = stored(blocks_of.join(in_function, ["path", "block"]).select("path", "root", "name").distinct(), "candidates")
+        gone = seeds.join(candidates, ["path", "root"]).select("path", "block", "root", "name")
+        step = lambda new: new.join(blocks_of, ["path", "block", "name"], "left_anti").join(onward, ["path", "block"]).select("path", F.col("b").alias("block"), "root", "name")  # noqa: E731, B023
+        avoided = fixpoint(gone, step).join(blocks_of, ["path", "block", "name"], "left_anti")
+        open_ = avoided.join(exits, ["path", "block", "root"]).select("path", "root", "name").distinct()
+        ending = exits.select("path", "root").distinct()
+        have = stored(candidates.join(ending, ["path", "root"], "left_semi").join(open_, ["path", "root", "name"], "left_anti"), "provided")
+        m = have.count()
+        if m == n:
+            return have
+        n = m

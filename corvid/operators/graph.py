@@ -27,12 +27,16 @@ _TERMS = (";;", ";&", ";;&")
 
 class Flow(NamedTuple):
     """``nodes``: path, node, kind (simple or close), nest, name, args, assigned and where it is; ``edges``: path, a, b;
-    ``roots``: path, node and kind (file, function or nest); ``functions``: path, name, root."""
+    ``roots``: path, node and kind (file, function or nest); ``functions``: path, name, named (where its name is) and root;
+    ``elements``: path, at, what, nest, parent and head of what stands side by side, with where it is; ``falls``: path, a, b
+    of what leaving commands would lead to if they went on, and ``name`` of those."""
 
     nodes: DataFrame
     edges: DataFrame
     roots: DataFrame
     functions: DataFrame
+    elements: DataFrame
+    falls: DataFrame
 
 
 def _elements(marked: DataFrame, commands: DataFrame, found: DataFrame) -> DataFrame:
@@ -142,7 +146,12 @@ def flow_graph(tokens: DataFrame) -> Flow:
     inner = out.unionByName(left).distinct()
     edges, roots = _entered(tokens, nodes, stored(inner, "edges"), bodies, heads)
     functions = bodies.select("path", "name", "named", F.col("at").alias("spot")).join(heads, ["path", "spot"]).select("path", "name", "named", F.col("head").alias("root"))
-    return Flow(nodes, edges, roots, functions)
+    falls = nodes.where(_is_leaving()).select("path", F.col("node").alias("at"), "name").join(after, ["path", "at"]).select("path", F.col("at").alias("a"), "b", "name")
+    where = nodes.where("kind = 'simple'").select("path", F.col("node").alias("at"), "line_no", "col").unionByName(found.select("path", "at", "line_no", "col")).unionByName(marked.where("kind = 'nest'").select("path", "at", "line_no", "col"))
+    first = F.when(F.col("what") == "simple", F.col("at")).otherwise(F.coalesce("head", "at"))
+    spotted = bare.withColumn("spot", F.when(F.col("what") == "shell", F.col("at") + 1).otherwise(F.col("at"))).join(heads, ["path", "spot"], "left")
+    shown = spotted.select("path", "at", "what", "nest", "parent", first.alias("head")).join(where, ["path", "at"])
+    return Flow(nodes, edges, roots, functions, stored(shown, "shown"), stored(falls, "falls"))
 
 
 def _said_behind(marked: DataFrame) -> DataFrame:
@@ -236,10 +245,32 @@ def blocks(flow: Flow) -> tuple[DataFrame, DataFrame]:
     return of, stored(between.select("path", F.col("block_a").alias("a"), F.col("block_b").alias("b")).distinct(), "block-edges")
 
 
+def _reached(flow: Flow, of: DataFrame, between: DataFrame) -> DataFrame:
+    """path and block of what some root leads to."""
+    roots = flow.roots.select("path", "node").join(of, ["path", "node"]).select("path", F.col("block").alias("node")).distinct()
+    step = lambda new: new.withColumnRenamed("node", "a").join(between, ["path", "a"]).select("path", F.col("b").alias("node"))
+    return fixpoint(roots, step).withColumnRenamed("node", "block")
+
+
 def unreachable_nodes(flow: Flow) -> DataFrame:
     """Nodes that no path from a root reaches; functions' bodies count as entered."""
     of, between = blocks(flow)
-    roots = flow.roots.select("path", "node").join(of, ["path", "node"]).select("path", F.col("block").alias("node")).distinct()
-    step = lambda new: new.withColumnRenamed("node", "a").join(between, ["path", "a"]).select("path", F.col("b").alias("node"))
-    reached = fixpoint(roots, step).withColumnRenamed("node", "block")
-    return flow.nodes.join(of.join(reached, ["path", "block"], "left_anti").select("path", "node"), ["path", "node"])
+    gone = of.join(_reached(flow, of, between), ["path", "block"], "left_anti")
+    return flow.nodes.join(gone.select("path", "node"), ["path", "node"])
+
+
+def dead_code(flow: Flow) -> DataFrame:
+    """path, line_no and col of what can't be reached because of ``exit`` or ``return``: the outermost commands and compounds.
+
+    What a loop's ``break`` or ``continue`` cuts off isn't among it, nor is the inside of a function that is never defined.
+    """
+    jumps = flow.falls.where("name IN ('break', 'continue')").select("path", "a", "b")
+    onward = flow._replace(edges=stored(flow.edges.unionByName(jumps).distinct(), "edges-on"))
+    dead = stored(unreachable_nodes(onward).select("path", F.col("node").alias("head")), "dead")
+    elements = flow.elements.join(dead, ["path", "head"])
+    spots = elements.select("path", F.col("at").alias("parent")).unionByName(dead.select("path", F.col("head").alias("parent"))).distinct()
+    outer = elements.join(spots, ["path", "parent"], "left_anti")
+    # A subshell's commands are within it; a substitution's whose first one is dead are within a dead command.
+    shells = elements.where("what = 'shell'").select("path", F.col("at").alias("nest"))
+    held = flow.nodes.where("nest >= 0").groupBy("path", "nest").agg(F.min("node").alias("head")).join(dead, ["path", "head"]).select("path", "nest")
+    return outer.join(shells.unionByName(held).distinct(), ["path", "nest"], "left_anti").select("path", "line_no", "col").distinct()

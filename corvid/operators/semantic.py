@@ -16,7 +16,7 @@ from corvid.storage import stored
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 # Names that every shell or session provides, and builtins of the common shells.
-PREDEFINED = "HOME PATH PWD OLDPWD USER SHELL TERM LANG IFS PS1 PS2 RANDOM SECONDS LINENO UID EUID PPID OPTARG OPTIND HOSTNAME TMPDIR EDITOR REPLY BASH_SOURCE FUNCNAME PIPESTATUS".split()
+PREDEFINED = "HOME PATH PWD OLDPWD USER SHELL TERM LANG IFS PS1 PS2 RANDOM SECONDS LINENO UID EUID PPID OPTARG OPTIND HOSTNAME TMPDIR EDITOR REPLY BASH_SOURCE FUNCNAME PIPESTATUS LOGNAME SUDO_USER DOAS_USER BASH_LINENO BASH_REMATCH READLINE_LINE READLINE_POINT BASH_VERSION BASH_VERSINFO BASH_COMMAND BASHPID BASHOPTS SHELLOPTS OSTYPE MACHTYPE HOSTTYPE HISTCONTROL HISTSIZE HISTFILE HISTFILESIZE HISTCMD PROMPT_COMMAND PS3 PS4 COLUMNS LINES GROUPS DIRSTACK SHLVL CDPATH ENV BASH_ENV BASH MAIL OPTERR EPOCHSECONDS EPOCHREALTIME SRANDOM COMP_WORDS COMP_CWORD COMP_LINE COMP_POINT COMPREPLY MAPFILE COPROC DISPLAY PAGER VISUAL TZ LC_ALL LC_CTYPE LC_COLLATE LC_MESSAGES LC_NUMERIC".split()
 BUILTINS = ". : [ alias bg break cd command continue echo eval exec exit export false fg getopts hash jobs kill let local printf pwd read readonly return set shift source test times trap true type ulimit umask unalias unset wait declare typeset".split()
 _WRITERS = ("read", "export", "local", "declare", "typeset", "readonly", "unset", "getopts")
 

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from corvid.functions.lexer import tokens
 from corvid.operators import dataflow, scopes
 from corvid.operators.graph import Flow, flow_graph, unreachable_nodes
+from corvid.operators.lint import RULES, diagnostics, select
 from corvid.plans.registry import query
 from corvid.sources.tables import table
-from corvid.storage import stored
+from corvid.storage import remembered, stored
 
 # Text, how many nodes it has, steps between them (None is what follows the piece), nodes that it is entered at.
 PIECES = (
@@ -58,10 +59,14 @@ def _scripts(spark: SparkSession, sf_dir: str, choice: str, texts: list[str]) ->
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[Flow, DataFrame]:
     """The flow of all scripts, and the number of each node in its script."""
-    found = stored(tokens(_scripts(spark, sf_dir, _CHOICE, [p[0] for p in PIECES])), "tokens")
-    flow = flow_graph(found)
-    numbered = flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
-    return flow, stored(numbered, "numbers")
+
+    def make() -> tuple[Flow, DataFrame]:
+        found = stored(tokens(_scripts(spark, sf_dir, _CHOICE, [p[0] for p in PIECES])), "tokens")
+        flow = flow_graph(found)
+        numbered = flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
+        return flow, stored(numbered, "numbers")
+
+    return remembered(spark, ("graph", sf_dir), make)
 
 
 @query(f"WITH {_PIECED} SELECT path, a, b FROM flow")
@@ -119,11 +124,15 @@ acting AS (SELECT path, (first + i)::INTEGER AS node, v, act, item AS line_no FR
 
 
 def _names(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame]:
-    texts = [text.format(v=v) for text, _, _, _ in NAMED for v in range(_N_NAMES)]
-    found = stored(tokens(_scripts(spark, sf_dir, _NAME_CHOICE, texts)), "tokens")
-    flow = flow_graph(found)
-    numbered = flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
-    return dataflow.names_of(found, flow), stored(numbered, "numbers")
+
+    def make() -> tuple[dataflow.Names, DataFrame]:
+        texts = [text.format(v=v) for text, _, _, _ in NAMED for v in range(_N_NAMES)]
+        found = stored(tokens(_scripts(spark, sf_dir, _NAME_CHOICE, texts)), "tokens")
+        flow = flow_graph(found)
+        numbered = flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
+        return dataflow.names_of(found, flow), stored(numbered, "numbers")
+
+    return remembered(spark, ("names", sf_dir), make)
 
 
 @query(f"""WITH RECURSIVE {_NAMES}, vs AS (SELECT DISTINCT path, v FROM acting),
@@ -148,6 +157,34 @@ def graph_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataflow.unused(names).join(numbers, ["path", "node"]).select("path", F.col("number").alias("node"), "name")
 
 
+_N_LINES = [1 + text.count("\n") for text, _, _, _ in PIECES]
+_ENDS = [k for k, (text, _, _, _) in enumerate(PIECES) if text == "exit 0"][0]
+# Pieces with a command behind ``exit`` or ``return``, on their first line.
+_CUT = [k for k, (text, _, _, _) in enumerate(PIECES) if "return; b" in text or "exit; " in text]
+
+
+@query(f"""WITH {_PIECED}, heights(k, h) AS (VALUES {", ".join(f"({k}, {h})" for k, h in enumerate(_N_LINES))}),
+tall AS (SELECT path, item, k, h, (1 + coalesce(sum(h) OVER (PARTITION BY path ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS top, min(CASE WHEN k = {_ENDS} THEN item END) OVER (PARTITION BY path) AS last FROM placed JOIN heights USING (k))
+SELECT path, (top + i)::INTEGER AS line_no, 'C124' AS code FROM tall, unnest(range(h)) AS t(i) WHERE item > last OR i = 0 AND k IN ({", ".join(map(str, _CUT))})""")
+def dead_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that can't be reached because of ``exit`` or ``return``."""
+    files = stored(_scripts(spark, sf_dir, _CHOICE, [p[0] for p in PIECES]), "scripts")
+    return diagnostics(files, select(RULES, ("C124",))).select("path", "line_no", "code")
+
+
+@query(f"""WITH RECURSIVE {_NAMES},
+live(path, node, v) AS (SELECT path, node, v FROM acting WHERE act IN ('r', 'g') UNION SELECT l.path, f.a, l.v FROM live l JOIN flow f ON f.path = l.path AND f.b = l.node
+  WHERE NOT EXISTS (SELECT 1 FROM acting w WHERE w.path = l.path AND w.node = f.a AND w.v = l.v AND w.act = 'w')),
+may(path, node, v) AS (SELECT w.path, f.b, w.v FROM acting w JOIN flow f ON f.path = w.path AND f.a = w.node WHERE act = 'w' UNION SELECT m.path, f.b, m.v FROM may m JOIN flow f ON f.path = m.path AND f.a = m.node)
+SELECT path, max(line_no)::INTEGER AS line_no, 'C001' AS code FROM acting w WHERE act = 'w' AND NOT EXISTS (SELECT 1 FROM flow f JOIN live l ON l.path = f.path AND l.node = f.b AND l.v = w.v WHERE f.path = w.path AND f.a = w.node) GROUP BY path, v
+UNION SELECT path, line_no::INTEGER, 'C006' FROM acting r WHERE act = 'r' AND (path, node, v) NOT IN (SELECT (path, node, v) FROM may) AND NOT EXISTS (SELECT 1 FROM acting g WHERE g.path = r.path AND g.v = r.v AND g.act = 'g')""")
+def flow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes that no path reads again, and reads that no path writes before, in scripts with branches and loops."""
+    texts = [text.format(v=v) for text, _, _, _ in NAMED for v in range(_N_NAMES)]
+    files = stored(_scripts(spark, sf_dir, _NAME_CHOICE, texts), "scripts")
+    return diagnostics(files, select(RULES, ("C001", "C006"))).select("path", "line_no", "code").where("code = 'C001' OR code = 'C006'").distinct()
+
+
 # Each item opens a scope within that of the item before it, and says its number there.
 _NESTING = f"""items AS (SELECT concat('order-', l_orderkey, '.sh') AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_KEYS})::INTEGER AS item, (l_partkey + l_suppkey) % 3 AS k FROM lineitem),
 kinds(k, kind) AS (VALUES (0, 'function'), (1, 'subshell'), (2, 'substitution')), nest AS (SELECT path, item, kind FROM items JOIN kinds USING (k))"""
@@ -166,9 +203,13 @@ def _nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = _nesting(spark, sf_dir)
-    tree = scopes.scopes(found)
-    return found, stored(tree.withColumn("scope", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1), "scopes")
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        found = _nesting(spark, sf_dir)
+        tree = scopes.scopes(found)
+        return found, stored(tree.withColumn("scope", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1), "scopes")
+
+    return remembered(spark, ("scoped", sf_dir), make)
 
 
 @query(f"""WITH {_NESTING} SELECT path, 0 AS scope, 'file' AS kind, NULL::VARCHAR AS name, 0 AS level, NULL::INTEGER AS parent FROM (SELECT DISTINCT path FROM nest)
@@ -208,9 +249,79 @@ def nested_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM nest a JOIN nest b ON a.path = b.path AND b.item <= a.item""")
 def selection_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of brackets around each command, the innermost first."""
-    found = _nesting(spark, sf_dir)
+    found, _ = _scoped(spark, sf_dir)
     said = stored(scopes.nested_commands(found).where("name = 'echo'").select("path", F.col("at").alias("pos"), F.get("args", F.lit(0)).cast("int").alias("said")), "said")
     braces = scopes.compounds(scopes.statements(found)).where("kind = '{'").select("path", "at", "stop", F.lit(True).alias("braces"))
     brackets = stored(found.where("kind = 'nest' AND text IN ('(', '$(')").select("path", "at", "stop", F.lit(False).alias("braces")).unionByName(braces), "brackets")
     chains = scopes.selection_chains(said, brackets, ["path"]).join(brackets.select("path", "at", "braces"), ["path", "at"])
     return chains.join(said, ["path", "pos"]).select("path", "said", "step", "braces")
+
+
+@query(f"""WITH RECURSIVE {_NAMES}, texts(k, i, said) AS (VALUES (0, 0, '1'), (2, 1, '2'), (3, 1, '3'), (3, 2, '4'), (4, 2, '5'), (5, 1, '6'), (6, 1, '7'), (7, 0, '8')),
+vs AS (SELECT DISTINCT path, v FROM acting), said AS (SELECT path, first + i AS node, v, said FROM placed JOIN texts USING (k)),
+open(path, node, v) AS (SELECT path, 1, v FROM vs UNION SELECT o.path, f.b, o.v FROM open o JOIN flow f ON f.path = o.path AND f.a = o.node
+  WHERE NOT EXISTS (SELECT 1 FROM acting w WHERE w.path = o.path AND w.node = o.node AND w.v = o.v AND w.act = 'w')),
+reach(path, node, v, said) AS (SELECT s.path, f.b, s.v, s.said FROM said s JOIN flow f ON f.path = s.path AND f.a = s.node
+  UNION SELECT r.path, f.b, r.v, r.said FROM reach r JOIN flow f ON f.path = r.path AND f.a = r.node WHERE NOT EXISTS (SELECT 1 FROM acting w WHERE w.path = r.path AND w.node = r.node AND w.v = r.v AND w.act = 'w'))
+SELECT path, node, name, literals, open, k IN (4, 7) AND open AS splits FROM (SELECT a.path, a.node, concat('v', a.v) AS name, (SELECT coalesce(string_agg(said, ',' ORDER BY said), '') FROM reach r WHERE r.path = a.path AND r.node = a.node AND r.v = a.v) AS literals,
+  (a.path, a.node, a.v) IN (SELECT (path, node, v) FROM open) AS open, k
+FROM (SELECT acting.*, placed.k FROM acting JOIN placed ON placed.path = acting.path AND placed.item = acting.line_no) a WHERE act = 'r')""")
+def graph_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that a read may have, whether they are all that it may have, and whether it may come apart if unquoted."""
+    names, numbers = _names(spark, sf_dir)
+    found = dataflow.values(names).where("name LIKE 'v%' AND NOT guarded").join(numbers, ["path", "node"])
+    return found.select("path", F.col("number").alias("node"), "name", F.array_join("literals", ",").alias("literals"), "open", "splits")
+
+
+# An item is a function f1 to f7 of its order: it writes or reads a name of its own and calls another one, always or perhaps.
+_CALLS = f"""items AS (SELECT concat('order-', l_orderkey, '.sh') AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_KEYS})::INTEGER AS item, (1 + (l_partkey + l_linenumber) % 7)::INTEGER AS callee, (l_suppkey % 4)::INTEGER AS k FROM lineitem),
+n AS (SELECT path, count(*) AS n FROM items GROUP BY path), called AS (SELECT items.*, callee <= n AS there FROM items JOIN n USING (path))"""
+_BODIES_OF = ("f{i}() {{ w{i}=1; f{c}; }}", "f{i}() {{ echo \"$r{i}\"; t && f{c}; }}", "f{i}() {{ t || return; w{i}=1; f{c}; }}", "f{i}() {{ if t; then w{i}=1; else f{c}; w{i}=2; fi; echo $r{i}; }}")
+
+
+def _calling(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame]:
+
+    def make() -> tuple[dataflow.Names, DataFrame]:
+        items = table(spark, sf_dir, "lineitem").withColumn("item", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_KEYS.split(", "))))
+        i, c = F.col("item").cast("string"), (1 + (F.col("l_partkey") + F.col("l_linenumber")) % 7).cast("string")
+        text = F.get(F.array(*[F.lit(x.replace("{{", "{").replace("}}", "}")) for x in _BODIES_OF]), (F.col("l_suppkey") % 4).cast("int"))
+        said = F.replace(F.replace(text, F.lit("{i}"), i), F.lit("{c}"), c)
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", said.alias("text")))), lambda x: x["text"]), "\n")
+        files = items.groupBy("l_orderkey").agg(body.alias("content")).select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".sh")).alias("path"), "content")
+        found = stored(tokens(files), "tokens")
+        names = dataflow.names_of(found, flow_graph(found))
+        return names, stored(dataflow.call_sites(names.flow), "sites")
+
+    return remembered(spark, ("calling", sf_dir), make)
+
+
+def _by_name(rows: DataFrame, flow: Flow, column: str) -> DataFrame:
+    return rows.join(flow.functions.select("path", F.col("root").alias(column), F.col("name").alias(f"{column}_name")), ["path", column])
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, reach(path, a, b) AS (SELECT path, item, callee FROM called WHERE there UNION SELECT r.path, r.a, c.callee FROM reach r JOIN called c ON c.path = r.path AND c.item = r.b WHERE c.there)
+SELECT c.path, concat('f', c.item) AS function, concat('f', coalesce((SELECT min(least(r.b, c.item)) FROM reach r JOIN reach s ON s.path = r.path AND s.a = r.b AND s.b = r.a WHERE r.path = c.path AND r.a = c.item), c.item)) AS component FROM called c
+WHERE there OR EXISTS (SELECT 1 FROM called d WHERE d.path = c.path AND d.there AND d.callee = c.item)""")
+def call_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions that call each other, directly or through others."""
+    names, sites = _calling(spark, sf_dir)
+    _, found = dataflow.components(sites.where("caller IS NOT NULL").select("path", F.col("caller").alias("a"), F.col("callee").alias("b")), ["path"])
+    return _by_name(_by_name(found, names.flow, "node"), names.flow, "component").select("path", F.col("node_name").alias("function"), F.col("component_name").alias("component"))
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, reach(path, a, b) AS (SELECT path, item, item FROM called UNION SELECT r.path, r.a, c.callee FROM reach r JOIN called c ON c.path = r.path AND c.item = r.b WHERE c.there)
+SELECT DISTINCT r.path, concat('f', r.a) AS function, concat('r', r.b) AS name FROM reach r JOIN called c ON c.path = r.path AND c.item = r.b WHERE c.k IN (1, 3)""")
+def call_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that functions read, themselves or through the functions that they call."""
+    names, sites = _calling(spark, sf_dir)
+    found = _by_name(dataflow.scope_reads(names, sites), names.flow, "root")
+    return found.where("name RLIKE '^r[0-9]'").select("path", F.col("root_name").alias("function"), "name")
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, gives(path, a, b) AS (SELECT path, item, item FROM called WHERE k IN (0, 3) UNION SELECT c.path, c.item, g.b FROM called c JOIN gives g ON g.path = c.path AND g.a = c.callee WHERE c.k = 0 AND c.there)
+SELECT path, concat('f', a) AS function, concat('w', b) AS name FROM gives""")
+def call_provides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that functions have written whichever way they end."""
+    names, sites = _calling(spark, sf_dir)
+    found = _by_name(dataflow.provided(names, sites), names.flow, "root")
+    return found.select("path", F.col("root_name").alias("function"), "name")

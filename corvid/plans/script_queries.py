@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.shell import commands
+from corvid.operators import semantic
 from corvid.operators.facts import options
 from corvid.operators.fixes import fixed_lines
 from corvid.operators.flow import edges, nodes, unreachable
@@ -117,7 +118,11 @@ def script_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("v"), (F.when(F.col("l_returnflag") == "N", F.col("l_suppkey")).otherwise(F.col("l_partkey")) % 7).cast("string"))
     text = F.when(F.col("l_returnflag") == "N", F.concat(name, F.lit("=1"))).otherwise(F.concat(F.lit('echo "$'), name, F.lit('"')))
     files = stored(_joined(_numbered(spark, sf_dir).withColumns({"text": text, "marker": F.lit("#!/bin/bash")}), "text", "marker"), "scripts")
-    return diagnostics(files, select(RULES, ("C001", "C006"))).select("path", "line_no", "code")
+    r = semantic.script_relations(files)
+    unused = semantic.unused_assignments(r["bindings"], r["references"], r["source_edges"]).select("path", "line_no", F.lit("C001").alias("code"))
+    undefined = semantic.undefined_variables(r["bindings"], r["references"], r["source_edges"]).select("path", "line_no", F.lit("C006").alias("code"))
+    # The line of a name that is never written is one finding, however many such names it has.
+    return unused.unionByName(undefined.distinct())
 
 
 # An item is five commands: a branch, a loop that is left, or five in a row.

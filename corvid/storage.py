@@ -10,11 +10,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _LOCAL: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
+_KNOWN: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +48,10 @@ def discard(spark: SparkSession) -> int:
 
     For when all results that come from there have been written elsewhere: they can't be read after it.
     """
-    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    app = spark.sparkContext.applicationId
+    made = _MADE.pop(app, [])
+    for key in [k for k in _KNOWN if k[0] == app]:
+        del _KNOWN[key]
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in made:
         there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,3 +64,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remembered(spark: SparkSession, key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gave for ``key`` in this application, made anew after :func:`discard`.
+
+    For relations that several queries over the same tables are about; what they rest on is stored.
+    """
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _KNOWN:
+        _KNOWN[full] = make()
+    return _KNOWN[full]
