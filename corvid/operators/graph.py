@@ -29,7 +29,8 @@ class Flow(NamedTuple):
     """``nodes``: path, node, kind (simple or close), nest, name, args, assigned and where it is; ``edges``: path, a, b;
     ``roots``: path, node and kind (file, function or nest); ``functions``: path, name, named (where its name is) and root;
     ``elements``: path, at, what, nest, parent and head of what stands side by side, with where it is; ``falls``: path, a, b
-    of what leaving commands would lead to if they went on, and ``name`` of those."""
+    of what leaving commands would lead to if they went on, and ``name`` of those; ``finals``: path, node of what may come last in a file,
+    but for ``exit`` and ``return``; ``shells``: path, nest, head and close of each subshell: its first node and its end."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -37,6 +38,8 @@ class Flow(NamedTuple):
     functions: DataFrame
     elements: DataFrame
     falls: DataFrame
+    finals: DataFrame
+    shells: DataFrame
 
 
 def _elements(marked: DataFrame, commands: DataFrame, found: DataFrame) -> DataFrame:
@@ -142,7 +145,13 @@ def flow_graph(tokens: DataFrame) -> Flow:
     after = stored(steps.unionByName(further.join(steps.withColumnRenamed("at", "via"), ["path", "via"]).select("path", "at", "b")).distinct(), "after")
 
     out = _plain_edges(nodes, rows, after, found, bodies, heads)
-    left = _leaving_edges(nodes, placed, found, after, heads, shells)
+    left, broken = _leaving_edges(nodes, placed, found, after, heads, shells)
+    over = last.where("parent IS NULL AND nest = -1").select("path", "at")
+    over = stored(over.unionByName(further.join(over.withColumnRenamed("at", "via"), ["path", "via"]).select("path", "at")).distinct(), "over")
+    loops = found.where(F.col("kind").isin(*LOOPS)).select("path", F.col("at").alias("of"))
+    finals = nodes.where(~_is_leaving()).where("kind = 'simple'").select("path", F.col("node").alias("at"), "node")
+    finals = finals.unionByName(nodes.where("kind = 'close'").join(loops, ["path", "of"], "left_anti").join(bodies.select("path", F.col("at").alias("of")), ["path", "of"], "left_anti").select("path", F.col("of").alias("at"), "node"))
+    finals = stored(finals.unionByName(broken.select("path", F.col("loop").alias("at"), "node")).join(over, ["path", "at"]).select("path", "node").distinct(), "finals")
     inner = out.unionByName(left).distinct()
     edges, roots = _entered(tokens, nodes, stored(inner, "edges"), bodies, heads)
     functions = bodies.select("path", "name", "named", F.col("at").alias("spot")).join(heads, ["path", "spot"]).select("path", "name", "named", F.col("head").alias("root"))
@@ -151,7 +160,8 @@ def flow_graph(tokens: DataFrame) -> Flow:
     first = F.when(F.col("what") == "simple", F.col("at")).otherwise(F.coalesce("head", "at"))
     spotted = bare.withColumn("spot", F.when(F.col("what") == "shell", F.col("at") + 1).otherwise(F.col("at"))).join(heads, ["path", "spot"], "left")
     shown = spotted.select("path", "at", "what", "nest", "parent", first.alias("head")).join(where, ["path", "at"])
-    return Flow(nodes, edges, roots, functions, stored(shown, "shown"), stored(falls, "falls"))
+    inner = shells.where("close IS NOT NULL").select("path", F.col("at").alias("nest"), (F.col("at") + 1).alias("spot"), "close").join(heads, ["path", "spot"]).where("head < close").select("path", "nest", "head", "close")
+    return Flow(nodes, edges, roots, functions, stored(shown, "shown"), stored(falls, "falls"), finals, stored(inner, "shells"))
 
 
 def _said_behind(marked: DataFrame) -> DataFrame:
@@ -186,8 +196,8 @@ def _plain_edges(nodes: DataFrame, rows: DataFrame, after: DataFrame, found: Dat
     return simple.unionByName(on).join(after, ["path", "at"]).select("path", "a", "b").unionByName(back)
 
 
-def _leaving_edges(nodes: DataFrame, placed: DataFrame, found: DataFrame, after: DataFrame, heads: DataFrame, shells: DataFrame) -> DataFrame:
-    """``break`` and ``continue`` go behind and to the head of the loop that they name, ``exit`` to the end of its subshell."""
+def _leaving_edges(nodes: DataFrame, placed: DataFrame, found: DataFrame, after: DataFrame, heads: DataFrame, shells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``break`` and ``continue`` go behind and to the head of the loop that they name, ``exit`` to the end of its subshell; and which loop each ``break`` leaves."""
     leaving = nodes.where(_is_leaving())
     out = leaving.where("name = 'exit'").join(shells.where("close IS NOT NULL").select("path", F.col("at").alias("nest"), F.col("close").alias("b")), ["path", "nest"]).select("path", F.col("node").alias("a"), "b")
     jumps = leaving.where("name IN ('break', 'continue')").select("path", "node", "name", F.coalesce(F.expr("try_cast(get(args, 0) AS int)"), F.lit(1)).alias("n"))
@@ -201,7 +211,7 @@ def _leaving_edges(nodes: DataFrame, placed: DataFrame, found: DataFrame, after:
     chosen = loops.withColumns({"k": F.row_number().over(w.orderBy(F.desc("loop"))), "most": F.count("*").over(w)}).where("k = least(greatest(n, 1), most)")
     again = chosen.where("name = 'continue'").join(heads.withColumnRenamed("spot", "loop"), ["path", "loop"]).select("path", F.col("node").alias("a"), F.col("head").alias("b"))
     gone = chosen.where("name = 'break'").join(after.withColumnRenamed("at", "loop"), ["path", "loop"]).select("path", F.col("node").alias("a"), "b")
-    return out.unionByName(again).unionByName(gone)
+    return out.unionByName(again).unionByName(gone), chosen.where("name = 'break'").select("path", "node", "loop")
 
 
 def _entered(tokens: DataFrame, nodes: DataFrame, edges: DataFrame, bodies: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:

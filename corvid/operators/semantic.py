@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions.shell import commands, logical_lines
 from corvid.operators.fixpoint import reachable
+from corvid.operators.paths import resolved_sources
 from corvid.storage import stored
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -145,6 +146,7 @@ def resolve_commands(facts: DataFrame, defined: DataFrame, executables: DataFram
 
 
 def script_relations(files: DataFrame) -> dict[str, DataFrame]:
-    """All relations of ``files`` (path, content). Text is read once: facts are written for the others."""
+    """All relations of ``files`` (path, content). Facts are written once for those that rest on them; sources name input files where they can."""
     facts, defined = stored(commands(files), "commands"), stored(functions(files), "functions")
-    return {"commands": facts, "functions": defined, "bindings": bindings(facts), "references": references(files), "calls": calls(facts, defined), "source_edges": source_edges(facts)}
+    edges = stored(resolved_sources(source_edges(facts), files), "sources")
+    return {"commands": facts, "functions": defined, "bindings": bindings(facts), "references": references(files), "calls": calls(facts, defined), "source_edges": edges}
