@@ -19,6 +19,7 @@ An empty table stays empty.
 
 from __future__ import annotations
 
+import uuid
 import heapq
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -102,7 +103,11 @@ def mix_sources(docs: DataFrame, shares: dict[str, int] | None = None, doc_id: s
     that ``shares`` doesn't name get one share each.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("block", "slot", "position", "_stream", "_id", "_low", "_before", "_part", "_rank", "_first", "_number")]
+    names = [c for c in docs.columns if c not in ("block", "slot", "position")]
+    # Columns that may be named like those in between go by other names until the end.
+    away = {c: f"{c}-{uuid.uuid4().hex}" for c in names if c.startswith("_")}
+    docs, names = docs.withColumnsRenamed(away), [away.get(c, c) for c in names]
+    doc_id, source = away.get(doc_id, doc_id), away.get(source, source)
     stream = F.coalesce(F.col(source).cast("string"), F.lit(_NULL))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Rows of one source with equal ids are told apart by number, so that they too can be cut.
@@ -119,4 +124,4 @@ def mix_sources(docs: DataFrame, shares: dict[str, int] | None = None, doc_id: s
 
     ranked = laid.withColumn("_part", part).join(pieces.drop("n"), ["_stream", "_part"]).withColumn("_rank", F.col("_id") - F.col("_low") + F.col("_before"))
     placed = ranked.withColumn("block", F.floor(F.col("_rank") / block).cast("bigint")).join(plan, ["_stream", "block"])
-    return placed.withColumn("position", F.col("_first") + F.col("_rank") % block).select(*names, "block", "slot", "position")
+    return placed.withColumn("position", F.col("_first") + F.col("_rank") % block).select(*names, "block", "slot", "position").withColumnsRenamed({v: k for k, v in away.items()})

@@ -18,6 +18,7 @@ allow. Each row gives one row; other columns are kept; those named like the resu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,7 +237,10 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str],
 
     A task handles the texts of about ``cells`` runs at once; the results don't depend on it.
     """
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "ratio", "_judged", "_text", "_kind", "_chunk", "_unseen")]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "ratio")]
+    # Columns that may be named like those in between go by other names until the end.
+    away = {c: f"{c}-{uuid.uuid4().hex}" for c in kept if c.startswith("_")}
+    pages, kept, url = pages.withColumnsRenamed(away), [away.get(c, c) for c in kept], away.get(url, url)
     located = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = ruled(F.col("host"), F.col("path"), rules)
     # 0 and 1 are the four fifths that are allowed and blocked, 2 and 3 the fifth.
@@ -253,4 +257,4 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str],
     method = F.when(F.col("ratio") >= least, F.lit("allow")).otherwise(F.lit("block"))
     # The rule's struct doesn't go through Python.
     out = scored.withColumn("_judged", judged)
-    return out.select(*kept, "host", "path", F.col("_judged.rule").alias("rule"), F.coalesce("_judged.verdict", method).alias("verdict"), "ratio")
+    return out.select(*kept, "host", "path", F.col("_judged.rule").alias("rule"), F.coalesce("_judged.verdict", method).alias("verdict"), "ratio").withColumnsRenamed({v: k for k, v in away.items()})

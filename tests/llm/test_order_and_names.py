@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, secrets, skew, warc
+from corvid.llm import decontaminate, mixing, secrets, skew, urls, warc
 
 
 def test_no_payload_is_lost_in_any_order(spark):
@@ -51,3 +51,15 @@ def test_masking_doesn_t_mind_names(spark):
     docs = spark.createDataFrame([(1, "password=abcdefgh12", "f", "b", "d")], "doc_id bigint, text string, findings string, blob string, doc string")
     [r] = secrets.mask_secrets(docs, secrets.fresh_path(spark, "ledger")).collect()
     assert "abcdefgh12" not in r.text and (r.findings, r.blob, r.doc) == ("f", "b", "d")
+
+
+def test_columns_of_any_name_come_back(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], i, i * 10, "x") for i in range(20)], "doc_id bigint, source string, _rank bigint, _part bigint, block string")
+    got = mixing.mix_sources(docs)
+    assert got.columns == ["doc_id", "source", "_rank", "_part", "block", "slot", "position"]
+    assert all(r._rank == r.doc_id and r._part == 10 * r.doc_id for r in got.collect())
+    hosts = ["a.net", "example.net", "b.example.com", "z.org"]
+    pages = spark.createDataFrame([(i, f"http://{hosts[i % 4]}/{'en' if i % 3 else 'de'}/{i}", f"t{i}", i) for i in range(60)], "page_id bigint, url string, _text string, _kind bigint")
+    got = urls.judge_urls(pages)
+    assert got.columns[:4] == ["page_id", "url", "_text", "_kind"]
+    assert all(r._text == f"t{r.page_id}" and r._kind == r.page_id for r in got.collect())
