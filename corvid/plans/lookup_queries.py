@@ -10,7 +10,7 @@ from corvid.plans.registry import query
 from corvid.sources.tables import table
 
 
-#: Names of a vocabulary that is broadcast.
+#: Known names of a block.
 MOST_KNOWN = 10_000
 
 
@@ -58,17 +58,23 @@ d AS (SELECT name, candidate, levenshtein(name, candidate)::INTEGER AS distance
 def typo_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three known names nearest to each unknown one.
 
-    The known names are a vocabulary, a stated set that every asked name is held against; beyond
-    ``MOST_KNOWN`` of them that would be no plan, and this says so.
+    The unknown names are a stated set, held against all known ones in blocks: each block of at most ``MOST_KNOWN`` names gives
+    its three nearest, and the nearest of those are the answer.
     """
     types = table(spark, sf_dir, "part").select("p_type").distinct()
     asked = types.select(F.replace("p_type", F.lit("O"), F.lit("")).alias("name")).distinct()
-    known = types.count()
-    if known > MOST_KNOWN:
-        raise ValueError(f"{known} known names; hold names against each other by pieces, as misspelling does")
-    near = asked.join(F.broadcast(types.withColumnRenamed("p_type", "candidate"))).withColumn("distance", F.levenshtein("name", "candidate"))
-    k = F.row_number().over(Window.partitionBy("name").orderBy("distance", "candidate"))
-    return near.withColumn("k", k).where("k <= 3").drop("k")
+    return nearest(asked, types.withColumnRenamed("p_type", "candidate"), 3)
+
+
+def nearest(asked: DataFrame, known: DataFrame, k: int, most: int = MOST_KNOWN) -> DataFrame:
+    """name, candidate and distance of the ``k`` of ``known`` nearest to each of ``asked``; ties go by candidate."""
+    blocks = known.agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias("blocks"))
+    dealt = known.join(F.broadcast(blocks)).withColumn("block", F.pmod(F.xxhash64("candidate"), "blocks"))
+    copied = asked.join(F.broadcast(blocks)).select("name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    met = copied.join(dealt, "block").select("name", "block", "candidate", F.levenshtein("name", "candidate").alias("distance"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("name", *keys).orderBy("distance", "candidate"))
+    few = met.withColumn("k", rank("block")).where(F.col("k") <= k).drop("k", "block")
+    return few.withColumn("k", rank()).where(F.col("k") <= k).drop("k")
 
 
 @query("""SELECT l_partkey, min(l_linenumber)::INTEGER AS dir_idx, (arg_min(l_suppkey, l_linenumber * 1000000000::BIGINT + l_suppkey))::BIGINT AS found FROM lineitem GROUP BY l_partkey""")
