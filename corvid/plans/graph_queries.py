@@ -325,3 +325,21 @@ def call_provides(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, sites = _calling(spark, sf_dir)
     found = _by_name(dataflow.provided(names, sites), names.flow, "root")
     return found.select("path", F.col("root_name").alias("function"), "name")
+
+
+# Lines that say how a script is built badly or well, one for each item of an order; ends of files are for the last item.
+_BUILT = (
+    ("x; fi", ("C016",)), ("if x; then y; fi", ()), ("case $x in a*) y;; ab) z;; esac", ("C128", "C129")), ("case $x in ab) y;; a*) z;; esac", ()), ("until x; done", ("C146",)),
+    ("if x; then y; else fi", ("C143",)), ("for i in a; do y; done", ("S020",)), ("for i in *.c; do y; done", ()), ("for i in a b; do y; done", ()), ("case $x in x|x) ;; esac", ("C128", "C129")),
+)
+_BUILT_CHOICE = f"(l_partkey + 3 * l_suppkey) % {len(_BUILT)}"
+
+
+@query(f"""WITH built(k, code) AS (VALUES {", ".join(f"({k}, '{c}')" for k, (_, codes) in enumerate(_BUILT) for c in codes)}),
+items AS (SELECT concat('order-', l_orderkey, '.sh') AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_KEYS})::INTEGER AS line_no, {_BUILT_CHOICE} AS k FROM lineitem)
+SELECT path, line_no, code FROM items JOIN built USING (k)""")
+def structure_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords that match nothing, branches that are empty, loops over one word, and arms that never match."""
+    files = stored(_scripts(spark, sf_dir, _BUILT_CHOICE, [text for text, _ in _BUILT]), "scripts")
+    codes = tuple(sorted({c for _, found in _BUILT for c in found}))
+    return diagnostics(files, select(RULES, codes)).select("path", "line_no", "code")
