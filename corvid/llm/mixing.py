@@ -19,8 +19,8 @@ An empty table stays empty.
 
 from __future__ import annotations
 
-import uuid
 import heapq
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, batched
