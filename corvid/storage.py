@@ -19,7 +19,7 @@ T = TypeVar("T")
 
 _LOCAL: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
-_KNOWN: dict[tuple, object] = {}
+_KNOWN: dict[tuple, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,11 +67,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def remembered(spark: SparkSession, key: tuple, make: Callable[[], T]) -> T:
-    """What ``make`` gave for ``key`` in this application, made anew after :func:`discard`.
+    """What ``make`` gave for ``key`` in this application; made anew after :func:`discard`, or once a table that it wrote is gone.
 
     For relations that several queries over the same tables are about; what they rest on is stored.
     """
-    full = (spark.sparkContext.applicationId, *key)
-    if full not in _KNOWN:
-        _KNOWN[full] = make()
-    return _KNOWN[full]
+    app = spark.sparkContext.applicationId
+    full = (app, *key)
+    if full in _KNOWN and all(_there(spark, path) for path in _KNOWN[full][1]):
+        return _KNOWN[full][0]
+    before = len(_MADE.get(app, []))
+    made = make()
+    _KNOWN[full] = (made, _MADE.get(app, [])[before:])
+    return made
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
