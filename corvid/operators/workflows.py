@@ -5,7 +5,7 @@ the environment, an output of a step or job) and what its expressions read are r
 definition that it can see, and taint spreads from outside input along those links as a fixpoint, within a file.
 
 Block mappings, block sequences and plain, quoted, literal and folded scalars are understood; flow mappings and
-anchors stay text. Expressions are taken as text: what they read are the dotted names in them, outside quotes.
+anchors stay text, and each further line of a plain scalar is one of the same address. Expressions are taken as text: what they read are the dotted names in them, outside quotes.
 """
 
 from __future__ import annotations
