@@ -24,7 +24,7 @@ _BREAKS = re.compile(
 # Possessive throughout: a group that may give back what it has taken costs the matcher a stack frame a character.
 _QUOTED = r"""'[^']*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|\$\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)|\$\{[^}]*+\}|`[^`]*+`|\\."""
 WORD = rf"""(?:[^\s'"\\|;&()<>`$]++|{_QUOTED}|\$)++"""
-OPERATOR = r"&&|\|\||;;|\|&|[0-9]*(?:<<<|<<-?|>>|<&|>&|<>|>\||&>|[<>])|[|;&()]"
+OPERATOR = r"&&|\|\||;;|\|&|[0-9]*(?:<<<|<<-?|>>|<&|>&|<>|>\||&>>?|[<>])|[|;&()]"
 TOKEN = rf"(?:(?<![^\s;|&()])#.*)|{OPERATOR}|{WORD}"
 _ENDS = ("&&", "||", ";;", "|&", "|", ";", "&", "(", ")")
 # Words that stand before a command, and commands that run another.
@@ -101,7 +101,7 @@ def _segments(tokens: Column) -> Column:
     start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit("").alias("before"), F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("redirects"), F.lit("").alias("open"))
 
     def step(s: Column, t: Column) -> Column:
-        ends, redirect = t.isin(*_ENDS), t.rlike(r"^[0-9]*(<<<|<<-?|>>|<&|>&|<>|>\||&>|[<>])$")
+        ends, redirect = t.isin(*_ENDS), t.rlike(r"^[0-9]*(<<<|<<-?|>>|<&|>&|<>|>\||&>>?|[<>])$")
         taken = F.array(F.struct(s["before"].alias("before"), s["words"].alias("words"), s["redirects"].alias("redirects")))
         some = (F.size(s["words"]) > 0) | (F.size(s["redirects"]) > 0)
         none = F.array().cast("array<string>")
