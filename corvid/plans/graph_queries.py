@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions.lexer import tokens
 from corvid.operators import dataflow, scopes
+from corvid.operators.copies import Copies, distinct_texts, held
 from corvid.operators.graph import Flow, flow_graph, unreachable_nodes
 from corvid.operators.lint import RULES, diagnostics, select
 from corvid.plans.registry import query
@@ -57,14 +58,14 @@ def _scripts(spark: SparkSession, sf_dir: str, choice: str, texts: list[str]) ->
     return items.groupBy("l_orderkey").agg(body.alias("content")).select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".sh")).alias("path"), "content")
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[Flow, DataFrame]:
-    """The flow of all scripts, and the number of each node in its script."""
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[Flow, DataFrame, Copies]:
+    """The flow of all texts, the number of each node in its text, and which scripts have which text."""
 
-    def make() -> tuple[Flow, DataFrame]:
-        found = stored(tokens(_scripts(spark, sf_dir, _CHOICE, [p[0] for p in PIECES])), "tokens")
-        flow = flow_graph(found)
+    def make() -> tuple[Flow, DataFrame, Copies]:
+        copies = distinct_texts(stored(_scripts(spark, sf_dir, _CHOICE, [p[0] for p in PIECES]), "scripts"))
+        flow = flow_graph(stored(tokens(copies.texts), "tokens"))
         numbered = flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
-        return flow, stored(numbered, "numbers")
+        return flow, stored(numbered, "numbers"), copies
 
     return remembered(spark, ("graph", sf_dir), make)
 
@@ -72,17 +73,17 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[Flow, DataFrame]:
 @query(f"WITH {_PIECED} SELECT path, a, b FROM flow")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which command may run after which: lists, branches, loops, arms, functions, subshells and substitutions."""
-    flow, numbers = _graph(spark, sf_dir)
+    flow, numbers, copies = _graph(spark, sf_dir)
     a, b = (numbers.select("path", F.col("node").alias(x), F.col("number").alias(f"n_{x}")) for x in "ab")
-    return flow.edges.join(a, ["path", "a"]).join(b, ["path", "b"]).select("path", F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    return held(flow.edges.join(a, ["path", "a"]).join(b, ["path", "b"]).select("path", F.col("n_a").alias("a"), F.col("n_b").alias("b")), copies)
 
 
 @query(f"""WITH RECURSIVE {_PIECED}, reached(path, node) AS (SELECT path, node FROM roots UNION SELECT r.path, f.b FROM reached r JOIN flow f ON f.path = r.path AND f.a = r.node)
 SELECT path, (first + i)::INTEGER AS node FROM placed, unnest(range(n)) AS t(i) WHERE (path, first + i) NOT IN (SELECT (path, node) FROM reached)""")
 def graph_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that no path reaches, as those behind ``exit``, ``return``, ``break`` and ``continue``."""
-    flow, numbers = _graph(spark, sf_dir)
-    return unreachable_nodes(flow).select("path", "node").join(numbers, ["path", "node"]).select("path", F.col("number").alias("node"))
+    flow, numbers, copies = _graph(spark, sf_dir)
+    return held(unreachable_nodes(flow).select("path", "node").join(numbers, ["path", "node"]).select("path", F.col("number").alias("node")), copies)
 
 
 @query(f"""WITH RECURSIVE {_PIECED}, start AS (SELECT path, min(node) AS node FROM roots GROUP BY path),
@@ -92,9 +93,9 @@ avoids(path, node, dom) AS (SELECT s.path, s.node, r.node FROM start s JOIN reac
 SELECT a.path, a.node::INTEGER AS node, b.node::INTEGER AS dominator FROM reached a JOIN reached b ON a.path = b.path WHERE (a.path, a.node, b.node) NOT IN (SELECT (path, node, dom) FROM avoids)""")
 def graph_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that every path to a command runs through."""
-    flow, numbers = _graph(spark, sf_dir)
+    flow, numbers, copies = _graph(spark, sf_dir)
     a, b = (numbers.select("path", F.col("node").alias(x), F.col("number").alias(f"n_{x}")) for x in ("node", "dominator"))
-    return dataflow.dominators(flow).join(a, ["path", "node"]).join(b, ["path", "dominator"]).select("path", F.col("n_node").alias("node"), F.col("n_dominator").alias("dominator"))
+    return held(dataflow.dominators(flow).join(a, ["path", "node"]).join(b, ["path", "dominator"]).select("path", F.col("n_node").alias("node"), F.col("n_dominator").alias("dominator")), copies)
 
 
 # A name in each piece: written or read, once or in a branch. Nodes that write (w) or read (r), how they lead on.
@@ -123,14 +124,15 @@ flow AS (SELECT path, first + a AS a, first + b AS b FROM placed JOIN steps USIN
 acting AS (SELECT path, (first + i)::INTEGER AS node, v, act, item AS line_no FROM placed JOIN acts USING (k))"""
 
 
-def _names(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame]:
+def _names(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame, Copies]:
 
-    def make() -> tuple[dataflow.Names, DataFrame]:
+    def make() -> tuple[dataflow.Names, DataFrame, Copies]:
         texts = [text.format(v=v) for text, _, _, _ in NAMED for v in range(_N_NAMES)]
-        found = stored(tokens(_scripts(spark, sf_dir, _NAME_CHOICE, texts)), "tokens")
+        copies = distinct_texts(stored(_scripts(spark, sf_dir, _NAME_CHOICE, texts), "scripts"))
+        found = stored(tokens(copies.texts), "tokens")
         flow = flow_graph(found)
         numbered = flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
-        return dataflow.names_of(found, flow), stored(numbered, "numbers")
+        return dataflow.names_of(found, flow), stored(numbered, "numbers"), copies
 
     return remembered(spark, ("names", sf_dir), make)
 
@@ -143,8 +145,8 @@ SELECT path, node, concat('v', v) AS name, act = 'g' AS guarded, (path, node, v)
 FROM acting WHERE act IN ('r', 'g')""")
 def graph_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether some, and whether every, path to a read of a name writes it."""
-    names, numbers = _names(spark, sf_dir)
-    return dataflow.states(names).where("name LIKE 'v%'").join(numbers, ["path", "node"]).select("path", F.col("number").alias("node"), "name", "guarded", "may", "must")
+    names, numbers, copies = _names(spark, sf_dir)
+    return held(dataflow.states(names).where("name LIKE 'v%'").join(numbers, ["path", "node"]).select("path", F.col("number").alias("node"), "name", "guarded", "may", "must"), copies)
 
 
 @query(f"""WITH RECURSIVE {_NAMES},
@@ -153,8 +155,8 @@ live(path, node, v) AS (SELECT path, node, v FROM acting WHERE act IN ('r', 'g')
 SELECT path, node, concat('v', v) AS name FROM acting w WHERE act = 'w' AND NOT EXISTS (SELECT 1 FROM flow f JOIN live l ON l.path = f.path AND l.node = f.b AND l.v = w.v WHERE f.path = w.path AND f.a = w.node)""")
 def graph_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes of names that no path reads before they are written again."""
-    names, numbers = _names(spark, sf_dir)
-    return dataflow.unused(names).join(numbers, ["path", "node"]).select("path", F.col("number").alias("node"), "name")
+    names, numbers, copies = _names(spark, sf_dir)
+    return held(dataflow.unused(names).join(numbers, ["path", "node"]).select("path", F.col("number").alias("node"), "name"), copies)
 
 
 _N_LINES = [1 + text.count("\n") for text, _, _, _ in PIECES]
@@ -190,8 +192,8 @@ _NESTING = f"""items AS (SELECT concat('order-', l_orderkey, '.sh') AS path, row
 kinds(k, kind) AS (VALUES (0, 'function'), (1, 'subshell'), (2, 'substitution')), nest AS (SELECT path, item, kind FROM items JOIN kinds USING (k))"""
 
 
-def _nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of a script for each order that nests as deep as the order has items."""
+def _nesting(spark: SparkSession, sf_dir: str) -> Copies:
+    """A script for each order that nests as deep as the order has items."""
     items = table(spark, sf_dir, "lineitem").withColumn("item", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_KEYS.split(", "))))
     k, i = ((F.col("l_partkey") + F.col("l_suppkey")) % 3).cast("int"), F.col("item").cast("string")
     opening = F.get(F.array(F.concat(F.lit("f"), i, F.lit("() {")), F.lit("("), F.lit("x=$(")), k)
@@ -199,15 +201,16 @@ def _nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("item", line.alias("open"), F.get(F.array(F.lit("}"), F.lit(")"), F.lit(")")), k).alias("close"))))
     said = items.groupBy("l_orderkey").agg(rows.alias("rows"))
     text = F.concat(F.array_join(F.transform("rows", lambda r: r["open"]), "\n"), F.lit("\n"), F.array_join(F.reverse(F.transform("rows", lambda r: r["close"])), "\n"))
-    return stored(tokens(said.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".sh")).alias("path"), text.alias("content"))), "tokens")
+    return distinct_texts(stored(said.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".sh")).alias("path"), text.alias("content")), "scripts"))
 
 
-def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Copies]:
 
-    def make() -> tuple[DataFrame, DataFrame]:
-        found = _nesting(spark, sf_dir)
+    def make() -> tuple[DataFrame, DataFrame, Copies]:
+        copies = _nesting(spark, sf_dir)
+        found = stored(tokens(copies.texts), "tokens")
         tree = scopes.scopes(found)
-        return found, stored(tree.withColumn("scope", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1), "scopes")
+        return found, stored(tree.withColumn("scope", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1), "scopes"), copies
 
     return remembered(spark, ("scoped", sf_dir), make)
 
@@ -216,25 +219,25 @@ def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 UNION ALL SELECT path, item, kind, CASE WHEN kind = 'function' THEN concat('f', item) END, item, item - 1 FROM nest""")
 def scope_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scope of nested scripts, with its parent and how deep it is."""
-    _, tree = _scoped(spark, sf_dir)
+    _, tree, copies = _scoped(spark, sf_dir)
     numbers = tree.select("path", F.col("at").alias("parent"), F.col("scope").alias("of"))
-    return tree.join(numbers, ["path", "parent"], "left").select("path", "scope", "kind", "name", "level", F.col("of").alias("parent"))
+    return held(tree.join(numbers, ["path", "parent"], "left").select("path", "scope", "kind", "name", "level", F.col("of").alias("parent")), copies)
 
 
 @query(f"""WITH {_NESTING} SELECT a.path, a.item AS scope, b.item AS ancestor, (a.item - b.item)::INTEGER AS distance FROM nest a JOIN nest b ON a.path = b.path AND b.item < a.item
 UNION ALL SELECT path, item, 0, item FROM nest""")
 def scope_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scopes around each scope, and how far out they are."""
-    _, tree = _scoped(spark, sf_dir)
+    _, tree, copies = _scoped(spark, sf_dir)
     a, b = (tree.select("path", F.col("at").alias(x), F.col("scope").alias(f"n_{x}")) for x in ("at", "ancestor"))
-    return scopes.lineage(tree, ["path"]).join(a, ["path", "at"]).join(b, ["path", "ancestor"]).select("path", F.col("n_at").alias("scope"), F.col("n_ancestor").alias("ancestor"), "distance")
+    return held(scopes.lineage(tree, ["path"]).join(a, ["path", "at"]).join(b, ["path", "ancestor"]).select("path", F.col("n_at").alias("scope"), F.col("n_ancestor").alias("ancestor"), "distance"), copies)
 
 
 @query(f"""WITH {_NESTING} SELECT path, item AS said, (2 * item)::INTEGER AS line_no, item AS scope, max(CASE WHEN kind = 'function' THEN concat('f', item) END) OVER (PARTITION BY path ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) IS NOT NULL AS in_function,
   last_value(CASE WHEN kind = 'function' THEN concat('f', item) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS caller FROM nest""")
 def nested_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands of every level, with the innermost scope around each and the nearest function."""
-    found, tree = _scoped(spark, sf_dir)
+    found, tree, copies = _scoped(spark, sf_dir)
     said = stored(scopes.nested_commands(found).where("name = 'echo'"), "said")
     inner = tree.where("kind <> 'file'")
     inside = scopes.innermost(said.select("path", F.col("at").alias("pos")), inner, ["path"]).withColumnRenamed("inside", "at")
@@ -242,19 +245,19 @@ def nested_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = tree.select("path", "at", F.col("at").alias("around"), F.lit(0).alias("distance")).unionByName(scopes.lineage(tree, ["path"]).select("path", "at", F.col("ancestor").alias("around"), "distance"))
     functions = every.join(tree.where("kind = 'function'").select("path", F.col("at").alias("around"), "name"), ["path", "around"]).groupBy("path", "at").agg(F.min_by("name", "distance").alias("caller"))
     rows = said.select("path", F.col("at").alias("pos"), "line_no", F.get("args", F.lit(0)).cast("int").alias("said")).join(placed, ["path", "pos"]).join(functions, ["path", "at"], "left")
-    return rows.select("path", "said", "line_no", "scope", F.col("caller").isNotNull().alias("in_function"), "caller")
+    return held(rows.select("path", "said", "line_no", "scope", F.col("caller").isNotNull().alias("in_function"), "caller"), copies)
 
 
 @query(f"""WITH {_NESTING} SELECT a.path, a.item AS said, (row_number() OVER (PARTITION BY a.path, a.item ORDER BY b.item DESC) - 1)::INTEGER AS step, b.kind = 'function' AS braces
 FROM nest a JOIN nest b ON a.path = b.path AND b.item <= a.item""")
 def selection_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of brackets around each command, the innermost first."""
-    found, _ = _scoped(spark, sf_dir)
+    found, _, copies = _scoped(spark, sf_dir)
     said = stored(scopes.nested_commands(found).where("name = 'echo'").select("path", F.col("at").alias("pos"), F.get("args", F.lit(0)).cast("int").alias("said")), "said")
     braces = scopes.compounds(scopes.statements(found)).where("kind = '{'").select("path", "at", "stop", F.lit(True).alias("braces"))
     brackets = stored(found.where("kind = 'nest' AND text IN ('(', '$(')").select("path", "at", "stop", F.lit(False).alias("braces")).unionByName(braces), "brackets")
     chains = scopes.selection_chains(said, brackets, ["path"]).join(brackets.select("path", "at", "braces"), ["path", "at"])
-    return chains.join(said, ["path", "pos"]).select("path", "said", "step", "braces")
+    return held(chains.join(said, ["path", "pos"]).select("path", "said", "step", "braces"), copies)
 
 
 @query(f"""WITH RECURSIVE {_NAMES}, texts(k, i, said) AS (VALUES (0, 0, '1'), (2, 1, '2'), (3, 1, '3'), (3, 2, '4'), (4, 2, '5'), (5, 1, '6'), (6, 1, '7'), (7, 0, '8')),
@@ -268,9 +271,9 @@ SELECT path, node, name, literals, open, k IN (4, 7) AND open AS splits FROM (SE
 FROM (SELECT acting.*, placed.k FROM acting JOIN placed ON placed.path = acting.path AND placed.item = acting.line_no) a WHERE act = 'r')""")
 def graph_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts that a read may have, whether they are all that it may have, and whether it may come apart if unquoted."""
-    names, numbers = _names(spark, sf_dir)
+    names, numbers, copies = _names(spark, sf_dir)
     found = dataflow.values(names).where("name LIKE 'v%' AND NOT guarded").join(numbers, ["path", "node"])
-    return found.select("path", F.col("number").alias("node"), "name", F.array_join("literals", ",").alias("literals"), "open", "splits")
+    return held(found.select("path", F.col("number").alias("node"), "name", F.array_join("literals", ",").alias("literals"), "open", "splits"), copies)
 
 
 # An item is a function f1 to f7 of its order: it writes or reads a name of its own and calls another one, always or perhaps.
@@ -279,18 +282,19 @@ n AS (SELECT path, count(*) AS n FROM items GROUP BY path), called AS (SELECT it
 _BODIES_OF = ("f{i}() {{ w{i}=1; f{c}; }}", "f{i}() {{ echo \"$r{i}\"; t && f{c}; }}", "f{i}() {{ t || return; w{i}=1; f{c}; }}", "f{i}() {{ if t; then w{i}=1; else f{c}; w{i}=2; fi; echo $r{i}; }}")
 
 
-def _calling(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame]:
+def _calling(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame, Copies]:
 
-    def make() -> tuple[dataflow.Names, DataFrame]:
+    def make() -> tuple[dataflow.Names, DataFrame, Copies]:
         items = table(spark, sf_dir, "lineitem").withColumn("item", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_KEYS.split(", "))))
         i, c = F.col("item").cast("string"), (1 + (F.col("l_partkey") + F.col("l_linenumber")) % 7).cast("string")
         text = F.get(F.array(*[F.lit(x.replace("{{", "{").replace("}}", "}")) for x in _BODIES_OF]), (F.col("l_suppkey") % 4).cast("int"))
         said = F.replace(F.replace(text, F.lit("{i}"), i), F.lit("{c}"), c)
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", said.alias("text")))), lambda x: x["text"]), "\n")
         files = items.groupBy("l_orderkey").agg(body.alias("content")).select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".sh")).alias("path"), "content")
-        found = stored(tokens(files), "tokens")
+        copies = distinct_texts(stored(files, "scripts"))
+        found = stored(tokens(copies.texts), "tokens")
         names = dataflow.names_of(found, flow_graph(found))
-        return names, stored(dataflow.call_sites(names.flow), "sites")
+        return names, stored(dataflow.call_sites(names.flow), "sites"), copies
 
     return remembered(spark, ("calling", sf_dir), make)
 
@@ -304,27 +308,27 @@ SELECT c.path, concat('f', c.item) AS function, concat('f', coalesce((SELECT min
 WHERE there OR EXISTS (SELECT 1 FROM called d WHERE d.path = c.path AND d.there AND d.callee = c.item)""")
 def call_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions that call each other, directly or through others."""
-    names, sites = _calling(spark, sf_dir)
+    names, sites, copies = _calling(spark, sf_dir)
     _, found = dataflow.components(sites.where("caller IS NOT NULL").select("path", F.col("caller").alias("a"), F.col("callee").alias("b")), ["path"])
-    return _by_name(_by_name(found, names.flow, "node"), names.flow, "component").select("path", F.col("node_name").alias("function"), F.col("component_name").alias("component"))
+    return held(_by_name(_by_name(found, names.flow, "node"), names.flow, "component").select("path", F.col("node_name").alias("function"), F.col("component_name").alias("component")), copies)
 
 
 @query(f"""WITH RECURSIVE {_CALLS}, reach(path, a, b) AS (SELECT path, item, item FROM called UNION SELECT r.path, r.a, c.callee FROM reach r JOIN called c ON c.path = r.path AND c.item = r.b WHERE c.there)
 SELECT DISTINCT r.path, concat('f', r.a) AS function, concat('r', r.b) AS name FROM reach r JOIN called c ON c.path = r.path AND c.item = r.b WHERE c.k IN (1, 3)""")
 def call_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that functions read, themselves or through the functions that they call."""
-    names, sites = _calling(spark, sf_dir)
+    names, sites, copies = _calling(spark, sf_dir)
     found = _by_name(dataflow.scope_reads(names, sites), names.flow, "root")
-    return found.where("name RLIKE '^r[0-9]'").select("path", F.col("root_name").alias("function"), "name")
+    return held(found.where("name RLIKE '^r[0-9]'").select("path", F.col("root_name").alias("function"), "name"), copies)
 
 
 @query(f"""WITH RECURSIVE {_CALLS}, gives(path, a, b) AS (SELECT path, item, item FROM called WHERE k IN (0, 3) UNION SELECT c.path, c.item, g.b FROM called c JOIN gives g ON g.path = c.path AND g.a = c.callee WHERE c.k = 0 AND c.there)
 SELECT path, concat('f', a) AS function, concat('w', b) AS name FROM gives""")
 def call_provides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that functions have written whichever way they end."""
-    names, sites = _calling(spark, sf_dir)
+    names, sites, copies = _calling(spark, sf_dir)
     found = _by_name(dataflow.provided(names, sites), names.flow, "root")
-    return found.select("path", F.col("root_name").alias("function"), "name")
+    return held(found.select("path", F.col("root_name").alias("function"), "name"), copies)
 
 
 # Lines that say how a script is built badly or well, one for each item of an order; ends of files are for the last item.
