@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions.shell import commands
 from corvid.operators import semantic
+from corvid.operators.copies import Copies, distinct_texts, held
 from corvid.operators.facts import options
 from corvid.operators.fixes import fixed_lines
 from corvid.operators.flow import edges, nodes, unreachable
@@ -88,9 +89,9 @@ _MENDED = (("S002", "^read ", "read -r "), ("S005", "`([^`]*)`", "$(\\1)"), ("S0
 SELECT path, line_no, line AS before, regexp_replace(line, pattern, instead) AS after FROM found JOIN mended USING (code) JOIN lines USING (path, line_no)""")
 def script_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that fixes change, and what they become."""
-    files = generated(spark, sf_dir)
-    found = diagnostics(files, select(RULES, tuple(c for c, _, _ in _MENDED)))
-    return fixed_lines(files, found)
+    copies = distinct_texts(generated(spark, sf_dir), endings=True)
+    found = diagnostics(copies.texts, select(RULES, tuple(c for c, _, _ in _MENDED)))
+    return held(fixed_lines(copies.texts, found), copies)
 
 
 @query(f"""WITH {_LINES}, given AS (SELECT path, line_no, regexp_extract(line, '(sudo |xargs )?([a-z]+)', 2) AS command, unnest(regexp_extract_all(line, '^[^|#]* -([a-zA-Z]+)', 1)) AS flag FROM lines WHERE regexp_matches(line, '^(grep|read|set|find|echo) -|^find ') OR regexp_matches(line, '^rm -')),
@@ -98,14 +99,16 @@ letters AS (SELECT path, line_no, command, unnest(CASE WHEN command = 'find' THE
 SELECT DISTINCT path, line_no, command, option FROM letters""")
 def script_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The options that commands are given, letter by letter."""
-    found = options(commands(generated(spark, sf_dir)))
-    return found.where(F.col("command").isin("grep", "read", "set", "find", "echo", "rm")).select("path", "line_no", "command", "option").distinct()
+    copies = distinct_texts(generated(spark, sf_dir))
+    found = options(commands(copies.texts)).where(F.col("command").isin("grep", "read", "set", "find", "echo", "rm"))
+    return held(found.select("path", "line_no", "command", "option").distinct(), copies)
 
 
 @query(f"WITH {_LINES} SELECT path, line_no, regexp_extract(line, '^[a-z]+') AS name, regexp_replace(regexp_extract(line, '[|] (xargs )?([a-z]+)', 0), '[|] (xargs )?', '') AS next_name FROM lines WHERE regexp_matches(line, '[^|] [|] [^|]')")
 def script_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that pipe into another."""
-    return commands(generated(spark, sf_dir)).where("next_name IS NOT NULL").select("path", "line_no", "name", "next_name")
+    copies = distinct_texts(generated(spark, sf_dir))
+    return held(commands(copies.texts).where("next_name IS NOT NULL").select("path", "line_no", "name", "next_name"), copies)
 
 
 _NAMED = f"""named AS (SELECT concat('order-', l_orderkey, '.sh') AS path, ({_ITEM} + 1)::INTEGER AS line_no, l_returnflag = 'N' AS writes, CASE WHEN l_returnflag = 'N' THEN l_suppkey % 7 ELSE l_partkey % 7 END AS v FROM lineitem)"""
@@ -118,11 +121,16 @@ def script_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("v"), (F.when(F.col("l_returnflag") == "N", F.col("l_suppkey")).otherwise(F.col("l_partkey")) % 7).cast("string"))
     text = F.when(F.col("l_returnflag") == "N", F.concat(name, F.lit("=1"))).otherwise(F.concat(F.lit('echo "$'), name, F.lit('"')))
     files = stored(_joined(_numbered(spark, sf_dir).withColumns({"text": text, "marker": F.lit("#!/bin/bash")}), "text", "marker"), "scripts")
-    r = semantic.script_relations(files)
+    copies = distinct_texts(files, endings=True)
+    r = semantic.script_relations(copies.texts)
+    # Where texts source files, it matters which file has them.
+    alone = r["source_edges"].isEmpty()
+    r = r if alone else semantic.script_relations(files)
     unused = semantic.unused_assignments(r["bindings"], r["references"], r["source_edges"]).select("path", "line_no", F.lit("C001").alias("code"))
     undefined = semantic.undefined_variables(r["bindings"], r["references"], r["source_edges"]).select("path", "line_no", F.lit("C006").alias("code"))
     # The line of a name that is never written is one finding, however many such names it has.
-    return unused.unionByName(undefined.distinct())
+    found = unused.unionByName(undefined.distinct())
+    return held(found, copies) if alone else found
 
 
 # An item is five commands: a branch, a loop that is left, or five in a row.
@@ -132,21 +140,23 @@ _FLOW = f"""items AS (SELECT concat('order-', l_orderkey, '.sh') AS path, 5 * {_
 steps(kind, a, b) AS (VALUES {", ".join(f"('{k}', {a}, {b})" for k, steps in _STEPS.items() for a, b in steps)})"""
 
 
-def flowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, node and what else ``nodes`` gives of a script with branches and loops for each order."""
+def flowing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Copies]:
+    """path, node and what else ``nodes`` gives of each text of scripts with branches and loops, one for each order; and which has which."""
     text = F.create_map(*[F.lit(x) for kind in _BLOCKS.items() for x in kind])[F.col("l_returnflag")]
     files = _joined(_numbered(spark, sf_dir).withColumns({"text": text, "marker": F.lit("#!/bin/bash")}), "text", "marker")
-    return stored(nodes(commands(files)), "nodes")
+    copies = distinct_texts(stored(files, "scripts"))
+    return stored(nodes(commands(copies.texts)), "nodes"), copies
 
 
 @query(f"WITH {_FLOW} SELECT path, (first + a)::INTEGER AS a, (first + b)::INTEGER AS b FROM items JOIN steps USING (kind) WHERE first + b <= n")
 def script_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which command may run after which."""
-    return edges(flowing(spark, sf_dir))
+    rows, copies = flowing(spark, sf_dir)
+    return held(edges(rows), copies)
 
 
 @query(f"WITH {_FLOW} SELECT path, (first + k)::INTEGER AS node FROM items, (VALUES (3), (4)) AS t(k) WHERE kind = 'R'")
 def script_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that no path reaches, as those behind a ``break``."""
-    rows = flowing(spark, sf_dir)
-    return unreachable(rows, stored(edges(rows), "edges")).select("path", "node")
+    rows, copies = flowing(spark, sf_dir)
+    return held(unreachable(rows, stored(edges(rows), "edges")).select("path", "node"), copies)

@@ -46,3 +46,32 @@ def test_nested_scopes_of_equal_orders(spark, tmp_path):
     assert _nesting(spark, str(tmp_path)).texts.count() == 1
     got = scope_ancestors(spark, str(tmp_path)).groupBy("scope", "ancestor", "distance").count().collect()
     assert sorted(map(tuple, got)) == [(a, b, a - b, 200) for a in range(1, 6) for b in range(a)]
+
+
+def test_findings_of_equal_files(spark):
+    """Rules see each text once, by ending; where texts source files, it matters which file has them."""
+    from corvid.operators.lint import RULES, diagnostics, select
+
+    text, other = "cd /a\n[[ -n x ]]\n", "cd /b\nv=1\n"
+    rows = [("a.sh", text), ("b.sh", text), ("c.bash", text), ("d.sh", other), ("e.sh", other), ("f.sh", None)]
+    files = spark.createDataFrame(rows, "path string, content string")
+    got = lambda files, *codes: sorted((r.path, r.line_no, r.code) for r in diagnostics(files, select(RULES, codes)).collect())
+    assert got(files, "C004", "X001") == [("a.sh", 1, "C004"), ("a.sh", 2, "X001"), ("b.sh", 1, "C004"), ("b.sh", 2, "X001"), ("c.bash", 1, "C004"), ("d.sh", 1, "C004"), ("e.sh", 1, "C004")]
+    assert got(files, "C001") == [("d.sh", 2, "C001"), ("e.sh", 2, "C001")]
+    tied = spark.createDataFrame([*rows, ("g.sh", ". d.sh\necho $v\n")], "path string, content string")
+    assert got(tied, "C001") == [("e.sh", 2, "C001")]
+    assert got(files, "nothing") == []
+
+
+def test_written_scripts_are_looked_into_once(spark, tmp_path, monkeypatch):
+    """A thousand customers have fourteen written scripts: that many texts go to the rules, whatever the customers."""
+    from corvid.operators import lint
+    from corvid.operators.lint import RULES, select
+    from corvid.plans.shell_queries import SCRIPTS, dealt_scripts
+
+    spark.range(1000).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    seen, whole = [], lint._diagnosed
+    monkeypatch.setattr(lint, "_diagnosed", lambda files, *rest: seen.append(files.count()) or whole(files, *rest))
+    found = lint.diagnostics(dealt_scripts(spark, str(tmp_path)), select(RULES, ("C004", "P002")))
+    assert found.where("code = 'P002'").count() > 100
+    assert seen == [len(SCRIPTS)]
