@@ -10,25 +10,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvid.operators.copies import distinct_texts
 from corvid.operators.fixpoint import live, reachable, reaching
 from corvid.plans.interval_queries import events
 from corvid.plans.registry import query
 from corvid.sources.tables import table
+from corvid.storage import stored
 
 _BLOCKS = """b AS (SELECT l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)::INTEGER AS block,
   l_returnflag AS name, CASE l_linestatus WHEN 'O' THEN 'N' ELSE 'R' END AS used, l_discount, count(*) OVER (PARTITION BY l_orderkey)::INTEGER AS n, bool_or(l_linestatus = 'O' AND l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS loops FROM lineitem),
 e AS (SELECT fn, block AS a, block + 1 AS b FROM b WHERE block < n UNION SELECT fn, block, block + 2 FROM b WHERE name = 'A' AND block + 2 <= n UNION SELECT fn, n, 1 FROM b WHERE loops AND block = n)"""
 
 
-def blocks_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    order = Window.partitionBy("l_orderkey")
-    number = F.row_number().over(order.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax"))
+def blocks_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks and edges of functions, each shape of one once; and which function (``fn``) has which shape (``shape``, which is ``fn`` of the others).
+
+    A shape is all that blocks have, in order, so functions of one shape have the same flow, names and cover.
+    """
+    keys = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax")
     used = F.when(F.col("l_linestatus") == "O", "N").otherwise("R")
-    loops = F.max((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")).over(order)
-    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fn"), number.alias("block"), F.col("l_returnflag").alias("name"), used.alias("used"), "l_discount", F.count("*").over(order).cast("int").alias("n"), loops.alias("loops"))
+    told = F.struct(*keys, F.col("l_returnflag").alias("name"), used.alias("used"), (F.col("l_discount") >= 0.09).alias("covers"), ((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")).alias("open"))
+    rows = F.transform(F.array_sort(F.collect_list(told)), lambda x: F.struct(x["name"].alias("name"), x["used"].alias("used"), x["covers"].alias("covers"), x["open"].alias("open")))
+    functions = stored(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("fn")).agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("content")).withColumnRenamed("fn", "path"), "functions")
+    copies = distinct_texts(functions)
+    one = F.from_json("content", "array<struct<name:string,used:string,covers:boolean,open:boolean>>")
+    laid = copies.texts.select(F.col("path").alias("fn"), one.alias("rows"))
+    blocks = laid.select("fn", F.posexplode("rows").alias("block", "r"), F.size("rows").alias("n"), F.exists("rows", lambda r: r["open"]).alias("loops")).select("fn", (F.col("block") + 1).alias("block"), "r.name", "r.used", "r.covers", "n", "loops")
+    blocks = stored(blocks, "blocks")
     ahead = F.array(F.when(F.col("block") < F.col("n"), F.col("block") + 1), F.when((F.col("name") == "A") & (F.col("block") + 2 <= F.col("n")), F.col("block") + 2), F.when(F.col("loops") & (F.col("block") == F.col("n")), F.lit(1)))
     edges = blocks.select("fn", F.col("block").alias("a"), F.explode(F.array_distinct(F.filter(ahead, lambda x: x.isNotNull()))).alias("b"))
-    return blocks, edges
+    return blocks, edges, copies.holders.select(F.col("path").alias("fn"), F.col("_text").alias("shape"))
+
+
+def _of_functions(found: DataFrame, holders: DataFrame) -> DataFrame:
+    """``found`` (fn, a shape, and more) for every function that has the shape."""
+    return holders.join(found.withColumnRenamed("fn", "shape"), "shape").drop("shape")
 
 
 @query(f"""WITH RECURSIVE {_BLOCKS}, named AS (SELECT e.*, b.name AS written FROM e JOIN b ON e.fn = b.fn AND e.a = b.block),
@@ -36,7 +52,8 @@ r(fn, block, def, name) AS (SELECT fn, b, a, written FROM named UNION SELECT r.f
 SELECT fn, block, def FROM r""")
 def reaching_cfg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions that reach each block's entry."""
-    return reaching(*blocks_and_edges(spark, sf_dir), "fn").select("fn", "block", "def")
+    blocks, edges, holders = blocks_and_edges(spark, sf_dir)
+    return _of_functions(reaching(blocks, edges, "fn").select("fn", "block", "def"), holders)
 
 
 @query(f"""WITH RECURSIVE {_BLOCKS}, back AS (SELECT e.*, b.name AS written FROM e JOIN b ON e.fn = b.fn AND e.a = b.block),
@@ -44,7 +61,8 @@ r(fn, block, name) AS (SELECT fn, block, used FROM b UNION SELECT r.fn, back.a,
 SELECT fn, block, name FROM r""")
 def liveness_cfg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that are live at each block's entry."""
-    return live(*blocks_and_edges(spark, sf_dir), "fn").select("fn", "block", "name")
+    blocks, edges, holders = blocks_and_edges(spark, sf_dir)
+    return _of_functions(live(blocks, edges, "fn").select("fn", "block", "name"), holders)
 
 
 @query(f"""WITH RECURSIVE {_BLOCKS}, cover AS (SELECT fn, block FROM b WHERE l_discount >= 0.09), open AS (SELECT * FROM e WHERE (fn, a) NOT IN (SELECT fn, block FROM cover) AND (fn, b) NOT IN (SELECT fn, block FROM cover)),
@@ -52,13 +70,13 @@ r(fn, node) AS (SELECT fn, block FROM b WHERE block = 1 AND (fn, block) NOT IN (
 SELECT DISTINCT fn, NOT EXISTS (SELECT 1 FROM r WHERE r.fn = b.fn AND r.node = b.n) AS covered FROM b""")
 def cover_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every path through a function passes a block of the cover."""
-    blocks, edges = blocks_and_edges(spark, sf_dir)
-    covers = blocks.where("l_discount >= 0.09").select("fn", "block")
+    blocks, edges, holders = blocks_and_edges(spark, sf_dir)
+    covers = blocks.where("covers").select("fn", "block")
     free = edges.join(covers.withColumnRenamed("block", "a"), ["fn", "a"], "left_anti").join(covers.withColumnRenamed("block", "b"), ["fn", "b"], "left_anti").select("fn", "a", "b")
     roots = blocks.where("block = 1").join(covers, ["fn", "block"], "left_anti").select("fn", F.col("block").alias("node"))
     ends = blocks.where("block = n").select("fn", F.col("block").alias("node"))
     open_ = reachable(roots, free, ["fn"]).join(ends, ["fn", "node"], "left_semi").select("fn", F.lit(True).alias("open"))
-    return ends.join(open_, "fn", "left").select("fn", F.col("open").isNull().alias("covered"))
+    return _of_functions(ends.join(open_, "fn", "left").select("fn", F.col("open").isNull().alias("covered")), holders)
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reaching FROM events""")

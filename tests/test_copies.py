@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvid.functions.lexer import tokens
@@ -75,3 +76,38 @@ def test_written_scripts_are_looked_into_once(spark, tmp_path, monkeypatch):
     found = lint.diagnostics(dealt_scripts(spark, str(tmp_path)), select(RULES, ("C004", "P002")))
     assert found.where("code = 'P002'").count() > 100
     assert seen == [len(SCRIPTS)]
+
+
+ITEM = ("id AS l_orderkey", "k AS l_partkey", "1L AS l_suppkey", "CAST(k AS int) AS l_linenumber", "1D AS l_extendedprice", "IF(k = 2, 0.1D, 0D) AS l_discount", "0D AS l_tax", "IF(k = 1, 'A', 'N') AS l_returnflag", "'O' AS l_linestatus")
+
+
+@pytest.fixture(scope="module")
+def equal_orders(spark, tmp_path_factory):
+    """Two hundred filled orders of the same five items."""
+    folder = tmp_path_factory.mktemp("equal")
+    spark.range(200).crossJoin(spark.range(5).toDF("k")).selectExpr(*ITEM).write.parquet(str(folder / "lineitem.parquet"))
+    spark.range(200).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus").write.parquet(str(folder / "orders.parquet"))
+    return str(folder)
+
+
+def test_flow_of_equal_functions(spark, equal_orders):
+    """One shape: its blocks are there once, and every function has what follows from them."""
+    from corvid.plans import flow_queries
+
+    blocks, edges, holders = flow_queries.blocks_and_edges(spark, equal_orders)
+    assert sorted((r.block, r.n, r.covers) for r in blocks.collect()) == [(k + 1, 5, k == 2) for k in range(5)]
+    assert sorted((r.a, r.b) for r in edges.collect()) == [(1, 2), (2, 3), (2, 4), (3, 4), (4, 5)]
+    assert holders.count() == 200
+    assert Counter((r.block, r["def"]) for r in flow_queries.reaching_cfg(spark, equal_orders).collect()) == Counter({(b, d): 200 for b, d in ((2, 1), (3, 1), (4, 1), (3, 2), (4, 2), (4, 3), (5, 2), (5, 4))})
+    assert Counter(r.covered for r in flow_queries.cover_paths(spark, equal_orders).collect()) == Counter({False: 200})
+
+
+def test_equal_workflows_and_cases(spark, equal_orders, monkeypatch):
+    from corvid.plans import workflow_queries, workspace_queries
+
+    seen, taints, arms = [], workflow_queries.taints, workspace_queries.patterns.case_arms
+    monkeypatch.setattr(workflow_queries, "taints", lambda hosts: (seen.append(hosts.count()), taints(hosts))[1])
+    monkeypatch.setattr(workspace_queries.patterns, "case_arms", lambda found: (seen.append(found.select("path").distinct().count()), arms(found))[1])
+    assert set(Counter((r.address, r.taint) for r in workflow_queries.workflow_taints(spark, equal_orders).collect()).values()) == {200}
+    assert {r.path.split("-")[0] for r in workspace_queries.case_reachability(spark, equal_orders).collect()} <= {"order"}
+    assert seen == [1, 1]
