@@ -110,7 +110,7 @@ def scalars(hosts: DataFrame) -> DataFrame:
                         rows = []
         yield pd.DataFrame(rows, columns=columns)
 
-    return hosts.where("content IS NOT NULL").select("path", "content").mapInPandas(cut, "path string, line_no int, address string, value string")
+    return hosts.where("content IS NOT NULL").select("path", "content").mapInPandas(cut, f"path {hosts.schema['path'].dataType.simpleString()}, line_no int, address string, value string")
 
 
 def expressions(values: DataFrame) -> DataFrame:

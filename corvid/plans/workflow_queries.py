@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.operators.copies import distinct_texts, held
 from corvid.operators.workflows import taints
 from corvid.plans.registry import query
 from corvid.plans.script_queries import _ITEM, _joined, _numbered
@@ -47,4 +48,5 @@ def workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FOUND)
 def workflow_taints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which expressions carry what outsiders write, through environments and outputs of steps."""
-    return taints(workflows(spark, sf_dir)).select("path", "address", "seq", "expression", "taint")
+    copies = distinct_texts(workflows(spark, sf_dir))
+    return held(taints(copies.texts).select("path", "address", "seq", "expression", "taint"), copies)
