@@ -72,3 +72,13 @@ def test_nearest_in_blocks(spark):
     rows = spark.createDataFrame([(n,) for n in known], "candidate string"), spark.createDataFrame([(n,) for n in asked], "name string")
     one, many = (sorted(map(tuple, nearest(rows[1], rows[0], 3, most).collect())) for most in (10_000, 7))
     assert one == many and len(one) == 9
+
+
+def test_pairs_of_a_dense_closure_are_taken_once(spark):
+    edges = spark.createDataFrame([(i, (i * k + 1) % 40) for i in range(40) for k in range(1, 20)], "a long, b long")
+    closure = upkeep.closure_of(edges)
+    assert closure.count() == 1600
+    assert upkeep._up_to(closure, edges.distinct()).count() <= 1600
+    removed, added = edges.where("a % 2 = 0"), spark.createDataFrame([(0, 100), (100, 101), (101, 0)], "a long, b long")
+    held, now = upkeep.kept_up(closure, edges, removed, added)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, upkeep.closure_of(now).collect()))
