@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.operators.copies import distinct_texts, held
 from corvid.operators.grammar import SCHEMA, as_of, newest, validated
 from corvid.plans.registry import query
 from corvid.plans.script_queries import _ITEM, _numbered
 from corvid.sources.tables import table
+from corvid.storage import stored
 
 WORDS = ("-v", "-o", "--fast", "--", "send", "list", "--level=mid", "--level", "x", "low", "-vo", "--to", "-n", "--level=low", "send")
 _none, _value = ("none", None), ("required", None)
@@ -61,8 +63,12 @@ def grammar_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = ((F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % len(WORDS)).cast("int")
     words = _numbered(spark, sf_dir).select(F.col("l_orderkey").alias("key"), F.struct("item", F.get(F.array(*[F.lit(w) for w in WORDS]), kind).alias("word")).alias("w"))
     lists = words.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("w")), lambda x: x["word"]).alias("words"))
-    found = validated(_asked(spark, sf_dir).join(lists, "key"), spark.createDataFrame(GRAMMARS, SCHEMA))
-    return found.withColumnRenamed("key", "o_orderkey")
+    # Orders that ask the same of the same tool are held against its grammar once.
+    asked = _asked(spark, sf_dir).join(lists, "key").select(F.col("key").alias("path"), F.to_json(F.struct("tool", "version", "words"), {"ignoreNullFields": "false"}).alias("content"))
+    copies = distinct_texts(stored(asked, "asked"))
+    once = copies.texts.select(F.col("path").alias("key"), F.from_json("content", "tool string, version string, words array<string>").alias("x")).select("key", "x.*")
+    found = validated(once, spark.createDataFrame(GRAMMARS, SCHEMA))
+    return held(found.withColumnRenamed("key", "path"), copies).withColumnRenamed("path", "o_orderkey")
 
 
 @query("""WITH sizes AS (SELECT p_brand AS tool, concat(p_size // 5, '.', p_size, 'p', p_partkey % 3) AS version, [p_size // 5, p_size, p_partkey % 3] AS numbers FROM part),

@@ -111,3 +111,12 @@ def test_equal_workflows_and_cases(spark, equal_orders, monkeypatch):
     assert set(Counter((r.address, r.taint) for r in workflow_queries.workflow_taints(spark, equal_orders).collect()).values()) == {200}
     assert {r.path.split("-")[0] for r in workspace_queries.case_reachability(spark, equal_orders).collect()} <= {"order"}
     assert seen == [1, 1]
+
+
+def test_equal_invocations(spark, equal_orders, monkeypatch):
+    from corvid.plans import grammar_queries
+
+    seen, validated = [], grammar_queries.validated
+    monkeypatch.setattr(grammar_queries, "validated", lambda asked, grammars: (seen.append(asked.count()), validated(asked, grammars))[1])
+    assert grammar_queries.grammar_verdicts(spark, equal_orders).count() == 200
+    assert seen == [len(set(grammar_queries.ASKED))]
