@@ -14,7 +14,7 @@ from corvid.operators import dataflow, scopes
 from corvid.operators.copies import Copies, distinct_texts, held
 from corvid.operators.graph import Flow, unreachable_nodes
 from corvid.operators.lint import RULES, diagnostics, select
-from corvid.operators.parts import flow_of, names_in
+from corvid.operators.parts import Parts, joined_flow, laid_out, names_in, numbered, numbered_edges
 from corvid.plans.registry import query
 from corvid.sources.tables import table
 from corvid.storage import remembered, stored
@@ -53,18 +53,29 @@ roots AS (SELECT path, first + e AS node FROM placed JOIN entries USING (k) WHER
 
 def _scripts(spark: SparkSession, sf_dir: str, choice: str, texts: list[str]) -> DataFrame:
     """path and content of a script for each order, whose lines ``choice`` picks from ``texts`` for each item."""
-    items = table(spark, sf_dir, "lineitem").withColumn("item", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_KEYS.split(", "))))
-    text = F.get(F.array(*[F.lit(x) for x in texts]), F.expr(choice).cast("int"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", text.alias("text")))), lambda x: x["text"]), "\n")
-    return items.groupBy("l_orderkey").agg(body.alias("content")).select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".sh")).alias("path"), "content")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*_KEYS.split(", "), F.expr(choice).cast("int").alias("k")).alias("item"))
+    said = F.transform(F.sort_array(F.collect_list("item")), lambda x: F.get(F.array(*[F.lit(t) for t in texts]), x["k"]))
+    return items.groupBy("l_orderkey").agg(F.array_join(said, "\n").alias("content")).select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".sh")).alias("path"), "content")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[Parts, DataFrame, DataFrame, Copies]:
+    """The parts of all texts, the numbers of their nodes, where they stand, and which scripts have which text."""
+
+    def make() -> tuple[Parts, DataFrame, DataFrame, Copies]:
+        copies = distinct_texts(stored(_scripts(spark, sf_dir, _CHOICE, [p[0] for p in PIECES]), "scripts"))
+        parts = laid_out(copies.texts)
+        numbers, places = numbered(parts)
+        return parts, numbers, stored(places, "numbered"), copies
+
+    return remembered(spark, ("parts", sf_dir), make)
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[Flow, DataFrame, Copies]:
     """The flow of all texts, the number of each node in its text, and which scripts have which text."""
 
     def make() -> tuple[Flow, DataFrame, Copies]:
-        copies = distinct_texts(stored(_scripts(spark, sf_dir, _CHOICE, [p[0] for p in PIECES]), "scripts"))
-        flow = flow_of(copies.texts)
+        parts, _, _, copies = _parts(spark, sf_dir)
+        flow = joined_flow(parts.flow, parts.places, parts.few)
         numbered = flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
         return flow, stored(numbered, "numbers"), copies
 
@@ -74,9 +85,8 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[Flow, DataFrame, Copies]:
 @query(f"WITH {_PIECED} SELECT path, a, b FROM flow")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which command may run after which: lists, branches, loops, arms, functions, subshells and substitutions."""
-    flow, numbers, copies = _graph(spark, sf_dir)
-    a, b = (numbers.select("path", F.col("node").alias(x), F.col("number").alias(f"n_{x}")) for x in "ab")
-    return held(flow.edges.join(a, ["path", "a"]).join(b, ["path", "b"]).select("path", F.col("n_a").alias("a"), F.col("n_b").alias("b")), copies)
+    parts, numbers, places, copies = _parts(spark, sf_dir)
+    return numbered_edges(parts, numbers, held(places, copies))
 
 
 @query(f"""WITH RECURSIVE {_PIECED}, reached(path, node) AS (SELECT path, node FROM roots UNION SELECT r.path, f.b FROM reached r JOIN flow f ON f.path = r.path AND f.a = r.node)

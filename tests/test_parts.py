@@ -3,12 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvid.functions.lexer import tokens
 from corvid.operators import dataflow
 from corvid.operators.graph import Flow, flow_graph
-from corvid.operators.parts import flow_of, names_in, parted, starts_of
+from corvid.operators.parts import flow_of, laid_out, names_in, numbered, numbered_edges, parted, starts_of
 from corvid.storage import stored
 from tests.test_graph import SCRIPTS
 
@@ -63,3 +64,39 @@ def test_starts():
     assert starts_of("f() {\n a\n}\ng <<E\nx\nE\nh") == [0, 11, 21]
     for whole in ("if a\nthen b\nfi", "a\nfi\nb", "a &&\nb", "function f\n{ a; }", "[[ a\nb", "echo function\nb", "x $(\na\n)", "a\n! b", "cat <<\nb"):
         assert starts_of(whole) == [0], whole
+
+
+def test_equal_lines_are_looked_at_once(monkeypatch):
+    from corvid.operators import parts
+
+    seen, whole = [], parts.tokens_of
+    monkeypatch.setattr(parts, "tokens_of", lambda text: seen.append(text) or whole(text))
+    lines = ("once a", "if once; then b; fi", "once() { c; }", "while once", "do d; done", "# once")
+    texts = ["\n".join(random.Random(k).choices(lines, k=8)) for k in range(300)]
+    # Loops over two lines are looked at with what comes behind them, all else by itself.
+    texts = [t for t in texts if "while" not in t and "done" not in t] + ["while once\ndo d; done\nonce a"]
+    assert [starts_of(t) for t in texts[-1:]] == [[0, 22]]
+    for t in texts:
+        starts_of(t)
+    assert len(seen) == len(set(seen)) and set(seen) <= {x + end for x in lines for end in ("", "\n")} | {"while once\ndo d; done\n"}
+
+
+def test_cuts_as_of_whole_texts():
+    """What lines give together is what one look at the whole text gives."""
+    from corvid.operators.parts import _cut
+
+    rng = random.Random(5)
+    odd = (*LINES, "a\\", "\\", "case", "in", "a) b", ";;", "(", "b )", "$(", "f()", "cat <<-E", "\tE", "E", "for", "a\rb", "[[ x ]] &&", "a\x0bc")
+    for k in range(5000):
+        text = "\n".join(rng.choices(odd if k % 3 else LINES[:25], k=rng.randint(1, 9)))
+        want = _cut(text).starts
+        assert starts_of(text) == [0, *(want or ())], text
+
+
+def test_numbered_edges(scripts):
+    whole = flow_graph(stored(tokens(scripts), "tokens"))
+    numbers = whole.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
+    a, b = (numbers.select("path", F.col("node").alias(x), F.col("number").alias(f"n_{x}")) for x in "ab")
+    want = whole.edges.join(a, ["path", "a"]).join(b, ["path", "b"]).select("path", F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    parts = laid_out(scripts)
+    assert rows(numbered_edges(parts, *numbered(parts))) == rows(want)
