@@ -14,7 +14,7 @@ from corvid.operators import dataflow, scopes
 from corvid.operators.copies import Copies, distinct_texts, held
 from corvid.operators.graph import Flow, unreachable_nodes
 from corvid.operators.lint import RULES, diagnostics, select
-from corvid.operators.parts import Parts, joined_flow, laid_out, names_in, numbered, numbered_edges
+from corvid.operators.parts import Parts, joined_flow, laid_out, names_in, names_of_parts, numbered, numbered_edges, part_names, states_by_number
 from corvid.plans.registry import query
 from corvid.sources.tables import table
 from corvid.storage import remembered, stored
@@ -135,12 +135,21 @@ flow AS (SELECT path, first + a AS a, first + b AS b FROM placed JOIN steps USIN
 acting AS (SELECT path, (first + i)::INTEGER AS node, v, act, item AS line_no FROM placed JOIN acts USING (k))"""
 
 
-def _names(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame, Copies]:
+def _named_parts(spark: SparkSession, sf_dir: str) -> tuple[Parts, Copies]:
 
-    def make() -> tuple[dataflow.Names, DataFrame, Copies]:
+    def make() -> tuple[Parts, Copies]:
         texts = [text.format(v=v) for text, _, _, _ in NAMED for v in range(_N_NAMES)]
         copies = distinct_texts(stored(_scripts(spark, sf_dir, _NAME_CHOICE, texts), "scripts"))
-        names = names_in(copies.texts)
+        return laid_out(copies.texts), copies
+
+    return remembered(spark, ("named-parts", sf_dir), make)
+
+
+def _names(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame, Copies]:
+
+    def make() -> tuple[dataflow.Names, DataFrame, Copies]:
+        parts, copies = _named_parts(spark, sf_dir)
+        names = names_of_parts(parts)
         numbered = names.flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
         return names, stored(numbered, "numbers"), copies
 
@@ -155,8 +164,9 @@ SELECT path, node, concat('v', v) AS name, act = 'g' AS guarded, (path, node, v)
 FROM acting WHERE act IN ('r', 'g')""")
 def graph_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether some, and whether every, path to a read of a name writes it."""
-    names, numbers, copies = _names(spark, sf_dir)
-    return held(dataflow.states(names).where("name LIKE 'v%'").join(numbers, ["path", "node"]).select("path", F.col("number").alias("node"), "name", "guarded", "may", "must"), copies)
+    parts, copies = _named_parts(spark, sf_dir)
+    found = states_by_number(part_names(parts), *numbered(parts), parts.few)
+    return held(found.where("name LIKE 'v%'").select("path", "node", "name", "guarded", "may", "must"), copies)
 
 
 @query(f"""WITH RECURSIVE {_NAMES},

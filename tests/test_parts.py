@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvid.functions.lexer import tokens
 from corvid.operators import dataflow
 from corvid.operators.graph import Flow, flow_graph
-from corvid.operators.parts import flow_of, laid_out, names_in, numbered, numbered_edges, parted, starts_of
+from corvid.operators.parts import flow_of, laid_out, names_in, numbered, numbered_edges, part_names, parted, starts_of, states_by_number
 from corvid.storage import stored
 from tests.test_graph import SCRIPTS
 
@@ -100,3 +100,12 @@ def test_numbered_edges(scripts):
     want = whole.edges.join(a, ["path", "a"]).join(b, ["path", "b"]).select("path", F.col("n_a").alias("a"), F.col("n_b").alias("b"))
     parts = laid_out(scripts)
     assert rows(numbered_edges(parts, *numbered(parts))) == rows(want)
+
+
+def test_states_of_parts(scripts):
+    names = names_in(scripts)
+    numbers = names.flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
+    want = dataflow.states(names).join(numbers, ["path", "node"]).drop("node").withColumnRenamed("number", "node")
+    parts = laid_out(scripts)
+    got = states_by_number(part_names(parts), *numbered(parts), parts.few)
+    assert rows(got) == rows(want) and got.count() > 100
