@@ -120,3 +120,20 @@ def test_equal_invocations(spark, equal_orders, monkeypatch):
     monkeypatch.setattr(grammar_queries, "validated", lambda asked, grammars: (seen.append(asked.count()), validated(asked, grammars))[1])
     assert grammar_queries.grammar_verdicts(spark, equal_orders).count() == 200
     assert seen == [len(set(grammar_queries.ASKED))]
+
+
+def test_projects_are_looked_into_once(spark, tmp_path, monkeypatch):
+    """Three files for each supplier, whatever the suppliers; what they source is found in each folder."""
+    from corvid.operators import semantic
+    from corvid.plans.shell_queries import PROJECT, projects, shell_undefined
+
+    spark.range(300).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    seen, commands = [], semantic.commands
+    monkeypatch.setattr(semantic, "commands", lambda files: seen.append(files.count()) or commands(files))
+    assert {(r.path, r.name, r.line_no) for r in shell_undefined(spark, str(tmp_path)).collect()} == {(f"s-{k}/main.sh", "missing", 8) for k in range(300)}
+    assert seen == [len(PROJECT)]
+    files = projects(spark, str(tmp_path)).where("path LIKE 's-1%'")
+    shared, whole = semantic.shared_relations(files), semantic.script_relations(files)
+    assert shared.keys() == whole.keys()
+    for name in whole:
+        assert Counter(map(str, shared[name].select(*whole[name].columns).collect())) == Counter(map(str, whole[name].collect())), name
