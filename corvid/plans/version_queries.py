@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvid.operators.versions import token_changes
 from corvid.plans.registry import query
 from corvid.sources.tables import table
 
@@ -39,13 +40,5 @@ def cache_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT conv_id, turn + 1 AS turn, token, n FROM c WHERE EXISTS (SELECT 1 FROM conversations v WHERE v.conv_id = c.conv_id AND v.turn = c.turn + 1))
 SELECT conv_id, turn, token, (coalesce(c.n, 0) - coalesce(p.n, 0))::BIGINT AS delta FROM c FULL JOIN p USING (conv_id, turn, token) WHERE coalesce(c.n, 0) <> coalesce(p.n, 0)""")
 def token_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How each token's count changes from one version of a document to the next.
-
-    Each count goes to its own version and, negated, to the next: one aggregate in place of a join.
-    """
-    versions = table(spark, sf_dir, "conversations").withColumn("next", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
-    tokens = versions.select("conv_id", "turn", (F.col("next") == F.col("turn") + 1).alias("follows"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("token"))
-    counts = tokens.groupBy("conv_id", "turn", "follows", "token").agg(F.count("*").alias("n"))
-    both = F.array(F.struct(F.col("turn").alias("turn"), F.col("n").alias("n")), F.when(F.col("follows"), F.struct((F.col("turn") + 1).alias("turn"), (-F.col("n")).alias("n"))))
-    signed = counts.select("conv_id", "token", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x"))
-    return signed.groupBy("conv_id", F.col("x.turn").alias("turn"), "token").agg(F.sum("x.n").alias("delta")).where("delta <> 0")
+    """How each token's count changes from one version of a document to the next."""
+    return token_changes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
