@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.lexer import tokens
-from corvid.operators import dataflow, scopes
+from corvid.operators import dataflow, scopes, whole
 from corvid.operators.copies import Copies, distinct_texts, held
-from corvid.operators.graph import Flow, unreachable_nodes
+from corvid.operators.graph import Flow
 from corvid.operators.lint import RULES, diagnostics, select
 from corvid.operators.parts import Parts, joined_flow, laid_out, names_in, names_of_parts, numbered, numbered_edges, part_names, states_by_number
 from corvid.plans.registry import query
@@ -93,8 +93,8 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT path, (first + i)::INTEGER AS node FROM placed, unnest(range(n)) AS t(i) WHERE (path, first + i) NOT IN (SELECT (path, node) FROM reached)""")
 def graph_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that no path reaches, as those behind ``exit``, ``return``, ``break`` and ``continue``."""
-    flow, numbers, copies = _graph(spark, sf_dir)
-    return held(unreachable_nodes(flow).select("path", "node").join(numbers, ["path", "node"]).select("path", F.col("number").alias("node")), copies)
+    parts, numbers, places, copies = _parts(spark, sf_dir)
+    return held(whole.unreachable(parts, numbers, places), copies)
 
 
 @query(f"""WITH RECURSIVE {_PIECED}, start AS (SELECT path, min(node) AS node FROM roots GROUP BY path),
