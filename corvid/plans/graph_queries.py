@@ -14,7 +14,7 @@ from corvid.operators import dataflow, scopes, whole
 from corvid.operators.copies import Copies, distinct_texts, held
 from corvid.operators.graph import Flow
 from corvid.operators.lint import RULES, diagnostics, select
-from corvid.operators.parts import Parts, joined_flow, laid_out, names_in, names_of_parts, numbered, numbered_edges, part_names, states_by_number
+from corvid.operators.parts import Parts, laid_out, names_in, names_of_parts, numbered, numbered_edges, part_names, states_by_number
 from corvid.plans.registry import query
 from corvid.sources.tables import table
 from corvid.storage import remembered, stored
@@ -70,18 +70,6 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[Parts, DataFrame, DataFram
     return remembered(spark, ("parts", sf_dir), make)
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[Flow, DataFrame, Copies]:
-    """The flow of all texts, the number of each node in its text, and which scripts have which text."""
-
-    def make() -> tuple[Flow, DataFrame, Copies]:
-        parts, _, _, copies = _parts(spark, sf_dir)
-        flow = joined_flow(parts.flow, parts.places, parts.few)
-        numbered = flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
-        return flow, stored(numbered, "numbers"), copies
-
-    return remembered(spark, ("graph", sf_dir), make)
-
-
 @query(f"WITH {_PIECED} SELECT path, a, b FROM flow")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which command may run after which: lists, branches, loops, arms, functions, subshells and substitutions."""
@@ -104,9 +92,8 @@ avoids(path, node, dom) AS (SELECT s.path, s.node, r.node FROM start s JOIN reac
 SELECT a.path, a.node::INTEGER AS node, b.node::INTEGER AS dominator FROM reached a JOIN reached b ON a.path = b.path WHERE (a.path, a.node, b.node) NOT IN (SELECT (path, node, dom) FROM avoids)""")
 def graph_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that every path to a command runs through."""
-    flow, numbers, copies = _graph(spark, sf_dir)
-    a, b = (numbers.select("path", F.col("node").alias(x), F.col("number").alias(f"n_{x}")) for x in ("node", "dominator"))
-    return held(dataflow.dominators(flow).join(a, ["path", "node"]).join(b, ["path", "dominator"]).select("path", F.col("n_node").alias("node"), F.col("n_dominator").alias("dominator")), copies)
+    parts, numbers, places, copies = _parts(spark, sf_dir)
+    return held(whole.dominators(parts, numbers, places), copies)
 
 
 # A name in each piece: written or read, once or in a branch. Nodes that write (w) or read (r), how they lead on.
