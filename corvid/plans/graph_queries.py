@@ -14,7 +14,7 @@ from corvid.operators import dataflow, scopes, whole
 from corvid.operators.copies import Copies, distinct_texts, held
 from corvid.operators.graph import Flow
 from corvid.operators.lint import RULES, diagnostics, select
-from corvid.operators.parts import Parts, laid_out, names_in, names_of_parts, numbered, numbered_edges, part_names, states_by_number
+from corvid.operators.parts import Parts, laid_out, names_in, numbered, numbered_edges, part_names, states_by_number
 from corvid.plans.registry import query
 from corvid.sources.tables import table
 from corvid.storage import remembered, stored
@@ -132,17 +132,6 @@ def _named_parts(spark: SparkSession, sf_dir: str) -> tuple[Parts, Copies]:
     return remembered(spark, ("named-parts", sf_dir), make)
 
 
-def _names(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame, Copies]:
-
-    def make() -> tuple[dataflow.Names, DataFrame, Copies]:
-        parts, copies = _named_parts(spark, sf_dir)
-        names = names_of_parts(parts)
-        numbered = names.flow.nodes.select("path", "node", F.row_number().over(Window.partitionBy("path").orderBy("node")).alias("number"))
-        return names, stored(numbered, "numbers"), copies
-
-    return remembered(spark, ("names", sf_dir), make)
-
-
 @query(f"""WITH RECURSIVE {_NAMES}, vs AS (SELECT DISTINCT path, v FROM acting),
 open(path, node, v) AS (SELECT path, 1, v FROM vs UNION SELECT o.path, f.b, o.v FROM open o JOIN flow f ON f.path = o.path AND f.a = o.node
   WHERE NOT EXISTS (SELECT 1 FROM acting w WHERE w.path = o.path AND w.node = o.node AND w.v = o.v AND w.act = 'w')),
@@ -162,8 +151,8 @@ live(path, node, v) AS (SELECT path, node, v FROM acting WHERE act IN ('r', 'g')
 SELECT path, node, concat('v', v) AS name FROM acting w WHERE act = 'w' AND NOT EXISTS (SELECT 1 FROM flow f JOIN live l ON l.path = f.path AND l.node = f.b AND l.v = w.v WHERE f.path = w.path AND f.a = w.node)""")
 def graph_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes of names that no path reads before they are written again."""
-    names, numbers, copies = _names(spark, sf_dir)
-    return held(dataflow.unused(names).join(numbers, ["path", "node"]).select("path", F.col("number").alias("node"), "name"), copies)
+    parts, copies = _named_parts(spark, sf_dir)
+    return held(whole.unused(parts, *numbered(parts)).select("path", "node", "name").distinct(), copies)
 
 
 _N_LINES = [1 + text.count("\n") for text, _, _, _ in PIECES]
@@ -278,9 +267,9 @@ SELECT path, node, name, literals, open, k IN (4, 7) AND open AS splits FROM (SE
 FROM (SELECT acting.*, placed.k FROM acting JOIN placed ON placed.path = acting.path AND placed.item = acting.line_no) a WHERE act = 'r')""")
 def graph_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts that a read may have, whether they are all that it may have, and whether it may come apart if unquoted."""
-    names, numbers, copies = _names(spark, sf_dir)
-    found = dataflow.values(names).where("name LIKE 'v%' AND NOT guarded").join(numbers, ["path", "node"])
-    return held(found.select("path", F.col("number").alias("node"), "name", F.array_join("literals", ",").alias("literals"), "open", "splits"), copies)
+    parts, copies = _named_parts(spark, sf_dir)
+    found = whole.values(parts, *numbered(parts)).where("name LIKE 'v%' AND NOT guarded")
+    return held(found.select("path", "node", "name", F.array_join("literals", ",").alias("literals"), "open", "splits"), copies)
 
 
 # An item is a function f1 to f7 of its order: it writes or reads a name of its own and calls another one, always or perhaps.

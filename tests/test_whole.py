@@ -44,3 +44,15 @@ def test_dominators(both):
     names, numbers, parts, placed = both
     want = by_number(dataflow.dominators(names.flow), numbers, "node", "dominator")
     assert rows(whole.dominators(parts, *placed)) == rows(want) and want.count() > 1000
+
+
+def test_unused(both):
+    names, numbers, parts, placed = both
+    want = by_number(dataflow.unused(names), numbers, "node")
+    assert rows(whole.unused(parts, *placed)) == rows(want) and want.count() > 50
+
+
+def test_values(both):
+    names, numbers, parts, placed = both
+    want = by_number(dataflow.values(names), numbers, "node")
+    assert rows(whole.values(parts, *placed)) == rows(want) and want.count() > 100
