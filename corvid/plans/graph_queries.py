@@ -14,7 +14,7 @@ from corvid.operators import dataflow, scopes, whole
 from corvid.operators.copies import Copies, distinct_texts, held
 from corvid.operators.graph import Flow
 from corvid.operators.lint import RULES, diagnostics, select
-from corvid.operators.parts import Parts, laid_out, names_in, numbered, numbered_edges, part_names, states_by_number
+from corvid.operators.parts import Parts, laid_out, names_of_parts, numbered, numbered_edges, part_names, states_by_number
 from corvid.plans.registry import query
 from corvid.sources.tables import table
 from corvid.storage import remembered, stored
@@ -278,9 +278,9 @@ n AS (SELECT path, count(*) AS n FROM items GROUP BY path), called AS (SELECT it
 _BODIES_OF = ("f{i}() {{ w{i}=1; f{c}; }}", "f{i}() {{ echo \"$r{i}\"; t && f{c}; }}", "f{i}() {{ t || return; w{i}=1; f{c}; }}", "f{i}() {{ if t; then w{i}=1; else f{c}; w{i}=2; fi; echo $r{i}; }}")
 
 
-def _calling(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame, Copies]:
+def _calling_parts(spark: SparkSession, sf_dir: str) -> tuple[Parts, whole.Calls, Copies]:
 
-    def make() -> tuple[dataflow.Names, DataFrame, Copies]:
+    def make() -> tuple[Parts, whole.Calls, Copies]:
         items = table(spark, sf_dir, "lineitem").withColumn("item", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_KEYS.split(", "))))
         i, c = F.col("item").cast("string"), (1 + (F.col("l_partkey") + F.col("l_linenumber")) % 7).cast("string")
         text = F.get(F.array(*[F.lit(x.replace("{{", "{").replace("}}", "}")) for x in _BODIES_OF]), (F.col("l_suppkey") % 4).cast("int"))
@@ -288,12 +288,26 @@ def _calling(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFram
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", said.alias("text")))), lambda x: x["text"]), "\n")
         files = items.groupBy("l_orderkey").agg(body.alias("content")).select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".sh")).alias("path"), "content")
         copies = distinct_texts(stored(files, "scripts"))
-        names = names_in(copies.texts)
+        parts = laid_out(copies.texts)
+        return parts, whole.calls(parts), copies
+
+    return remembered(spark, ("calling-parts", sf_dir), make)
+
+
+def _calling(spark: SparkSession, sf_dir: str) -> tuple[dataflow.Names, DataFrame, Copies]:
+
+    def make() -> tuple[dataflow.Names, DataFrame, Copies]:
+        parts, _, copies = _calling_parts(spark, sf_dir)
+        names = names_of_parts(parts)
         return names, stored(dataflow.call_sites(names.flow), "sites"), copies
 
     return remembered(spark, ("calling", sf_dir), make)
 
 
+def _named(rows: DataFrame, functions: DataFrame, column: str) -> DataFrame:
+    return rows.join(functions.select("path", F.col("number").alias(column), F.col("name").alias(f"{column}_name")), ["path", column])
+
+
 def _by_name(rows: DataFrame, flow: Flow, column: str) -> DataFrame:
     return rows.join(flow.functions.select("path", F.col("root").alias(column), F.col("name").alias(f"{column}_name")), ["path", column])
 
@@ -303,18 +317,18 @@ SELECT c.path, concat('f', c.item) AS function, concat('f', coalesce((SELECT min
 WHERE there OR EXISTS (SELECT 1 FROM called d WHERE d.path = c.path AND d.there AND d.callee = c.item)""")
 def call_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions that call each other, directly or through others."""
-    names, sites, copies = _calling(spark, sf_dir)
-    _, found = dataflow.components(sites.where("caller IS NOT NULL").select("path", F.col("caller").alias("a"), F.col("callee").alias("b")), ["path"])
-    return held(_by_name(_by_name(found, names.flow, "node"), names.flow, "component").select("path", F.col("node_name").alias("function"), F.col("component_name").alias("component")), copies)
+    _, calls, copies = _calling_parts(spark, sf_dir)
+    found, functions = whole.called(calls)[1], stored(calls.functions, "functions")
+    return held(_named(_named(found, functions, "node"), functions, "component").select("path", F.col("node_name").alias("function"), F.col("component_name").alias("component")), copies)
 
 
 @query(f"""WITH RECURSIVE {_CALLS}, reach(path, a, b) AS (SELECT path, item, item FROM called UNION SELECT r.path, r.a, c.callee FROM reach r JOIN called c ON c.path = r.path AND c.item = r.b WHERE c.there)
 SELECT DISTINCT r.path, concat('f', r.a) AS function, concat('r', r.b) AS name FROM reach r JOIN called c ON c.path = r.path AND c.item = r.b WHERE c.k IN (1, 3)""")
 def call_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that functions read, themselves or through the functions that they call."""
-    names, sites, copies = _calling(spark, sf_dir)
-    found = _by_name(dataflow.scope_reads(names, sites), names.flow, "root")
-    return held(found.where("name RLIKE '^r[0-9]'").select("path", F.col("root_name").alias("function"), "name"), copies)
+    parts, calls, copies = _calling_parts(spark, sf_dir)
+    found = _named(whole.scope_reads(parts, calls).where("name RLIKE '^r[0-9]'"), calls.functions, "function")
+    return held(found.select("path", F.col("function_name").alias("function"), "name"), copies)
 
 
 @query(f"""WITH RECURSIVE {_CALLS}, gives(path, a, b) AS (SELECT path, item, item FROM called WHERE k IN (0, 3) UNION SELECT c.path, c.item, g.b FROM called c JOIN gives g ON g.path = c.path AND g.a = c.callee WHERE c.k = 0 AND c.there)
